@@ -42,7 +42,7 @@ def pf_pairs_locf(spark, d):
 def pf_pairs_nonpositive_fill(spark, d):
     rows = events_long(spark, d).withColumn("value", F.when(F.col("value") > 5, F.col("value")).otherwise(0.0))
     out = series.pair_series(rows, OXYGEN, INSPIRED, fill="nonpositive")
-    return rounded(out.select("stay_id", "offset_min", "pao2", "fio2", "pf"), 6, "pao2", "fio2", "pf")
+    return rounded(out.select("stay_id", "offset_min", "pao2", "fio2", "pf"), 10, "pao2", "fio2", "pf")
 
 
 def pf_onset(spark, d):
@@ -246,7 +246,7 @@ q AS (SELECT z.stay_id, offset_min, name, max(CASE WHEN value < 1e-6 THEN NULL E
   any_value(mv) AS mv FROM z LEFT JOIN mean_of USING (stay_id, name) GROUP BY 1, 2, 3),
 f AS (SELECT stay_id, offset_min, name, coalesce(top, mv) AS value FROM q),
 {sql_pairs('f')}
-SELECT stay_id, offset_min, round(pao2, 6) AS pao2, round(fio2, 6) AS fio2, round(pf, 6) AS pf FROM pairs""",
+SELECT stay_id, offset_min, round(pao2, 10) AS pao2, round(fio2, 10) AS fio2, round(pf, 10) AS pf FROM pairs""",
     "pf_onset": f"""{_ONSET}
 SELECT stay_id, onset, round(min_pf, 6) AS min_pf, severity, n_pairs FROM onset""",
     "pf_severity_by_day": f"""{_PAIRS}

@@ -92,6 +92,8 @@ def one_row_per_minute(
             time.alias("offset_min"),
         )
         .agg(a.alias("a"), a_seen.alias("a_seen"), b.alias("b"), b_seen.alias("b_seen"))
+        # said here, both uses of this frame push down the same filter and share its exchange
+        .filter(F.col("stay_id").isNotNull() & F.col("block").isNotNull())
         .select(
             "stay_id",
             "block",
@@ -209,41 +211,51 @@ def sustained_onset(
     ``sustain`` minutes after the run's first; or the stay's last pair if it
     ends a run of two or more; or the only pair of a stay.
     Returns (stay_id, onset, min_pf, severity, n_pairs); onset NULL = never.
+
+    Runs that start inside a block are settled there. Of the run that is open
+    when a block begins, only its minutes are kept (at most one per minute of
+    the block), and settled once the summary rows tell when it started.
     """
+    t = F.col("offset_min")
     rows = _run_starts(pairs, threshold)
+    leading = F.col("ok") & (F.col("fails") == 0)
     per_block = rows.groupBy("stay_id", "block").agg(
         F.max(F.when(~F.col("ok"), 1).otherwise(0)).alias("has_fail"),
         F.max_by(F.when(F.col("ok"), F.col("opened")), "offset_min").alias("tail_open"),
+        F.min(F.when(F.col("ok") & ~leading & (t - F.col("opened") >= sustain), t)).alias("hit_inside"),
+        F.min(F.when(leading, t)).alias("lead_first"),
+        F.collect_list(F.when(leading, t)).alias("lead_minutes"),
         F.count(F.lit(1)).alias("n"),
         F.max("offset_min").alias("block_last"),
+        F.min("pf").alias("block_min"),
     )
     stay = Window.partitionBy("stay_id")
-    upto = stay.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = stay.orderBy("block")
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     chained = per_block.withColumn("chain", F.sum("has_fail").over(upto))
     in_chain = (
         Window.partitionBy("stay_id", "chain")
         .orderBy("block")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    borders = chained.withColumn("still_open", F.min("tail_open").over(in_chain)).select(
-        "stay_id",
-        "block",
-        F.lag("still_open").over(stay.orderBy("block")).alias("open_before"),
+    linked = chained.withColumn("still_open", F.min("tail_open").over(in_chain)).select(
+        "*",
+        F.lag("still_open").over(ordered).alias("open_before"),
         F.sum("n").over(stay).alias("stay_pairs"),
         F.max("block_last").over(stay).alias("stay_last"),
     )
-    joined = rows.join(borders, ["stay_id", "block"])
-    start = F.when(F.col("fails") == 0, F.coalesce("open_before", "opened")).otherwise(F.col("opened"))
-    t = F.col("offset_min")
-    at_end = (t == F.col("stay_last")) & ((start < t) | (F.col("stay_pairs") == 1))
-    hit = F.col("ok") & ((t - start >= sustain) | at_end)
+    lead_start = F.coalesce("open_before", "lead_first")
+    lead_hit = F.array_min(F.filter("lead_minutes", lambda m: m - lead_start >= sustain))
+    # still_open is NULL when the block's last pair fails
+    passes_at_end = (F.col("block_last") == F.col("stay_last")) & F.col("tail_open").isNotNull()
+    long_enough = (F.col("still_open") < F.col("stay_last")) | (F.col("stay_pairs") == 1)
+    end_hit = F.when(passes_at_end & long_enough, F.col("stay_last"))
     return (
-        joined.select("stay_id", "pf", F.when(hit, t).alias("hit"))
-        .groupBy("stay_id")
+        linked.groupBy("stay_id")
         .agg(
-            F.min("hit").alias("onset"),
-            F.min("pf").alias("min_pf"),
-            F.count(F.lit(1)).alias("n_pairs"),
+            F.min(F.least(lead_hit, "hit_inside", end_hit)).alias("onset"),
+            F.min("block_min").alias("min_pf"),
+            F.max("stay_pairs").alias("n_pairs"),
         )
         .select("stay_id", "onset", "min_pf", severity_band(F.col("min_pf")).alias("severity"), "n_pairs")
     )
@@ -261,22 +273,23 @@ def sustained_since_failure(
         "stay_id", "block", "offset_min",
         F.coalesce(F.bround("pf", 1) < threshold, F.lit(False)).alias("ok"),
     )
-    failed_at = F.when(~F.col("ok"), F.col("offset_min"))
-    rows = rows.withColumn("anchor", F.max(failed_at).over(_within_block()))
+    t = F.col("offset_min")
+    rows = rows.withColumn("anchor", F.max(F.when(~F.col("ok"), t)).over(_within_block()))
     per_block = rows.groupBy("stay_id", "block").agg(
-        F.max("anchor").alias("block_anchor"), F.min("offset_min").alias("block_first")
+        F.max("anchor").alias("block_anchor"),
+        F.min("offset_min").alias("block_first"),
+        F.max(F.when(F.col("ok"), t - F.col("anchor"))).alias("longest_inside"),
+        F.max(F.when(F.col("ok") & F.col("anchor").isNull(), t)).alias("lead_last"),
     )
     borders = per_block.select(
-        "stay_id",
-        "block",
+        "*",
         F.max("block_anchor").over(_earlier_blocks()).alias("anchor_before"),
         F.min("block_first").over(Window.partitionBy("stay_id")).alias("stay_first"),
     )
-    clock = F.col("offset_min") - F.coalesce("anchor", "anchor_before", "stay_first")
-    return (
-        rows.join(borders, ["stay_id", "block"])
-        .groupBy("stay_id")
-        .agg(F.max(F.col("ok") & (clock >= sustain)).alias("sustained"))
+    lead = F.col("lead_last") - F.coalesce("anchor_before", "stay_first")
+    longest = F.greatest(F.col("longest_inside"), lead)
+    return borders.groupBy("stay_id").agg(
+        F.coalesce(F.max(longest) >= sustain, F.lit(False)).alias("sustained")
     )
 
 
