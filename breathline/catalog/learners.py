@@ -1,4 +1,312 @@
-"""Queries."""
+"""Split search, neighbours, Bayes and Spark ML models on line items, documents and embeddings.
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+Ensemble sizes are kept small here; the study's sizes are the defaults of
+``breathline.learning.models``.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from breathline.catalog.binding import read, rounded
+from breathline.learning import evaluation, models, neighbours, splits
+
+FOLDS = 5
+DOC_FEATURES = ["n_chars", "n_words", "n_lines", "word_length", "digit_share", "upper_share"]
+EMBEDDING = [f"e{i}" for i in range(64)]
+SMALL_FOREST = {"numTrees": 20, "maxDepth": 5}
+
+
+def labelled_documents(spark, d):
+    """Text features of every labelled document, with its quality label."""
+    t = F.col("text")
+    size = F.greatest(F.length(t), F.lit(1))
+    words = F.size(F.split(F.trim(t), r"\s+"))
+    docs = read(spark, d, "documents").select(
+        "doc_id",
+        F.length(t).cast("double").alias("n_chars"),
+        words.cast("double").alias("n_words"),
+        F.size(F.split(t, "\n")).cast("double").alias("n_lines"),
+        (F.length(F.regexp_replace(t, r"\s", "")) / F.greatest(words, F.lit(1))).alias("word_length"),
+        (F.length(F.regexp_replace(t, "[^0-9]", "")) / size).alias("digit_share"),
+        (F.length(F.regexp_replace(t, "[^A-Z]", "")) / size).alias("upper_share"),
+    )
+    labels = read(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
+    rows = docs.join(labels, "doc_id")
+    return rows.withColumn("fold", F.pmod("doc_id", F.lit(FOLDS)).cast("int"))
+
+
+def embedded(spark, d):
+    """Embeddings as an array, as columns, and with a binary label."""
+    rows = read(spark, d, "embeddings")
+    vector = F.col("embedding").cast("array<double>")
+    return rows.select(
+        "vec_id", vector.alias("vector"), F.col("label").alias("class"),
+        (F.col("label") >= 5).cast("int").alias("label"),
+        F.pmod("vec_id", F.lit(FOLDS)).cast("int").alias("fold"),
+        *[vector[i].alias(c) for i, c in enumerate(EMBEDDING)],
+    )
+
+
+def _priced_lines(spark, d):
+    return read(spark, d, "lineitem").withColumn("y", F.col("l_extendedprice") / 100000)
+
+
+def split_candidates(spark, d):
+    rows = splits.stump_candidates(_priced_lines(spark, d), "l_quantity", "y")
+    return rounded(rows, 6, "left_mean", "right_mean", "sse")
+
+
+def best_split_stump(spark, d):
+    rows = splits.best_stump(_priced_lines(spark, d), "l_quantity", "y")
+    return rounded(rows, 6, "left_mean", "right_mean", "sse")
+
+
+def boosted_stumps(spark, d):
+    """The first three additive stumps, one row per round."""
+    found = splits.boosted_stumps(_priced_lines(spark, d), "l_quantity", "y", error=1e-9, max_rounds=3)
+    rows = [(i + 1, s.split, s.left, s.right) for i, s in enumerate(found)]
+    out = spark.createDataFrame(rows, "round int, split double, left_mean double, right_mean double")
+    return rounded(out, 6, "left_mean", "right_mean")
+
+
+SPLIT_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+def best_split_all(spark, d):
+    out = splits.best_splits(_priced_lines(spark, d), SPLIT_FEATURES, "y")
+    return rounded(out, 6, "sse")
+
+
+def best_split_per_group(spark, d):
+    out = splits.best_splits(_priced_lines(spark, d), SPLIT_FEATURES, "y", ["l_returnflag"])
+    return rounded(out, 6, "sse")
+
+
+def logistic_boosting(spark, d):
+    rows = labelled_documents(spark, d)
+    model = splits.fit_logistic_boosting(rows, DOC_FEATURES, "label", rounds=2, rate=0.3, max_height=3)
+    return model.transform(rows).select("doc_id", "label", F.round("score", 9).alias("score"), "prediction")
+
+
+def gaussian_bayes(spark, d):
+    rows = embedded(spark, d).drop("label").withColumnRenamed("class", "label")
+    model = models.fit(models.feature_pipeline(EMBEDDING, models.gaussian_bayes(), scale=None), rows)
+    scored = model.transform(rows)
+    return scored.select("vec_id", "label", F.col("prediction").cast("int").alias("prediction"))
+
+
+def _neighbours(spark, d, k):
+    return neighbours.out_of_fold_neighbours(embedded(spark, d), "vec_id", "vector", "class", "fold", k)
+
+
+def knn_vote(spark, d):
+    return neighbours.vote(_neighbours(spark, d, 64), models.NEIGHBOUR_KS)
+
+
+def knn_nearest(spark, d):
+    near = _neighbours(spark, d, 3)
+    return near.select("query_id", "rank", "neighbour_id", F.round("distance", 6).alias("distance"))
+
+
+def _doc_scores(spark, d, estimator, **options):
+    rows = labelled_documents(spark, d)
+    train, test = rows.filter("fold <> 0"), rows.filter("fold = 0")
+    model = models.fit(models.feature_pipeline(DOC_FEATURES, estimator, **options), train)
+    return models.score(model, train.unionByName(test), ["doc_id", "fold", "label"])
+
+
+def gbt_classifier(spark, d):
+    return _doc_scores(spark, d, models.gbt_classifier(maxIter=10))
+
+
+def gbt_weighted(spark, d):
+    return _doc_scores(spark, d, models.gbt_classifier(maxIter=10, maxDepth=3, minInstancesPerNode=3))
+
+
+def gbt_regressor(spark, d):
+    return _doc_scores(spark, d, models.gbt_regressor(maxIter=10))
+
+
+def decision_tree(spark, d):
+    return _doc_scores(spark, d, models.tree_classifier())
+
+
+def random_forest(spark, d):
+    return _doc_scores(spark, d, models.forest_classifier(**SMALL_FOREST))
+
+
+def forest_regressor(spark, d):
+    return _doc_scores(spark, d, models.forest_regressor(**SMALL_FOREST))
+
+
+def bagged_trees(spark, d):
+    return _doc_scores(spark, d, models.bagged_trees(**SMALL_FOREST))
+
+
+def bagged_regressor(spark, d):
+    return _doc_scores(spark, d, models.bagged_regressor(**SMALL_FOREST))
+
+
+def bagged_forests(spark, d):
+    rows = labelled_documents(spark, d)
+    return models.bagged_forests(
+        lambda: models.forest_classifier(numTrees=5, maxDepth=5), DOC_FEATURES, rows.filter("fold <> 0"),
+        rows, ["doc_id", "label"], bags=3,
+    )
+
+
+def logistic_regression(spark, d):
+    return _doc_scores(spark, d, models.logistic(maxIter=50), impute=True)
+
+
+def _vector_scores(spark, d, estimator):
+    rows = embedded(spark, d)
+    pipeline = models.feature_pipeline(EMBEDDING, estimator)
+    return models.out_of_fold_scores(rows, pipeline, "fold", FOLDS, ["vec_id", "label"])
+
+
+def linear_svc(spark, d):
+    return _vector_scores(spark, d, models.linear_svc(c=0.1, n_rows=400, maxIter=20))
+
+
+def kernel_svc(spark, d):
+    rows = models.random_fourier_features(embedded(spark, d), "vector", 64, gamma=0.5)
+    model = models.fit(models.linear_svc(c=1.0, n_rows=400, maxIter=20), rows.filter("fold <> 0"))
+    return models.score(model, rows, ["vec_id", "fold", "label"])
+
+
+def stacking(spark, d):
+    scored, _ = models.stacked_scores(
+        embedded(spark, d), "vec_id", "vector", EMBEDDING, "fold", FOLDS, k=50, forest=SMALL_FOREST
+    )
+    return scored
+
+
+def grid_search(spark, d):
+    rows = labelled_documents(spark, d)
+    tree = models.gbt_classifier(maxIter=5)
+    grid = models.param_grid(tree, {"maxDepth": [2, 3], "stepSize": [0.05, 0.15]})
+    found = models.cross_validate(models.feature_pipeline(DOC_FEATURES, tree), grid, rows, "fold", FOLDS, models.accuracy())
+    return models.search_table(rows, found)
+
+
+def random_search(spark, d):
+    rows = labelled_documents(spark, d)
+    estimator = models.logistic(maxIter=30)
+    grid = models.random_params(estimator, {"regParam": (1e-4, 1.0), "elasticNetParam": [0.0]}, n=4)
+    found = models.cross_validate(models.feature_pipeline(DOC_FEATURES, estimator), grid, rows, "fold", FOLDS)
+    return models.search_table(rows, found)
+
+
+def cross_validated_score(spark, d):
+    rows = labelled_documents(spark, d)
+    pipeline = models.feature_pipeline(DOC_FEATURES, models.tree_classifier())
+    return models.search_table(rows, models.cross_validate(pipeline, [{}], rows, "fold", FOLDS, models.accuracy()))
+
+
+def tree_summary(spark, d):
+    rows = labelled_documents(spark, d)
+    model = models.fit(models.feature_pipeline(DOC_FEATURES, models.forest_classifier(**SMALL_FOREST)), rows)
+    return models.tree_summary(rows, model)
+
+
+def trained_model_compare(spark, d):
+    """Out-of-fold AUC, KS and accuracy of four fitted models."""
+    rows = labelled_documents(spark, d)
+    candidates = {
+        "tree": models.tree_classifier(),
+        "forest": models.forest_classifier(**SMALL_FOREST),
+        "bayes": models.gaussian_bayes(),
+        "logistic": models.logistic(maxIter=30),
+    }
+    parts = [
+        models.out_of_fold_scores(rows, models.feature_pipeline(DOC_FEATURES, e), "fold", FOLDS, ["label"])
+        .withColumn("model", F.lit(name))
+        for name, e in candidates.items()
+    ]
+    return rounded(evaluation.compare_models(reduce(DataFrame.unionByName, parts)), 6, "auc", "ks", "accuracy")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        split_candidates, best_split_stump, boosted_stumps, best_split_all, best_split_per_group,
+        logistic_boosting, gaussian_bayes, knn_vote, knn_nearest, gbt_classifier, gbt_weighted,
+        gbt_regressor, decision_tree, random_forest, forest_regressor, bagged_trees, bagged_regressor,
+        bagged_forests, logistic_regression, linear_svc, kernel_svc, stacking, grid_search,
+        random_search, cross_validated_score, tree_summary, trained_model_compare,
+    )
+}
+
+
+def _sql_round(source: str, i: int) -> str:
+    """Candidates and best stump of one round over (x, n, s, q), then the sums after it."""
+    return f"""c{i} AS (SELECT x, lead(x) OVER (ORDER BY x) AS nx, sum(n) OVER w AS ln, sum(s) OVER w AS ls,
+  sum(q) OVER w AS lq, sum(n) OVER () AS tn, sum(s) OVER () AS ts, sum(q) OVER () AS tq FROM {source}
+  WINDOW w AS (ORDER BY x ROWS UNBOUNDED PRECEDING)),
+k{i} AS (SELECT (x + nx) / 2 AS split, ls / ln AS left_mean, (ts - ls) / (tn - ln) AS right_mean,
+  (lq - ls * ls / ln) + ((tq - lq) - (ts - ls) * (ts - ls) / (tn - ln)) AS sse FROM c{i} WHERE nx IS NOT NULL),
+b{i} AS (SELECT * FROM k{i} ORDER BY sse, split LIMIT 1),
+v{i} AS (SELECT x, n, s - n * f AS s, q - 2 * f * s + n * f * f AS q FROM (
+  SELECT v.*, CASE WHEN x < split THEN left_mean ELSE right_mean END AS f FROM {source} v, b{i}))"""
+
+
+_V0 = """WITH v0 AS (SELECT l_quantity AS x, count(*) AS n, sum(l_extendedprice / 100000) AS s,
+  sum((l_extendedprice / 100000) * (l_extendedprice / 100000)) AS q FROM lineitem GROUP BY 1)"""
+_STUMP = "split, round(left_mean, 6) AS left_mean, round(right_mean, 6) AS right_mean"
+
+
+def _sql_best(key: str = "") -> str:
+    by = f"{key}, " if key else ""
+    long = " UNION ALL ".join(
+        f"SELECT {by}{i} AS no, '{f}' AS feature, CAST({f} AS DOUBLE) AS x, l_extendedprice / 100000 AS y FROM lineitem"
+        for i, f in enumerate(SPLIT_FEATURES)
+    )
+    choose = f"PARTITION BY {key} " if key else ""
+    return f"""WITH l AS ({long}),
+v AS (SELECT {by}no, feature, x, count(*) AS n, sum(y) AS s, sum(y * y) AS q FROM l GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER w AS ln, sum(s) OVER w AS ls, sum(q) OVER w AS lq, sum(n) OVER t AS tn,
+  sum(s) OVER t AS ts, sum(q) OVER t AS tq FROM v
+  WINDOW w AS (PARTITION BY {by}feature ORDER BY x ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY {by}feature)),
+e AS (SELECT *, tn - ln AS rn, (lq - ls * ls / ln) + ((tq - lq) - (ts - ls) * (ts - ls) / (tn - ln)) AS sse
+  FROM c WHERE ln >= 2 AND tn - ln >= 2)
+SELECT {by}feature, x AS split, round(sse, 6) AS sse, CAST(ln AS BIGINT) AS n_left, CAST(rn AS BIGINT) AS n_right
+FROM e WHERE sse < tq - ts * ts / tn QUALIFY row_number() OVER ({choose}ORDER BY sse, no, x) = 1"""
+
+
+_NEAR = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label, vec_id % 5 AS fold FROM embeddings),
+d AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id, b.label, list_distance(a.v, b.v) AS distance
+  FROM e a JOIN e b ON a.fold <> b.fold),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM d)"""
+
+SQL = {
+    "split_candidates": f"{_V0},\n{_sql_round('v0', 1)}\nSELECT {_STUMP}, round(sse, 6) AS sse FROM k1",
+    "best_split_stump": f"{_V0},\n{_sql_round('v0', 1)}\nSELECT {_STUMP}, round(sse, 6) AS sse FROM b1",
+    "boosted_stumps": f"""{_V0},
+{_sql_round('v0', 1)},
+{_sql_round('v1', 2)},
+{_sql_round('v2', 3)}
+SELECT CAST(1 AS INTEGER) AS round, {_STUMP} FROM b1 UNION ALL SELECT 2, {_STUMP} FROM b2 UNION ALL SELECT 3, {_STUMP} FROM b3""",
+    "best_split_all": _sql_best(),
+    "best_split_per_group": _sql_best("l_returnflag"),
+    "gaussian_bayes": """WITH x AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS i,
+  CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+eps AS (SELECT 1e-9 * max(s) AS e FROM (SELECT var_pop(v) AS s FROM x GROUP BY i)),
+st AS (SELECT label AS c, i, avg(v) AS mu, var_pop(v) + any_value(e) AS s FROM x, eps GROUP BY 1, 2),
+pr AS (SELECT label AS c, ln(count(*) / (SELECT count(*) FROM embeddings)) AS lp FROM embeddings GROUP BY 1),
+ll AS (SELECT vec_id, c, any_value(label) AS label, sum(-0.5 * ln(2 * pi() * s) - (v - mu) * (v - mu) / (2 * s)) AS l
+  FROM x JOIN st USING (i) GROUP BY 1, 2)
+SELECT vec_id, label, c AS prediction FROM ll JOIN pr USING (c)
+QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY l + lp DESC) = 1""",
+    "knn_vote": f"""{_NEAR},
+k AS (SELECT CAST(unnest(range(50, 65)) AS INTEGER) AS k),
+n AS (SELECT query_id, k, label, count(*) AS n FROM r JOIN k ON rank <= k GROUP BY ALL)
+SELECT query_id, k, label AS prediction FROM n
+QUALIFY row_number() OVER (PARTITION BY query_id, k ORDER BY n DESC, label) = 1""",
+    "knn_nearest": f"""{_NEAR}
+SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbour_id, round(distance, 6) AS distance FROM r WHERE rank <= 3""",
+}

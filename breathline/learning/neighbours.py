@@ -125,7 +125,7 @@ def out_of_fold_neighbours(
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("vector").toPandas()
     pivots = np.stack(picked["vector"].to_numpy()).astype(float)
     celled = rows.mapInPandas(
-        _nearest_pivot(pivots), rows.schema.add("cell", "int").add("reach", "double")
+        _nearest_pivot(pivots), "id bigint, vector array<double>, label int, fold int, cell int, reach double"
     )
     # at most PIVOTS x folds rows
     facts = celled.groupBy("cell", "fold").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("r")).toPandas()

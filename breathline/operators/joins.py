@@ -91,12 +91,12 @@ def interval_join(
 def contained_join(
     events: DataFrame, windows: DataFrame, key: str, begin: str, end: str, start: str, stop: str
 ) -> DataFrame:
-    """Events that lie inside a window: begin >= start and end < stop."""
-    joined = events.join(windows, key)
-    return joined.filter((F.col(begin) >= F.col(start)) & (F.col(end) < F.col(stop)))
+    """Events that lie inside a window: begin >= start and end < stop (begin <= end)."""
+    begun = interval_join(events, windows, start, stop, SeriesColumns(stay=key, time=begin))
+    return begun.filter(F.col(end) < F.col(stop))
 
 
-def reject_low_peep(
+def flag_low_peep(
     measurements: DataFrame,
     onsets: DataFrame,
     onset: str = "onset",
@@ -105,7 +105,7 @@ def reject_low_peep(
     peep: str = PEEP,
     cols: SeriesColumns = LONG,
 ) -> DataFrame:
-    """Drop stays with a PEEP under ``minimum`` in (onset - lookback, onset]; no PEEP passes."""
+    """Add ``low_peep``: a PEEP under ``minimum`` lies in (onset - lookback, onset]."""
     low = measurements.filter((F.col(cols.name) == peep) & (F.col(cols.value) < minimum))
     low = low.select(cols.stay, cols.time).distinct()
     windows = onsets.select(
@@ -114,8 +114,15 @@ def reject_low_peep(
         F.col(onset).alias("_to"),
     )
     bad = interval_join(low, windows, "_from", "_to", cols, closed="right")
-    bad = bad.select(F.col(cols.stay).alias("stay_id")).distinct()
-    return onsets.join(bad, "stay_id", "left_anti")
+    bad = bad.select(F.col(cols.stay).alias("stay_id")).distinct().withColumn("_bad", F.lit(True))
+    return onsets.join(bad, "stay_id", "left").select(
+        *onsets.columns, F.coalesce("_bad", F.lit(False)).alias("low_peep")
+    )
+
+
+def reject_low_peep(measurements: DataFrame, onsets: DataFrame, **rule) -> DataFrame:
+    """Drop stays with too low a PEEP before the onset; a stay without PEEP passes."""
+    return flag_low_peep(measurements, onsets, **rule).filter(~F.col("low_peep")).drop("low_peep")
 
 
 def star_join(base: DataFrame, key: str, sides: Sequence[tuple[DataFrame, Sequence[Column]]]) -> DataFrame:

@@ -25,8 +25,8 @@ from breathline.functions.rules import (
     VENT_VALUES,
 )
 from breathline.functions.text import like_any, number_above, to_number
-from breathline.operators.joins import clipped, common_ids, reject_low_peep, subtract_ids, with_ids, without_ids
-from breathline.operators.reshape import union_distinct, union_sources
+from breathline.operators.joins import clipped, common_ids, flag_low_peep, subtract_ids, with_ids, without_ids
+from breathline.operators.reshape import union_distinct
 from breathline.operators.series import pf_onset
 from breathline.sources.tables import as_measurements
 
@@ -159,28 +159,41 @@ def admission_or_course_onset(
 
 @dataclass(frozen=True)
 class Funnel:
-    """Stages of the selection, each a lazy frame, narrowing from first to last."""
+    """Stages of the selection as lazy frames, narrowing from first to last.
+
+    ``checked`` holds the stays with an onset and whether their PEEP was too low.
+    """
 
     adults: DataFrame
     eligible: DataFrame
-    onsets: DataFrame
-    cohort: DataFrame
+    checked: DataFrame
+
+    @property
+    def cohort(self) -> DataFrame:
+        """(stay_id, onset, severity, at_admission, enrollment)."""
+        kept = self.checked.filter(~F.col("low_peep")).drop("low_peep")
+        return kept.withColumn("enrollment", enrollment_from_onset(F.col("onset")))
 
     def counts(self) -> DataFrame:
-        """(step, stage, stays), computed where the data is."""
-        stages = [
-            (1, "adult", self.adults),
-            (2, "eligible", self.eligible),
-            (3, "onset", self.onsets),
-            (4, "cohort", self.cohort),
-        ]
-        parts = [
-            df.agg(F.count(F.lit(1)).alias("stays")).select(
-                F.lit(step).alias("step"), F.lit(stage).alias("stage"), "stays"
-            )
-            for step, stage, df in stages
-        ]
-        return union_sources(parts, ["step", "stage", "stays"])
+        """(step, stage, stays): one pass over the stages joined on the stay."""
+        eligible = self.eligible.withColumn("eligible", F.lit(1))
+        stays = self.adults.join(eligible, "stay_id", "left").join(
+            self.checked.select("stay_id", "low_peep"), "stay_id", "left"
+        )
+        row = stays.agg(
+            F.count(F.lit(1)).alias("adult"),
+            F.count("eligible").alias("eligible"),
+            F.count("low_peep").alias("onset"),
+            F.count(F.when(~F.col("low_peep"), 1)).alias("cohort"),
+        )
+        stages = ["adult", "eligible", "onset", "cohort"]
+        steps = F.array(
+            *[
+                F.struct(F.lit(i + 1).alias("step"), F.lit(s).alias("stage"), F.col(s).alias("stays"))
+                for i, s in enumerate(stages)
+            ]
+        )
+        return row.select(F.inline(steps))
 
 
 def cohort_funnel(
@@ -192,18 +205,15 @@ def cohort_funnel(
     sustain: int = SUSTAIN_MINUTES,
     peep_minimum: float = PEEP_MINIMUM,
 ) -> Funnel:
-    """Adults in every id set -> oxygenation onset -> PEEP check -> enrollment.
-
-    The cohort has (stay_id, onset, severity, at_admission, enrollment).
-    """
+    """Adults in every id set -> oxygenation onset -> PEEP check -> enrollment."""
+    adults = adults.select("stay_id").distinct()
     eligible = common_ids([adults, *id_sets], "stay_id")
     own = measurements.join(eligible, "stay_id", "left_semi")
     onsets = admission_or_course_onset(
         admission.join(eligible, "stay_id", "left_semi"), own, threshold, sustain
     )
-    kept = reject_low_peep(own, onsets, minimum=peep_minimum, lookback=sustain)
-    cohort = kept.withColumn("enrollment", enrollment_from_onset(F.col("onset")))
-    return Funnel(adults.select("stay_id").distinct(), eligible, onsets, cohort)
+    checked = flag_low_peep(own, onsets, minimum=peep_minimum, lookback=sustain)
+    return Funnel(adults, eligible, checked)
 
 
 def clinical_cohort(tables: dict[str, DataFrame]) -> Funnel:
