@@ -25,14 +25,18 @@ def labelled_documents(spark, d):
     t = F.col("text")
     size = F.greatest(F.length(t), F.lit(1))
     words = F.size(F.split(F.trim(t), r"\s+"))
+
+    def without(characters):
+        return F.length(F.translate(t, characters, ""))
+
     docs = read(spark, d, "documents").select(
         "doc_id",
         F.length(t).cast("double").alias("n_chars"),
         words.cast("double").alias("n_words"),
         F.size(F.split(t, "\n")).cast("double").alias("n_lines"),
-        (F.length(F.regexp_replace(t, r"\s", "")) / F.greatest(words, F.lit(1))).alias("word_length"),
-        (F.length(F.regexp_replace(t, "[^0-9]", "")) / size).alias("digit_share"),
-        (F.length(F.regexp_replace(t, "[^A-Z]", "")) / size).alias("upper_share"),
+        (without(" \t\r\n") / F.greatest(words, F.lit(1))).alias("word_length"),
+        ((F.length(t) - without("0123456789")) / size).alias("digit_share"),
+        ((F.length(t) - without("ABCDEFGHIJKLMNOPQRSTUVWXYZ")) / size).alias("upper_share"),
     )
     labels = read(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
     rows = docs.join(labels, "doc_id")
@@ -114,9 +118,9 @@ def knn_nearest(spark, d):
 
 def _doc_scores(spark, d, estimator, **options):
     rows = labelled_documents(spark, d)
-    train, test = rows.filter("fold <> 0"), rows.filter("fold = 0")
-    model = models.fit(models.feature_pipeline(DOC_FEATURES, estimator, **options), train)
-    return models.score(model, train.unionByName(test), ["doc_id", "fold", "label"])
+    pipeline = models.feature_pipeline(DOC_FEATURES, estimator, **options)
+    model = models.fit(pipeline, rows.filter("fold <> 0"))
+    return models.score(model, rows, ["doc_id", "fold", "label"])
 
 
 def gbt_classifier(spark, d):

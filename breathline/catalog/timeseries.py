@@ -21,6 +21,7 @@ from breathline.operators import joins, ordering, reshape, series, summaries
 from breathline.operators.distribution import feature_statistics
 from breathline.plans.cohort import admission_or_course_onset
 from breathline.plans.features import LONG_COLUMNS
+from breathline.session import cut_lineage
 
 # On these tables nearly every series passes 300 at once; the lower ratio and
 # longer hold make both outcomes occur.
@@ -120,7 +121,8 @@ def open_interval_counts(spark, d):
 
 def _stats(spark, d):
     inside = joins.interval_join(events_long(spark, d), _windows(spark, d), "onset", "enrollment")
-    inside = inside.select(*LONG_COLUMNS)
+    # few rows, read twice below: once for the ratio, once for the statistics
+    inside = cut_lineage(inside.select(*LONG_COLUMNS))
     pairs = series.pair_series(inside, OXYGEN, INSPIRED, fill="nonpositive")
     ratio = pairs.select("stay_id", "offset_min", F.lit("ratio").alias("name"), F.col("pf").alias("value"))
     return feature_statistics(joins.rename_synonyms(inside.unionByName(ratio), SYNONYMS))

@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -133,9 +134,16 @@ def feature_pipeline(
 
 
 def fit(estimator: Estimator, train: DataFrame) -> Model:
-    """Fit with a checkpoint folder in place, which boosted trees use to cut their lineage."""
+    """Fit on rows kept in memory or on disk, as fitting reads them many times.
+
+    Boosted trees cut their lineage in the checkpoint folder.
+    """
     use_checkpoint_dir(train.sparkSession)
-    return estimator.fit(train)
+    kept = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return estimator.fit(kept)
+    finally:
+        kept.unpersist()
 
 
 def score(model: Model, df: DataFrame, keep: Sequence[str]) -> DataFrame:

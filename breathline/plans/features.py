@@ -20,6 +20,7 @@ from breathline.operators.reshape import (
     unpivot_positive,
 )
 from breathline.operators.series import SeriesColumns, pair_series
+from breathline.session import cut_lineage
 from breathline.sources.tables import as_measurements
 
 ID = "patientunitstayid"
@@ -81,6 +82,12 @@ def window_statistics(measurements: DataFrame, cohort: DataFrame) -> DataFrame:
 
 
 def measurement_statistics(inside: DataFrame) -> DataFrame:
+    """Statistics of the rows inside the windows and of their ratio series.
+
+    The rows are written to the checkpoint folder first: they are few, and
+    reading them twice must not scan and join the whole tables twice.
+    """
+    inside = cut_lineage(inside)
     return feature_statistics(rename_synonyms(with_ratio_series(inside), rules.SYNONYMS))
 
 
