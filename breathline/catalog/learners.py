@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from breathline.catalog.binding import read, rounded
 from breathline.learning import evaluation, models, neighbours, splits
+from breathline.session import cut_lineage
 
 FOLDS = 5
 DOC_FEATURES = ["n_chars", "n_words", "n_lines", "word_length", "digit_share", "upper_share"]
@@ -156,7 +157,7 @@ def bagged_regressor(spark, d):
 
 
 def bagged_forests(spark, d):
-    rows = labelled_documents(spark, d)
+    rows = cut_lineage(labelled_documents(spark, d))
     return models.bagged_forests(
         lambda: models.forest_classifier(numTrees=5, maxDepth=5), DOC_FEATURES, rows.filter("fold <> 0"),
         rows, ["doc_id", "label"], bags=3,
@@ -185,7 +186,7 @@ def kernel_svc(spark, d):
 
 def stacking(spark, d):
     scored, _ = models.stacked_scores(
-        embedded(spark, d), "vec_id", "vector", EMBEDDING, "fold", FOLDS, k=50, forest=SMALL_FOREST
+        cut_lineage(embedded(spark, d)), "vec_id", "vector", EMBEDDING, "fold", FOLDS, k=50, forest=SMALL_FOREST
     )
     return scored
 
@@ -220,7 +221,7 @@ def tree_summary(spark, d):
 
 def trained_model_compare(spark, d):
     """Out-of-fold AUC, KS and accuracy of four fitted models."""
-    rows = labelled_documents(spark, d)
+    rows = cut_lineage(labelled_documents(spark, d))
     candidates = {
         "tree": models.tree_classifier(),
         "forest": models.forest_classifier(**SMALL_FOREST),

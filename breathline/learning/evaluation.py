@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from breathline.functions.numeric import safe_ratio
 from breathline.operators.ordering import running_totals
+from breathline.session import cut_lineage
 
 GRID_POINTS = 100
 
@@ -29,7 +30,8 @@ def score_counts(scored: DataFrame, keys: Sequence[str] = (), label: str = "labe
 def _cumulative(scored: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFrame:
     """Counts per score with the positives and negatives at or above it, and the totals."""
     keys = list(keys)
-    counts = score_counts(scored, keys, label, score)
+    # written once: the scores may come from a model, and the counts are read several times
+    counts = cut_lineage(score_counts(scored, keys, label, score))
     curve = running_totals(counts, score, {"pos": "tp", "neg": "fp"}, keys, descending=True)
     sums = counts.groupBy(*keys).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     if keys:
@@ -130,16 +132,16 @@ def roc_on_grid(points: DataFrame, fold: str, grid: int = GRID_POINTS) -> DataFr
     steps = grid - 1
     scaled = F.col("fp") * F.lit(steps)
     on_grid = scaled % F.col("all_neg") == 0
-    point = F.struct("fp", "tp")
+    # along a curve tp never falls while fp rises, so both extremes belong to one point
     cells = (
         points.filter((F.col("all_neg") > 0) & (F.col("all_pos") > 0))
         .withColumn("g", ((scaled - scaled % F.col("all_neg")) / F.col("all_neg")).cast("int"))
         .groupBy(fold, "g")
         .agg(
-            F.max(F.when(on_grid, point)).alias("exact"),
-            F.min(F.when(~on_grid, point)).alias("inside"),
-            F.min(point).alias("first"),
-            F.max(point).alias("last"),
+            *[F.max(F.when(on_grid, F.col(c))).alias(f"exact_{c}") for c in ("fp", "tp")],
+            *[F.min(F.when(~on_grid, F.col(c))).alias(f"inside_{c}") for c in ("fp", "tp")],
+            *[F.min(c).alias(f"first_{c}") for c in ("fp", "tp")],
+            *[F.max(c).alias(f"last_{c}") for c in ("fp", "tp")],
         )
     )
     sizes = points.groupBy(fold).agg(F.max("all_pos").alias("all_pos"), F.max("all_neg").alias("all_neg"))
@@ -147,17 +149,23 @@ def roc_on_grid(points: DataFrame, fold: str, grid: int = GRID_POINTS) -> DataFr
     rows = spine.join(cells, [fold, "g"], "left")
     before = Window.partitionBy(fold).orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(fold).orderBy("g").rowsBetween(1, Window.unboundedFollowing)
-    origin = F.struct(F.lit(0).cast("bigint").alias("fp"), F.lit(0).cast("bigint").alias("tp"))
+
+    def low(c: str) -> Column:
+        held = F.last(f"last_{c}", ignorenulls=True).over(before)
+        return F.coalesce(f"exact_{c}", held, F.lit(0)).alias(f"low_{c}")
+
+    def high(c: str) -> Column:
+        return F.coalesce(f"inside_{c}", F.first(f"first_{c}", ignorenulls=True).over(after)).alias(f"high_{c}")
+
     bracket = rows.select(
         fold, "g", "all_pos", "all_neg", (F.col("g") / F.lit(steps)).alias("x"),
-        F.coalesce("exact", F.last("last", ignorenulls=True).over(before), origin).alias("low"),
-        F.coalesce("inside", F.first("first", ignorenulls=True).over(after)).alias("high"),
+        low("fp"), low("tp"), high("fp"), high("tp"),
     )
     part = safe_ratio(
-        F.col("x") * F.col("all_neg") - F.col("low.fp"), F.col("high.fp") - F.col("low.fp")
+        F.col("x") * F.col("all_neg") - F.col("low_fp"), F.col("high_fp") - F.col("low_fp")
     )
-    rise = F.coalesce(part * (F.col("high.tp") - F.col("low.tp")), F.lit(0.0))
-    value = safe_ratio(F.col("low.tp") + rise, F.col("all_pos"))
+    rise = F.coalesce(part * (F.col("high_tp") - F.col("low_tp")), F.lit(0.0))
+    value = safe_ratio(F.col("low_tp") + rise, F.col("all_pos"))
     return bracket.select(fold, "g", "x", F.when(F.col("g") == 0, 0.0).otherwise(value).alias("tpr"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from breathline.functions.numeric import safe_ratio
-from breathline.operators.ordering import quantile_splits, running_totals
+from breathline.operators.ordering import quantile_splits, running_totals, with_bucket
 from breathline.session import cut_lineage
 
 
@@ -65,8 +65,6 @@ def split_errors(per_value: DataFrame, cut_points: Sequence[float] | None = None
 
 def next_values(per_value: DataFrame, x: str = "x") -> DataFrame:
     """(x, next_x) of the distinct values, by linking each range bucket to the next one."""
-    from breathline.operators.ordering import with_bucket
-
     values = per_value.select(x).distinct()
     bucketed = with_bucket(values, x, quantile_splits(values, x))
     inside = bucketed.withColumn("next_x", F.lead(x).over(Window.partitionBy("bucket").orderBy(x)))
@@ -87,7 +85,7 @@ def per_value_sums(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def stump_candidates(df: DataFrame, x: str, y: str) -> DataFrame:
     """Every midpoint split of one feature: (split, left_mean, right_mean, sse)."""
-    sums = per_value_sums(df, x, y)
+    sums = cut_lineage(per_value_sums(df, x, y))
     errors = split_errors(sums).join(next_values(sums), "x").filter(F.col("next_x").isNotNull())
     return errors.select(
         ((F.col("x") + F.col("next_x")) / 2).alias("split"), "left_mean", "right_mean", "sse"
@@ -108,7 +106,7 @@ def boosted_stumps(df: DataFrame, x: str, y: str, error: float, max_rounds: int
     The residual of a row depends on its x alone, so all rounds work on the
     per-value sums: sum and sum of squares move by the fitted value.
     """
-    sums = per_value_sums(df, x, y)
+    sums = cut_lineage(per_value_sums(df, x, y))
     base = cut_lineage(sums.join(next_values(sums), "x"))
     cuts = quantile_splits(base, "x")
     stumps: list[Stump] = []
@@ -164,7 +162,7 @@ def best_splits(
     Ties go to the earlier feature of the list, then to the smaller value.
     """
     keys = list(keys)
-    sums = feature_value_sums(df, features, target, keys)
+    sums = cut_lineage(feature_value_sums(df, features, target, keys))
     errors = split_errors(sums, keys=[*keys, "feature"])
     order = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature"))
     valid = errors.filter(

@@ -55,11 +55,13 @@ def interval_join(
     ``closed='left'`` is start <= t < stop, ``closed='right'`` start < t <= stop,
     and ``stop=None`` leaves the window open. A bounded window is cut into days
     and joined on (stay, day, salt): rows outside every window find no partner
-    and one hot stay is handled by many tasks.
+    and one hot stay is handled by many tasks. The salt also holds the input
+    partition, as copies of one row have equal hashes.
     """
     key = cols.stay
     t = F.col(cols.time).cast("bigint")
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in measurements.columns]), F.lit(spread))
+    row_hash = F.xxhash64(*[F.col(c) for c in measurements.columns])
+    salt = F.pmod(F.pmod(row_hash, F.lit(spread)) + F.spark_partition_id(), F.lit(spread))
     low, high = F.col(start).cast("bigint"), F.col(stop).cast("bigint") if stop else None
     salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint")))
     left = measurements.withColumn("_salt", salt)

@@ -122,5 +122,9 @@ def top_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
 
 
 def sorted_series(df: DataFrame, *columns: str) -> DataFrame:
-    """Globally sorted by range partitioning on all columns, so a hot stay is split too."""
-    return df.orderBy(*columns)
+    """Globally sorted by range partitioning on all columns, so a hot stay is split too.
+
+    A running row number ends the sort key: ranges can then also cut through copies of one row.
+    """
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    return tied.orderBy(*columns, "_tie").drop("_tie")

@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 
 def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """Rows in a repeatable random order (a hash of the key, not a per-task generator)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    return tied.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key), "_tie").drop("_tie")
 
 
 def hash_share(key: Column, seed: int = 0) -> Column:
