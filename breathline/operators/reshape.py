@@ -79,13 +79,7 @@ def pivot_statistics(
     outside the list are dropped.
     """
     known = stats.filter(F.col(name).isin(list(names)))
-    return known.groupBy(key).agg(
-        *[
-            F.max(F.when(F.col(name) == n, F.col(s))).alias(f"{n}_{s}")
-            for n in names
-            for s in statistics
-        ]
-    )
+    return known.groupBy(key).pivot(name, list(names)).agg(*[F.max(s).alias(s) for s in statistics])
 
 
 def select_header(df: DataFrame, header: Sequence[str]) -> DataFrame:

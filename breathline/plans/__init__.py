@@ -1,3 +1,3 @@
-from breathline.plans import cohort, features, outcomes
+from breathline.plans import cohort, features, outcomes, study
 
-__all__ = ["cohort", "features", "outcomes"]
+__all__ = ["cohort", "features", "outcomes", "study"]

@@ -3,12 +3,11 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from breathline.catalog.binding import events_long
 from breathline.functions import rules
 from breathline.operators.series import pair_series, sustained_onset
-from breathline.plans import cohort, features, outcomes
+from breathline.plans import cohort, features, study
 from breathline.sources.schemas import RELATIONS
 
 P, Q, PEEP = rules.PAO2, rules.FIO2, rules.PEEP
@@ -58,13 +57,7 @@ def test_clinical_cohort_and_counts(tables):
 
 
 def test_feature_table(tables):
-    chosen = cohort.clinical_cohort(tables).cohort
-    measurements = tables["lab"].select(
-        F.col("patientunitstayid").alias("stay_id"), F.col("labresultoffset").alias("offset_min"),
-        F.col("labname").alias("name"), F.col("labresult").alias("value"),
-    )
-    labels = outcomes.label_outcomes(chosen, outcomes.clinical_discharges(tables["patient"]), measurements)
-    table = features.feature_table(tables, chosen, labels)
+    table = study.study_tables(tables).features
     assert table.columns == rules.feature_header()
     got = {r["id"]: r for r in table.collect()}
     one, two = got[1], got[2]
