@@ -66,10 +66,10 @@ def mean_roc_area(spark, d):
 
 
 MODEL_SCORES = {
-    "price": "round(l_extendedprice / 110000, 3)",
+    "price": "floor(l_extendedprice / 110) / 1000",
     "discount": "l_discount * 10",
     "quantity": "l_quantity / 50",
-    "mixed": "round(l_quantity / 100 + l_discount * 5, 3)",
+    "mixed": "l_quantity / 100 + l_discount * 5",
 }
 
 

@@ -118,7 +118,8 @@ def knn_nearest(spark, d):
 
 
 def _doc_scores(spark, d, estimator, **options):
-    rows = labelled_documents(spark, d)
+    # the texts are parsed once, for fitting and scoring
+    rows = cut_lineage(labelled_documents(spark, d))
     pipeline = models.feature_pipeline(DOC_FEATURES, estimator, **options)
     model = models.fit(pipeline, rows.filter("fold <> 0"))
     return models.score(model, rows, ["doc_id", "fold", "label"])
@@ -192,7 +193,7 @@ def stacking(spark, d):
 
 
 def grid_search(spark, d):
-    rows = labelled_documents(spark, d)
+    rows = cut_lineage(labelled_documents(spark, d))
     tree = models.gbt_classifier(maxIter=5)
     grid = models.param_grid(tree, {"maxDepth": [2, 3], "stepSize": [0.05, 0.15]})
     found = models.cross_validate(models.feature_pipeline(DOC_FEATURES, tree), grid, rows, "fold", FOLDS, models.accuracy())
@@ -200,7 +201,7 @@ def grid_search(spark, d):
 
 
 def random_search(spark, d):
-    rows = labelled_documents(spark, d)
+    rows = cut_lineage(labelled_documents(spark, d))
     estimator = models.logistic(maxIter=30)
     grid = models.random_params(estimator, {"regParam": (1e-4, 1.0), "elasticNetParam": [0.0]}, n=4)
     found = models.cross_validate(models.feature_pipeline(DOC_FEATURES, estimator), grid, rows, "fold", FOLDS)
