@@ -43,8 +43,9 @@ def pf_pairs_locf(spark, d):
 def pf_pairs_nonpositive_fill(spark, d):
     rows = events_long(spark, d).withColumn("value", F.when(F.col("value") > 5, F.col("value")).otherwise(0.0))
     out = series.pair_series(rows, OXYGEN, INSPIRED, fill="nonpositive")
-    out = rounded(out.select("stay_id", "offset_min", "pao2", "fio2", "pf"), 10, "pao2", "fio2")
-    return rounded(out, 5, "pf")
+    # the ratio of the rounded parts: summation order may move a mean by one unit in the last place
+    out = rounded(out.select("stay_id", "offset_min", "pao2", "fio2"), 10, "pao2", "fio2")
+    return out.withColumn("pf", F.round(F.try_divide("pao2", "fio2"), 6))
 
 
 def pf_onset(spark, d):
@@ -249,7 +250,8 @@ q AS (SELECT z.stay_id, offset_min, name, max(CASE WHEN value < 1e-6 THEN NULL E
   any_value(mv) AS mv FROM z LEFT JOIN mean_of USING (stay_id, name) GROUP BY 1, 2, 3),
 f AS (SELECT stay_id, offset_min, name, coalesce(top, mv) AS value FROM q),
 {sql_pairs('f')}
-SELECT stay_id, offset_min, round(pao2, 10) AS pao2, round(fio2, 10) AS fio2, round(pf, 5) AS pf FROM pairs""",
+SELECT stay_id, offset_min, round(pao2, 10) AS pao2, round(fio2, 10) AS fio2,
+  round(round(pao2, 10) / round(fio2, 10), 6) AS pf FROM pairs""",
     "pf_onset": f"""{_ONSET}
 SELECT stay_id, onset, round(min_pf, 6) AS min_pf, severity, n_pairs FROM onset""",
     "pf_severity_by_day": f"""{_PAIRS}
