@@ -117,6 +117,12 @@ def knn_nearest(spark, d):
     return near.select("query_id", "rank", "neighbour_id", F.round("distance", 6).alias("distance"))
 
 
+def knn_accuracy_by_k(spark, d):
+    votes = neighbours.vote(_neighbours(spark, d, 64), models.NEIGHBOUR_KS)
+    out = neighbours.accuracy_by_k(votes, read(spark, d, "embeddings"), "vec_id", "label")
+    return rounded(out, 9, "accuracy")
+
+
 def _doc_scores(spark, d, estimator, **options):
     # the texts are parsed once, for fitting and scoring
     rows = cut_lineage(labelled_documents(spark, d))
@@ -185,6 +191,12 @@ def kernel_svc(spark, d):
     return models.score(model, rows, ["vec_id", "fold", "label"])
 
 
+def kernel_svc_search(spark, d):
+    rows = cut_lineage(embedded(spark, d))
+    pairs = [(1.0, 0.1), (10.0, 1.0)]
+    return models.kernel_svc_search(rows, "vector", 64, pairs, "fold", FOLDS, components=64, maxIter=10)
+
+
 def stacking(spark, d):
     scored, _ = models.stacked_scores(
         cut_lineage(embedded(spark, d)), "vec_id", "vector", EMBEDDING, "fold", FOLDS, k=50, forest=SMALL_FOREST
@@ -241,9 +253,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         split_candidates, best_split_stump, boosted_stumps, best_split_all, best_split_per_group,
-        logistic_boosting, gaussian_bayes, knn_vote, knn_nearest, gbt_classifier, gbt_weighted,
+        logistic_boosting, gaussian_bayes, knn_vote, knn_nearest, knn_accuracy_by_k, gbt_classifier, gbt_weighted,
         gbt_regressor, decision_tree, random_forest, forest_regressor, bagged_trees, bagged_regressor,
-        bagged_forests, logistic_regression, linear_svc, kernel_svc, stacking, grid_search,
+        bagged_forests, logistic_regression, linear_svc, kernel_svc, kernel_svc_search, stacking, grid_search,
         random_search, cross_validated_score, tree_summary, trained_model_compare,
     )
 }
@@ -289,6 +301,11 @@ d AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id, b.label, list_dista
   FROM e a JOIN e b ON a.fold <> b.fold),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM d)"""
 
+_VOTE = f"""{_NEAR},
+k AS (SELECT CAST(unnest(range(50, 65)) AS INTEGER) AS k),
+n AS (SELECT query_id, k, label, count(*) AS n FROM r JOIN k ON rank <= k GROUP BY ALL),
+v AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query_id, k ORDER BY n DESC, label) = 1)"""
+
 SQL = {
     "split_candidates": f"{_V0},\n{_sql_round('v0', 1)}\nSELECT {_STUMP}, round(sse, 6) AS sse FROM k1",
     "best_split_stump": f"{_V0},\n{_sql_round('v0', 1)}\nSELECT {_STUMP}, round(sse, 6) AS sse FROM b1",
@@ -308,11 +325,10 @@ ll AS (SELECT vec_id, c, any_value(label) AS label, sum(-0.5 * ln(2 * pi() * s)
   FROM x JOIN st USING (i) GROUP BY 1, 2)
 SELECT vec_id, label, c AS prediction FROM ll JOIN pr USING (c)
 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY l + lp DESC) = 1""",
-    "knn_vote": f"""{_NEAR},
-k AS (SELECT CAST(unnest(range(50, 65)) AS INTEGER) AS k),
-n AS (SELECT query_id, k, label, count(*) AS n FROM r JOIN k ON rank <= k GROUP BY ALL)
-SELECT query_id, k, label AS prediction FROM n
-QUALIFY row_number() OVER (PARTITION BY query_id, k ORDER BY n DESC, label) = 1""",
+    "knn_vote": f"{_VOTE}\nSELECT query_id, k, label AS prediction FROM v",
+    "knn_accuracy_by_k": f"""{_VOTE}
+SELECT k, CAST(sum(CAST(v.label = e.label AS INTEGER)) AS BIGINT) AS hits,
+  round(avg(CAST(v.label = e.label AS INTEGER)), 9) AS accuracy FROM v JOIN e ON query_id = vec_id GROUP BY 1""",
     "knn_nearest": f"""{_NEAR}
 SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbour_id, round(distance, 6) AS distance FROM r WHERE rank <= 3""",
 }

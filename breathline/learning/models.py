@@ -283,6 +283,35 @@ def out_of_fold_scores(
     return reduce(DataFrame.unionByName, parts)
 
 
+def kernel_svc_search(
+    df: DataFrame,
+    vector: str,
+    dims: int,
+    candidates: Sequence[tuple[float, float]],
+    fold_col: str,
+    folds: int,
+    components: int = 128,
+    **light,
+) -> DataFrame:
+    """Accuracy over folds of each (C, gamma): (candidate, C, gamma, accuracy, best).
+
+    Labels are predicted out of fold; per candidate one count of hits leaves Spark.
+    """
+    n_rows = df.count()
+    rows = []
+    for i, (c, gamma) in enumerate(candidates):
+        mapped = random_fourier_features(df, vector, dims, gamma, components)
+        estimator = Pipeline(stages=[linear_svc(c=c, n_rows=n_rows, **light)])
+        scored = out_of_fold_scores(mapped, estimator, fold_col, folds, ["label"])
+        hit = scored.agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("a")).first().a
+        rows.append((i, float(c), float(gamma), float(hit)))
+    best = max(range(len(rows)), key=lambda i: (rows[i][3], -i))
+    return df.sparkSession.createDataFrame(
+        [(*r, r[0] == best) for r in rows],
+        "candidate int, C double, gamma double, accuracy double, best boolean",
+    )
+
+
 def stacked_scores(
     df: DataFrame,
     id_col: str,

@@ -185,3 +185,12 @@ def vote_share(neighbours: DataFrame, k: int, positive: int = 1) -> DataFrame:
     return neighbours.filter(F.col("rank") <= k).groupBy("query_id").agg(
         F.avg((F.col("neighbour_label") == positive).cast("double")).alias("score")
     )
+
+
+def accuracy_by_k(votes: DataFrame, labels: DataFrame, id_col: str, label: str) -> DataFrame:
+    """(k, hits, accuracy): the grid over k read off one search."""
+    truth = labels.select(F.col(id_col).cast("bigint").alias("query_id"), F.col(label).alias("_label"))
+    hit = (F.col("prediction") == F.col("_label")).cast("int")
+    return votes.join(truth, "query_id").groupBy("k").agg(
+        F.sum(hit).alias("hits"), F.avg(hit.cast("double")).alias("accuracy")
+    )
