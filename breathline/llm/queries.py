@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from breathline.catalog.binding import read
+from breathline.llm.byte_bpe import encode_texts
+from breathline.llm.packing import pack_documents
 from breathline.llm.quality_rules import quality_rules
 from breathline.llm.shared import Workspace
 from breathline.llm.url_filter import url_filter
@@ -17,6 +19,18 @@ URL_RULES = [
 ]
 
 
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = pack_documents(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encode_texts(read(spark, folder, "documents"), path, public_tokenizers.PATTERN, digests=True)
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(read(spark, folder, "documents"), Workspace(spark, "op5"))
 
@@ -25,5 +39,5 @@ def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter(read(spark, folder, "pages"), URL_RULES, Workspace(spark, "op6"))
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op6_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_packing, op4_byte_bpe, op5_quality_rules, op6_url_filter)}
 SQL: dict[str, str] = {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -123,16 +124,19 @@ class Memo:
         known = self.at
         new = [w for w in words if w not in known]
         if new:
-            for word, ids in zip(new, self.encode(new), strict=True):
-                place = len(known)
-                if place == len(self.start):
-                    self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-                while self.used + len(ids) > len(self.pool):
-                    self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-                self.pool[self.used : self.used + len(ids)] = ids
-                self.start[place], self.length[place] = self.used, len(ids)
-                self.used += len(ids)
-                known[word] = place
+            lists = self.encode(new)
+            lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+            ids = np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum()))
+            first, held = len(known), len(known) + len(new)
+            if held > len(self.start):
+                self.start, self.length = (np.resize(x, 2 * held) for x in (self.start, self.length))
+            if self.used + len(ids) > len(self.pool):
+                self.pool = np.resize(self.pool, 2 * (self.used + len(ids)))
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.start[first:held] = self.used + np.cumsum(lengths) - lengths
+            self.length[first:held] = lengths
+            self.used += len(ids)
+            known.update(zip(new, range(first, held), strict=True))
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def ids_of(self, words: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
