@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from breathline.catalog.binding import read
 from breathline.llm.byte_bpe import encode_texts
+from breathline.llm.language_id import identify_languages, train_language_model
 from breathline.llm.packing import pack_documents
+from breathline.llm.quality_model import measure_texts, score_quality, train_quality_model
 from breathline.llm.quality_rules import quality_rules
 from breathline.llm.shared import Workspace
 from breathline.llm.url_filter import url_filter
@@ -18,6 +20,8 @@ URL_RULES = [
     ("block", "net", "/es/"), ("block", "net", "/fr/"),
 ]
 
+QUALITY_CUT = 0.3
+
 
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = pack_documents(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -26,6 +30,20 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def id_remainder(column: str, by: int) -> Column:
+    return F.crc32(F.col(column).cast("string").cast("binary")) % by
+
+
+def language_model(documents: DataFrame):
+    return train_language_model(documents.where(id_remainder("doc_id", 3) != 1), "text", "lang", "doc_id")
+
+
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents")
+    found = identify_languages(documents, language_model(documents))
+    return found.select("doc_id", (id_remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return encode_texts(read(spark, folder, "documents"), path, public_tokenizers.PATTERN, digests=True)
@@ -35,9 +53,23 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(read(spark, folder, "documents"), Workspace(spark, "op5"))
 
 
+def quality_model(spark: SparkSession, folder: str, measured: DataFrame):
+    labels = read(spark, folder, "labels").where(id_remainder("doc_id", 5) != 0)
+    return train_quality_model(measured, labels, "doc_id", "quality")
+
+
+def op7_quality_model(spark: SparkSession, folder: str) -> DataFrame:
+    measured = Workspace(spark, "op7").write(measure_texts(read(spark, folder, "documents")))
+    scored = score_quality(measured, quality_model(spark, folder, measured))
+    return scored.select(
+        "doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "score",
+        F.when(F.col("score") >= QUALITY_CUT, 1).otherwise(0).cast("int").alias("predicted"),
+    )
+
+
 def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter(read(spark, folder, "pages"), URL_RULES, Workspace(spark, "op6"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_byte_bpe, op5_quality_rules, op6_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_language_id, op4_byte_bpe, op5_quality_rules, op6_url_filter, op7_quality_model)}
 SQL: dict[str, str] = {}
