@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from breathline.catalog.binding import read
 from breathline.llm.byte_bpe import encode_texts
 from breathline.llm.language_id import identify_languages, train_language_model
+from breathline.llm.near_dup import near_duplicates
 from breathline.llm.packing import pack_documents
 from breathline.llm.quality_model import measure_texts, score_quality, train_quality_model
 from breathline.llm.quality_rules import quality_rules
@@ -71,5 +72,9 @@ def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter(read(spark, folder, "pages"), URL_RULES, Workspace(spark, "op6"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_language_id, op4_byte_bpe, op5_quality_rules, op6_url_filter, op7_quality_model)}
+def op8_near_dup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(read(spark, folder, "documents"), Workspace(spark, "op8"), words_each=4)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op3_language_id, op4_byte_bpe, op5_quality_rules, op6_url_filter, op7_quality_model, op8_near_dup)}
 SQL: dict[str, str] = {}

@@ -17,7 +17,7 @@ from breathline.session import use_checkpoint_dir
 #: bytes of text that a Python task handles at once; a longer text is a slice of its own
 SLICE_BYTES = 4 << 20
 #: rows of an Arrow batch, so that a batch of long texts stays small
-BATCH_ROWS = 1024
+BATCH_ROWS = 256
 
 
 class Workspace:
