@@ -159,6 +159,50 @@ def exact_links(pairs: DataFrame, percent: int) -> DataFrame:
     return arrow_map(pairs, run, "a long, b long")
 
 
+def relate_to_lead(stars: DataFrame) -> DataFrame:
+    """(lead, id, comp, n, c, extra): of each set its size, what it shares with the lead's, and the shingles it does not share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, c, extra = [], [], []
+            for x, y in zip(batch.column("xa"), batch.column("xb"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                own = np.setdiff1d(y, x, assume_unique=True)
+                n.append(len(y))
+                c.append(len(y) - len(own))
+                extra.append(own.view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in ("lead", "id", "comp")), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(extra, pa.list_(pa.int64()))],
+                names=["lead", "id", "comp", "n", "c", "extra"],
+            )
+
+    return arrow_map(stars.select("lead", "id", "comp", "xa", "xb"), run, "lead long, id long, comp long, n long, c long, extra array<long>")
+
+
+def open_pairs(stars: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) around one lead, of different components, that can still reach the threshold.
+
+    Two sets share at most the smaller of what each shares with the lead, plus
+    the r shingles that both have outside the lead. So
+    J <= (m + r) / (na + nb - m - r) with m = min(ca, cb), and a pair is only
+    made if that bound allows it: with r = 0 by the numbers alone, with r > 0
+    through a common outside shingle. Copies edited in different places share
+    none, so a large group of them makes few pairs.
+    """
+    sides = {s: stars.select("lead", *[F.col(k).alias(f"{k}_{s}") for k in ("id", "comp", "n", "c", "extra")]) for s in "ab"}
+    differ = "id_a < id_b AND comp_a <> comp_b"
+    reach = f"{100 + percent} * (least(c_a, c_b) + {{}}) >= {percent} * (n_a + n_b)"
+    a, b = (sides[s].drop(f"extra_{s}") for s in "ab")
+    plain = a.join(b, "lead").where(f"{differ} AND {reach.format(0)}").select("id_a", "id_b")
+    ea, eb = (sides[s].withColumn("shingle", F.explode(f"extra_{s}")).drop(f"extra_{s}") for s in "ab")
+    shared = (
+        ea.join(eb, ["lead", "shingle"]).where(differ)
+        .groupBy("lead", "id_a", "id_b").agg(F.count("*").alias("r"), *[F.first(k).alias(k) for k in ("n_a", "n_b", "c_a", "c_b")])
+        .where(reach.format("r")).select("id_a", "id_b")
+    )
+    return plain.union(shared).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text",
     words_each: int = 5, percent: int = 80, miss: float = 1e-6,
@@ -169,8 +213,9 @@ def near_duplicates(
     2. Leaders that share a band key meet in a bucket. First each is compared
        with its bucket's smallest member, which joins most of a large group of
        near copies. Then pairs inside a bucket are compared if their
-       components still differ. No other pair is left out, since more links
-       inside a component change nothing.
+       components still differ and ``open_pairs`` cannot rule them out. No
+       link between components is left out; more links inside a component
+       change nothing.
     3. A pair is dropped as soon as the posterior probability of reaching the
        threshold, given the signature values compared so far, falls below
        ``miss``. What remains is verified on whole sets.
@@ -210,18 +255,18 @@ def near_duplicates(
     links = verify(tried)
     known = connected_components(links, work)
     placed = work.write(
-        members.join(known, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("component_id"))
-    )
-    mixed = placed.groupBy("key").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high")).where("low < high").select("key")
-    open_members = work.write(placed.join(mixed, "key"))
-    others = open_members.select("key", F.col("id").alias("b"), F.col("component_id").alias("other"))
-    rest = (
-        open_members.select("key", F.col("id").alias("a"), "component_id").join(others, "key")
-        .where("a < b AND component_id <> other").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+        members.join(known, "id", "left")
+        .select("key", F.col("first").alias("lead"), "id", F.coalesce("component_id", "id").alias("comp"))
     )
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    stars = placed.join(mixed, "key").where("id <> lead").select("lead", "id", "comp").distinct()
+    whole = sets.dropDuplicates(["id"])
+    stars = stars.join(whole.select(F.col("id").alias("lead"), F.col("shingles").alias("xa")), "lead")
+    related = work.write(relate_to_lead(stars.join(whole.select("id", F.col("shingles").alias("xb")), "id")))
+    rest = open_pairs(related, percent).join(tried, ["a", "b"], "left_anti")
     links = links.union(verify(work.write(rest)))
     components = work.write(connected_components(links, work))
-    work.drop(members, busy, signatures, sets, placed, open_members)
+    work.drop(members, busy, signatures, sets, placed, related)
     of_class = leaders.join(components, F.col("leader") == F.col("id"), "left").select(
         "digest", F.coalesce("component_id", "leader").alias("component_id")
     )
