@@ -13,6 +13,7 @@ from breathline.llm.near_dup import near_duplicates
 from breathline.llm.packing import pack_documents
 from breathline.llm.quality_model import measure_texts, score_quality, train_quality_model
 from breathline.llm.quality_rules import quality_rules
+from breathline.llm.repeats import remove_repeats
 from breathline.llm.shared import Workspace
 from breathline.llm.url_filter import url_filter
 
@@ -31,6 +32,16 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    cut = remove_repeats(read(spark, folder, "documents").select("doc_id", "text"), Workspace(spark, "op2"))
+    sizes = F.transform("_spans", lambda s: s["end"] - s["start"])
+    removed = F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x)
+    return cut.select(
+        "doc_id", (F.length("_kept") + removed).alias("n_bytes"), removed.alias("n_removed"),
+        F.size("_spans").cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"),
+    )
+
+
 def id_remainder(column: str, by: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % by
 
@@ -76,5 +87,5 @@ def op8_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(read(spark, folder, "documents"), Workspace(spark, "op8"), words_each=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_language_id, op4_byte_bpe, op5_quality_rules, op6_url_filter, op7_quality_model, op8_near_dup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_repeats, op3_language_id, op4_byte_bpe, op5_quality_rules, op6_url_filter, op7_quality_model, op8_near_dup)}
 SQL: dict[str, str] = {}

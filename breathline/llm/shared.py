@@ -59,6 +59,11 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def small_side(table: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Hint a broadcast if the table has been counted and is small; a larger one is left to the planner's shuffle join."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows that hold at most ``limit`` bytes of text (one row at least)."""
     for batch in batches:
