@@ -186,6 +186,27 @@ class WordLabels:
             self.at.update(zip(new, range(first, held), strict=True))
         return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
 
+    def label(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Label and score of whole texts: probabilities pooled over all positions."""
+        best, score, named = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts), bool)
+        words, codes, borders = coded_words(texts)
+        places = self.places(words)[codes]
+        full = np.flatnonzero(np.diff(borders))
+        if len(full):
+            sums = np.add.reduceat(self.sums[places], borders[full], axis=0, dtype=np.float64)
+            sizes = np.add.reduceat(self.size[places], borders[full])
+            best[full] = sums.argmax(axis=1)
+            score[full] = sums.max(axis=1) / np.maximum(sizes, 1)
+            named[full] = sizes > 0
+        labels = [self.model.labels[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), named.tolist(), strict=True)]
+        return labels, np.clip(score, 0, 1)
+
+
+def _labeller(model: ByteGru | None):
+    if model:
+        return WordLabels(model).label
+    return lambda texts: ([UNKNOWN] * len(texts), np.zeros(len(texts)))
+
 
 def train_language_model(
     docs: DataFrame, text_col: str, lang_col: str, order_by: str,
@@ -224,23 +245,22 @@ def identify_languages(docs: DataFrame, model: ByteGru | None, id_col: str = "do
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordLabels(model) if model else None
+        label = _labeller(model)
         for part in text_slices(batches):
-            rows = part.num_rows
-            best, score, named = np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows, bool)
-            if known:
-                words, codes, borders = coded_words(part.column("text"))
-                places = known.places(words)[codes]
-                full = np.flatnonzero(np.diff(borders))
-                if len(full):
-                    sums = np.add.reduceat(known.sums[places], borders[full], axis=0, dtype=np.float64)
-                    sizes = np.add.reduceat(known.size[places], borders[full])
-                    best[full] = sums.argmax(axis=1)
-                    score[full] = sums.max(axis=1) / np.maximum(sizes, 1)
-                    named[full] = sizes > 0
-            labels = [model.labels[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), named.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(labels, pa.string()), pa.array(np.clip(score, 0, 1))], names=[id_col, "lang_pred", "score"]
-            )
+            labels, score = label(part.column("text"))
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(labels, pa.string()), pa.array(score)], names=[id_col, "lang_pred", "score"])
 
     return arrow_map(docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text"), run, f"`{id_col}` {kind}, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: ByteGru | None, text_col: str = "text", min_score: float = 0.3) -> DataFrame:
+    """The rows, with all columns, whose text has a language with at least ``min_score``; without a model all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label = _labeller(model)
+        for part in text_slices(batches, text_col):
+            labels, score = label(part.column(text_col))
+            named = np.fromiter((x != UNKNOWN for x in labels), bool, len(labels))
+            yield part.filter(pa.array(named & (score >= min_score)))
+
+    return arrow_map(docs, run, docs.schema) if model else docs

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from breathline.llm.shared import Workspace, arrow_map, coded_words, connected_components, text_slices
+from breathline.llm.shared import Workspace, arrow_map, coded_words, connected_components, small_side, text_slices
 
 #: bands and rows a band: a pair of similarity 0.8 shares no band with probability 7e-7
 BANDS, ROWS = 60, 7
@@ -236,7 +236,7 @@ def near_duplicates(
     members = work.write(keyed.join(firsts.select("key", "first"), "key").select("key", "id", "first"))
     busy = work.write(members.select("id").distinct())
     signatures = work.write(led.join(busy, "id", "left_semi").select("id", "n", "signature").dropDuplicates(["id"]))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(busy, "id", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(small_side(busy), "id", "left_semi")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
@@ -278,3 +278,15 @@ def near_duplicates(
         )
         .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull()))
     )
+
+
+def keep_one_of_each(docs: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows, with all columns, of the kept documents; of rows that repeat a kept document's id and text one stays."""
+    found = work.write(near_duplicates(docs, work, id_col, text_col, **options))
+    dropped = found.where("NOT kept").select(id_col).distinct()
+    stay = docs.join(small_side(dropped), id_col, "left_anti")
+    twice = work.write(found.where("kept").groupBy(id_col).agg(F.count("*").alias("_n")).where(f"_n > 1 AND `{id_col}` IS NOT NULL").select(id_col))
+    if twice.isEmpty():
+        return stay
+    few = small_side(twice)
+    return stay.join(few, id_col, "left_anti").unionByName(stay.join(few, id_col, "left_semi").dropDuplicates([id_col, text_col]))

@@ -160,39 +160,53 @@ def fit_additive_model(
     return model
 
 
-def measure_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, features) per document, from whole texts; one scan, no shuffle."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def measure_texts(docs: DataFrame, text_col: str, extra: list[str]) -> DataFrame:
+    """``extra`` columns and the features of each row, from its whole text."""
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             found = text_features(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("id"), *map(pa.array, found.T)], names=[id_col, *FEATURES])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in extra), *map(pa.array, found.T)], names=[*extra, *FEATURES])
 
-    fields = ", ".join(f"{f} float" for f in FEATURES)
-    return arrow_map(docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text"), run, f"`{id_col}` {kind}, {fields}")
+    picked = docs.select(*extra, F.col(text_col).alias("text"))
+    return arrow_map(picked, run, f"{kinds}, " + ", ".join(f"{f} float" for f in FEATURES))
 
 
-def train_quality_model(measured: DataFrame, labels: DataFrame, id_col: str, label_col: str, max_rows: int = 20_000) -> AdditiveModel:
-    """Fit on at most ``max_rows`` labelled rows, those with the smallest hashes of the id.
+def train_quality_model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int = 20_000) -> AdditiveModel:
+    """Fit on at most ``max_rows`` labelled ids, those with the smallest hashes; only their texts are measured.
 
-    Rows without a label are left out; of several labels of one id the smallest counts.
+    Rows without a label are left out; of several labels of one id the smallest
+    counts. Ids without a document add nothing.
     """
-    one = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("double").alias("_y"))
-    rows = (
-        measured.join(one, measured[id_col] == one["_id"]).select(F.xxhash64("_id").alias("_h"), "_id", "_y", *FEATURES)
-        .orderBy("_h", "_id", *FEATURES).limit(max_rows).toPandas()
-    )
+    one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("double").alias("_y"))
+    sample = one.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+    chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")  # max_rows rows
+    rows = measure_texts(chosen, "_text", ["_id", "_y"]).toPandas().sort_values(["_id", *FEATURES])
     return fit_additive_model(rows[FEATURES].to_numpy(np.float32).reshape(-1, len(FEATURES)), (rows["_y"].to_numpy(float) > 0).astype(float))
 
 
-def score_quality(measured: DataFrame, model: AdditiveModel, id_col: str = "doc_id") -> DataFrame:
-    """(id, score) by adding up table cells for whole batches; score is the probability of label 1."""
-    kind = measured.schema[id_col].dataType.simpleString()
+def score_quality(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score) per document by adding up table cells for whole batches; score is the probability of label 1.
+
+    From the whole text alone; null and empty texts are scored on zero
+    features. One scan, no shuffle; repeated rows stay repeated; other columns
+    are not read.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(model.score(text_features(part.column("text"))))], names=[id_col, "score"])
+
+    return arrow_map(docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text"), run, f"`{id_col}` {kind}, score double")
+
+
+def keep_good(docs: DataFrame, model: AdditiveModel, text_col: str = "text", cut: float = 0.3) -> DataFrame:
+    """The rows, with all columns, that score ``cut`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.column_stack([batch.column(f).to_numpy(zero_copy_only=False) for f in FEATURES])
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(model.score(x))], names=[id_col, "score"])
+        for part in text_slices(batches, text_col):
+            yield part.filter(pa.array(model.score(text_features(part.column(text_col))) >= cut))
 
-    return arrow_map(measured.select(id_col, *FEATURES), run, f"`{id_col}` {kind}, score double")
+    return arrow_map(docs, run, docs.schema)

@@ -11,7 +11,7 @@ from breathline.llm.byte_bpe import encode_texts
 from breathline.llm.language_id import identify_languages, train_language_model
 from breathline.llm.near_dup import near_duplicates
 from breathline.llm.packing import pack_documents
-from breathline.llm.quality_model import measure_texts, score_quality, train_quality_model
+from breathline.llm.quality_model import score_quality, train_quality_model
 from breathline.llm.quality_rules import quality_rules
 from breathline.llm.repeats import remove_repeats
 from breathline.llm.shared import Workspace
@@ -65,14 +65,13 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(read(spark, folder, "documents"), Workspace(spark, "op5"))
 
 
-def quality_model(spark: SparkSession, folder: str, measured: DataFrame):
-    labels = read(spark, folder, "labels").where(id_remainder("doc_id", 5) != 0)
-    return train_quality_model(measured, labels, "doc_id", "quality")
+def quality_model(documents: DataFrame, labels: DataFrame):
+    return train_quality_model(documents, labels.where(id_remainder("doc_id", 5) != 0), "doc_id", "text", "quality")
 
 
 def op7_quality_model(spark: SparkSession, folder: str) -> DataFrame:
-    measured = Workspace(spark, "op7").write(measure_texts(read(spark, folder, "documents")))
-    scored = score_quality(measured, quality_model(spark, folder, measured))
+    documents = read(spark, folder, "documents")
+    scored = score_quality(documents, quality_model(documents, read(spark, folder, "labels")))
     return scored.select(
         "doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "score",
         F.when(F.col("score") >= QUALITY_CUT, 1).otherwise(0).cast("int").alias("predicted"),
