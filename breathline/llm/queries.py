@@ -16,6 +16,7 @@ from breathline.llm.quality_rules import quality_rules
 from breathline.llm.repeats import remove_repeats
 from breathline.llm.shared import Workspace
 from breathline.llm.url_filter import url_filter
+from breathline.llm.vector_dup import vector_duplicates
 
 URL_RULES = [
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -86,5 +87,9 @@ def op8_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(read(spark, folder, "documents"), Workspace(spark, "op8"), words_each=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_repeats, op3_language_id, op4_byte_bpe, op5_quality_rules, op6_url_filter, op7_quality_model, op8_near_dup)}
+def op9_vector_dup(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_duplicates(read(spark, folder, "embeddings"), Workspace(spark, "op9"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_repeats, op3_language_id, op4_byte_bpe, op5_quality_rules, op6_url_filter, op7_quality_model, op8_near_dup, op9_vector_dup)}
 SQL: dict[str, str] = {}
