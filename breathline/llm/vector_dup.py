@@ -264,8 +264,8 @@ def vector_duplicates(
         return pa.table({"dim": pa.array([dim], pa.int32()), "shard": shard.column("shard").slice(0, 1), "graph": pa.array([pickle.dumps(held, 5)], pa.binary())})
 
     graphs = work.write(nodes.groupBy("dim", "shard").applyInArrow(build, "dim int, shard long, graph binary"))
-    asked = nodes.select("dim", "block", "id", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("shard"))
-    spread = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    asked = nodes.select("dim", "block", "id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
+    spread = graphs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def ask(graph: pa.Table, queries: pa.Table) -> pa.Table:
         if not graph.num_rows or not queries.num_rows:
