@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from breathline.catalog.binding import read
 from breathline.llm.byte_bpe import encode_texts
+from breathline.llm.html_text import extract_main_text, train_node_model
 from breathline.llm.language_id import identify_languages, train_language_model
 from breathline.llm.near_dup import near_duplicates
 from breathline.llm.packing import pack_documents
@@ -91,5 +92,16 @@ def op9_vector_dup(spark: SparkSession, folder: str) -> DataFrame:
     return vector_duplicates(read(spark, folder, "embeddings"), Workspace(spark, "op9"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_repeats, op3_language_id, op4_byte_bpe, op5_quality_rules, op6_url_filter, op7_quality_model, op8_near_dup, op9_vector_dup)}
+def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read(spark, folder, "pages")
+    return extract_main_text(pages, train_node_model(pages, "html"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_packing, op2_repeats, op3_language_id, op4_byte_bpe, op5_quality_rules, op6_url_filter, op7_quality_model, op8_near_dup, op9_vector_dup,
+        op10_html_text,
+    )
+}
 SQL: dict[str, str] = {}
