@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from breathline.llm.shared import Workspace, arrow_map, coded_words, connected_components, small_side, text_slices
@@ -186,20 +186,24 @@ def open_pairs(stars: DataFrame, percent: int) -> DataFrame:
     the r shingles that both have outside the lead. So
     J <= (m + r) / (na + nb - m - r) with m = min(ca, cb), and a pair is only
     made if that bound allows it: with r = 0 by the numbers alone, with r > 0
-    through a common outside shingle. Copies edited in different places share
-    none, so a large group of them makes few pairs.
+    through a common outside shingle among the rarest of both. Copies edited in
+    different places share none, so a large group of them makes few pairs.
     """
-    sides = {s: stars.select("lead", *[F.col(k).alias(f"{k}_{s}") for k in ("id", "comp", "n", "c", "extra")]) for s in "ab"}
+    a, b = (stars.select("lead", *[F.col(k).alias(f"{k}_{s}") for k in ("id", "comp", "n", "c")]) for s in "ab")
     differ = "id_a < id_b AND comp_a <> comp_b"
     reach = f"{100 + percent} * (least(c_a, c_b) + {{}}) >= {percent} * (n_a + n_b)"
-    a, b = (sides[s].drop(f"extra_{s}") for s in "ab")
     plain = a.join(b, "lead").where(f"{differ} AND {reach.format(0)}").select("id_a", "id_b")
-    ea, eb = (sides[s].withColumn("shingle", F.explode(f"extra_{s}")).drop(f"extra_{s}") for s in "ab")
-    shared = (
-        ea.join(eb, ["lead", "shingle"]).where(differ)
-        .groupBy("lead", "id_a", "id_b").agg(F.count("*").alias("r"), *[F.first(k).alias(k) for k in ("n_a", "n_b", "c_a", "c_b")])
-        .where(reach.format("r")).select("id_a", "id_b")
-    )
+    # a member needs at least percent of its set in common with a partner, so of its outside shingles, rarest first,
+    # one among the first (outside - needed + 1) is common too
+    needed = F.greatest(F.ceil(F.col("n") * percent / 100 - 1e-9) - F.col("c"), F.lit(1))
+    outside = stars.select("lead", "id", "comp", "n", "c", (F.col("n") - F.col("c") - needed + 1).alias("first"), F.explode("extra").alias("shingle"))
+    often = outside.groupBy("lead", "shingle").agg(F.count("*").alias("f"))
+    rank = F.row_number().over(Window.partitionBy("lead", "id").orderBy("f", "shingle"))
+    front = outside.join(often, ["lead", "shingle"]).withColumn("rank", rank).where("rank <= first AND f > 1")
+    ea, eb = (front.select("lead", "shingle", *[F.col(k).alias(f"{k}_{s}") for k in ("id", "comp", "n", "c", "rank")]) for s in "ab")
+    # at the first common shingle, what both still have behind it limits r
+    most = "(least(n_a - c_a - rank_a, n_b - c_b - rank_b) + 1)"
+    shared = ea.join(eb, ["lead", "shingle"]).where(f"{differ} AND {reach.format(most)}").select("id_a", "id_b").distinct()
     return plain.union(shared).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
