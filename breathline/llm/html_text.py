@@ -116,7 +116,7 @@ class Page:
         return np.asarray(label)
 
     def features(self, vocabulary: dict[str, int]) -> np.ndarray:
-        """(nodes, features): counts of the subtree, place among siblings, tags, and attribute words of the vocabulary."""
+        """(nodes, features): signs, tags and attribute words of the vocabulary, above and of the node; then counts and place."""
         n = len(self.tag)
         parent = np.asarray(self.parent)
         chars, words, stops, upper, blocks = (np.zeros(n) for _ in range(5))
@@ -162,9 +162,9 @@ class Page:
         for node, (tag, attr) in enumerate(zip(self.tag, self.words, strict=True)):
             for sign, (tags, named) in enumerate(SIGNS):
                 if tag in tags or named.intersection(attr):
-                    marks[node, len(TAGS) + sign] = 1
+                    marks[node, sign] = 1
             if tag in _TAG_AT:
-                marks[node, _TAG_AT[tag]] = 1
+                marks[node, len(SIGNS) + _TAG_AT[tag]] = 1
             for word in attr:
                 if word in vocabulary:
                     marks[node, first + vocabulary[word]] = 1
@@ -172,7 +172,7 @@ class Page:
         above = marks.copy()
         for node in range(1, n):
             np.maximum(above[node], above[self.parent[node]], out=above[node])
-        return np.concatenate([numbers, marks, above], axis=1).astype(np.float32)
+        return np.concatenate([above, marks, numbers], axis=1).astype(np.float32)
 
     def decode(self, log_odds: np.ndarray) -> list[bool]:
         """Which nodes are main text, by the likeliest consistent labelling of the tree.
@@ -298,7 +298,7 @@ def train_node_model(pages: DataFrame, html_col: str, max_pages: int = 300, max_
         labels.append(y[y >= 0])
     x, y = np.concatenate(rows), np.concatenate(labels)
     bare = x[::2].copy()
-    bare[:, len(NUMBERS) :] = 0
+    bare[:, : -len(NUMBERS)] = 0
     return BoostedTrees().fit(np.concatenate([x, bare]), np.concatenate([y, y[::2]]).astype(float)), vocabulary
 
 
