@@ -18,6 +18,7 @@ from breathline.session import cut_lineage
 FOLDS = 5
 DOC_FEATURES = ["n_chars", "n_words", "n_lines", "word_length", "digit_share", "upper_share"]
 EMBEDDING = [f"e{i}" for i in range(64)]
+STUMP_ERROR = 0.05
 SMALL_FOREST = {"numTrees": 20, "maxDepth": 5}
 
 
@@ -71,8 +72,10 @@ def best_split_stump(spark, d):
 
 
 def boosted_stumps(spark, d):
-    """The first three additive stumps, one row per round."""
-    found = splits.boosted_stumps(_priced_lines(spark, d), "l_quantity", "y", error=1e-9, max_rounds=3)
+    """Additive stumps on a curve until the squared error is under STUMP_ERROR of the first; one row per round."""
+    lines = read(spark, d, "lineitem").withColumn("y", F.col("l_quantity") * F.col("l_quantity") / 1000)
+    start = lines.agg(F.sum(F.col("y") * F.col("y")).alias("q")).first().q or 0.0
+    found = splits.boosted_stumps(lines, "l_quantity", "y", error=STUMP_ERROR * start)
     rows = [(i + 1, s.split, s.left, s.right) for i, s in enumerate(found)]
     out = spark.createDataFrame(rows, "round int, split double, left_mean double, right_mean double")
     return rounded(out, 6, "left_mean", "right_mean")
@@ -172,7 +175,8 @@ def bagged_forests(spark, d):
 
 
 def logistic_regression(spark, d):
-    return _doc_scores(spark, d, models.logistic(maxIter=50), impute=True)
+    train = labelled_documents(spark, d).filter("fold <> 0").count()
+    return _doc_scores(spark, d, models.logistic(n_rows=train), impute=True)
 
 
 def _vector_scores(spark, d, estimator):
@@ -181,13 +185,18 @@ def _vector_scores(spark, d, estimator):
     return models.out_of_fold_scores(rows, pipeline, "fold", FOLDS, ["vec_id", "label"])
 
 
+def _training_rows(spark, d) -> int:
+    """Vectors outside one fold, which the penalty of a support vector classifier is stated for."""
+    return read(spark, d, "embeddings").filter(F.pmod("vec_id", F.lit(FOLDS)) != 0).count()
+
+
 def linear_svc(spark, d):
-    return _vector_scores(spark, d, models.linear_svc(c=0.1, n_rows=400, maxIter=20))
+    return _vector_scores(spark, d, models.linear_svc(c=0.1, n_rows=_training_rows(spark, d)))
 
 
 def kernel_svc(spark, d):
     rows = models.random_fourier_features(embedded(spark, d), "vector", 64, gamma=0.5)
-    model = models.fit(models.linear_svc(c=1.0, n_rows=400, maxIter=20), rows.filter("fold <> 0"))
+    model = models.fit(models.linear_svc(c=1.0, n_rows=_training_rows(spark, d)), rows.filter("fold <> 0"))
     return models.score(model, rows, ["vec_id", "fold", "label"])
 
 
@@ -239,7 +248,7 @@ def trained_model_compare(spark, d):
         "tree": models.tree_classifier(),
         "forest": models.forest_classifier(**SMALL_FOREST),
         "bayes": models.gaussian_bayes(),
-        "logistic": models.logistic(maxIter=30),
+        "logistic": models.logistic(n_rows=rows.count()),
     }
     parts = [
         models.out_of_fold_scores(rows, models.feature_pipeline(DOC_FEATURES, e), "fold", FOLDS, ["label"])
@@ -278,6 +287,18 @@ _V0 = """WITH v0 AS (SELECT l_quantity AS x, count(*) AS n, sum(l_extendedprice
 _STUMP = "split, round(left_mean, 6) AS left_mean, round(right_mean, 6) AS right_mean"
 
 
+def _sql_boosted(rounds: int) -> str:
+    """As many rounds as may be needed; a round counts while the error before it is not yet under the limit."""
+    steps = ",\n".join(_sql_round(f"v{i}", i + 1) for i in range(rounds))
+    limit = f"(SELECT {STUMP_ERROR} * sum(q) FROM v0)"
+    parts = [f"SELECT CAST(1 AS INTEGER) AS round, {_STUMP} FROM b1"] + [
+        f"SELECT {i}, {_STUMP} FROM b{i} WHERE (SELECT sse FROM b{i - 1}) >= {limit}" for i in range(2, rounds + 1)
+    ]
+    curve = "l_quantity * l_quantity / 1000"
+    first = f"WITH v0 AS (SELECT l_quantity AS x, count(*) AS n, sum({curve}) AS s, sum(({curve}) * ({curve})) AS q FROM lineitem GROUP BY 1)"
+    return first + ",\n" + steps + "\n" + " UNION ALL ".join(parts)
+
+
 def _sql_best(key: str = "") -> str:
     by = f"{key}, " if key else ""
     long = " UNION ALL ".join(
@@ -309,11 +330,7 @@ v AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query_id, k ORDER
 SQL = {
     "split_candidates": f"{_V0},\n{_sql_round('v0', 1)}\nSELECT {_STUMP}, round(sse, 6) AS sse FROM k1",
     "best_split_stump": f"{_V0},\n{_sql_round('v0', 1)}\nSELECT {_STUMP}, round(sse, 6) AS sse FROM b1",
-    "boosted_stumps": f"""{_V0},
-{_sql_round('v0', 1)},
-{_sql_round('v1', 2)},
-{_sql_round('v2', 3)}
-SELECT CAST(1 AS INTEGER) AS round, {_STUMP} FROM b1 UNION ALL SELECT 2, {_STUMP} FROM b2 UNION ALL SELECT 3, {_STUMP} FROM b3""",
+    "boosted_stumps": _sql_boosted(6),
     "best_split_all": _sql_best(),
     "best_split_per_group": _sql_best("l_returnflag"),
     "gaussian_bayes": """WITH x AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS i,

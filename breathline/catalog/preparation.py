@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -103,7 +105,7 @@ def split_folds(spark, d):
 
 
 def train_test_sizes(spark, d):
-    """Sizes of plain and stratified splits (checked as shares in the tests)."""
+    """Sizes of plain and exactly stratified splits."""
     docs = read(spark, d, "documents").select("doc_id", "lang")
     plain = sampling.train_test(docs, "doc_id", 0.2)
     strata = sampling.stratified_train_test(docs, "doc_id", "lang", 0.25)
@@ -126,7 +128,7 @@ def shuffled_rows(spark, d):
 
 
 def bootstrap_sample(spark, d):
-    return sampling.bootstrap(read(spark, d, "embeddings").select("vec_id", "label"), 0.8, 1)
+    return sampling.bootstrap(read(spark, d, "embeddings").select("vec_id", "label"), "vec_id", 0.8, 1)
 
 
 def pca_project(spark, d):
@@ -146,6 +148,21 @@ QUERIES = {
     )
 }
 
+
+
+def _sql_share(key: str, seed: int) -> str:
+    return f"(CAST('0x' || substr(md5(CAST({key} AS VARCHAR) || ':{seed}'), 1, 8) AS BIGINT) / 4294967296.0)"
+
+
+def _sql_poisson(share: str, rate: float) -> str:
+    term, total, steps = math.exp(-rate), 0.0, []
+    for count in range(40):
+        total += term
+        steps.append(f"CAST({share} >= {total!r} AS INTEGER)")
+        term *= rate / (count + 1)
+    return " + ".join(steps)
+
+
 _DAILY = f"""WITH {sql_events()},
 daily AS (SELECT stay_id, CAST(offset_min // 1440 AS BIGINT) AS day,
   {', '.join(f"max(value) FILTER (name = '{t}') AS {t}" for t in TYPES)} FROM m GROUP BY 1, 2)"""
@@ -179,6 +196,13 @@ def _per_measure(template: str) -> str:
 
 
 SQL = {
+    "train_test_sizes": f"""WITH p AS (SELECT doc_id, lang, {_sql_share('doc_id', 123)} < 0.2 AS test FROM documents),
+r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY {_sql_share('doc_id', 1)}, doc_id) AS no,
+  round(count(*) OVER (PARTITION BY lang) * 0.25) AS wanted FROM documents)
+SELECT 'plain' AS kind, CASE WHEN test THEN 'test' ELSE 'train' END AS side, lang, count(*) AS n FROM p GROUP BY ALL
+UNION ALL SELECT 'stratified', CASE WHEN no <= wanted THEN 'test' ELSE 'train' END, lang, count(*) FROM r GROUP BY ALL""",
+    "bootstrap_sample": f"""SELECT vec_id, label FROM (
+  SELECT vec_id, label, unnest(range({_sql_poisson(_sql_share('vec_id', 1), 0.8)})) FROM embeddings)""",
     "impute_mean": f"{_DAILY}\nSELECT stay_id, day, {', '.join(_sql_filled(t) for t in TYPES)} FROM daily",
     "impute_zero": f"{_DAILY}\nSELECT stay_id, day, {', '.join(f'coalesce({t}, 0) AS {t}' for t in TYPES)} FROM daily",
     "impute_group": f"""{_DAILY},

@@ -78,6 +78,21 @@ def interval_containment(spark, d):
     )
 
 
+def interval_containment_any_order(spark, d):
+    """Containment of events that may end before they begin: line items with a stop day long before the shipping day."""
+    orders = read(spark, d, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"),
+        day_number(F.col("o_orderdate")).alias("from_day"),
+        (day_number(F.col("o_orderdate")) + 30).alias("to_day"),
+    )
+    items = read(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", day_number(F.col("l_shipdate")).alias("begin_day"),
+        (day_number(F.col("l_shipdate")) - 20 * F.col("l_linenumber")).alias("end_day"),
+    )
+    inside = joins.contained_join(items, orders, "l_orderkey", "begin_day", "end_day", "from_day", "to_day")
+    return inside.select("l_orderkey", "l_linenumber", "begin_day", "end_day")
+
+
 def star_left_join(spark, d):
     orders = read(spark, d, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_totalprice"
@@ -408,7 +423,7 @@ def label_encode(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        semi_in_union, anti_not_in, semi_and_anti, common_ids, id_set_difference, interval_containment,
+        semi_in_union, anti_not_in, semi_and_anti, common_ids, id_set_difference, interval_containment, interval_containment_any_order,
         star_left_join, or_join, refresh_by_key, score_lookup, key_lookup, clipped_range,
         text_predicates, text_to_number, text_compared_as_number, age_norm, encode_case, bmi, los_days,
         fio2_ratio, severity_counts, detail_code, outcome_code, discharge_category, rounding_rules,
@@ -449,6 +464,11 @@ SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'""",
     "id_set_difference": """(SELECT o_custkey FROM orders WHERE o_totalprice > 400000
 UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
 EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'""",
+    "interval_containment_any_order": """SELECT l_orderkey, l_linenumber, begin_day, end_day FROM (
+  SELECT l_orderkey, l_linenumber, CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS INTEGER) AS begin_day,
+    CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) - 20 * l_linenumber AS INTEGER) AS end_day FROM lineitem)
+JOIN (SELECT o_orderkey, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS from_day FROM orders) ON l_orderkey = o_orderkey
+WHERE begin_day >= from_day AND end_day < from_day + 30""",
     "interval_containment": f"""WITH j AS (SELECT l_orderkey, {_DAY.format('l_shipdate')} AS b,
   {_DAY.format('l_shipdate')} + l_linenumber AS e, {_DAY.format('o_orderdate')} AS f
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)

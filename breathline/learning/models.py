@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -47,10 +48,13 @@ GBT_REGRESSOR = {"stepSize": 0.15, "maxIter": 500, "maxDepth": 5}
 GBT_REGRESSOR_VALIDATION = {
     "stepSize": 0.18, "maxIter": 100, "maxDepth": 3, "featureSubsetStrategy": "0.8",
 }
+# no depth limit is meant; 30 is the largest depth that Spark grows
 FOREST = {"numTrees": 150, "featureSubsetStrategy": "sqrt", "maxDepth": 30}
 TREE = {"impurity": "entropy", "maxDepth": 3, "minInstancesPerNode": 4}
-BAGGED_TREES = {"numTrees": 500, "subsamplingRate": 0.8, "featureSubsetStrategy": "all"}
-LOGISTIC = {"maxIter": 1000, "regParam": 0.1, "elasticNetParam": 0.0}
+BAGGED_TREES = {"numTrees": 500, "subsamplingRate": 0.8, "featureSubsetStrategy": "sqrt", "maxDepth": 3, "minInstancesPerNode": 4}
+BAGGED_DEEP_TREES = {"numTrees": 500, "subsamplingRate": 1.0, "featureSubsetStrategy": "all", "maxDepth": 30}
+LOGISTIC = {"maxIter": 1000, "elasticNetParam": 0.0}
+LOGISTIC_C = 0.1
 NEIGHBOUR_KS = list(range(50, 65))
 GBT_GRID = {
     "maxDepth": [3, 5, 7],
@@ -67,7 +71,6 @@ FOREST_GRID = {
     "numTrees": [100, 150, 200, 300, 400, 450, 500, 550, 600, 650, 700, 800, 1000],
     "featureSubsetStrategy": ["2", "4", "6", "8"],
 }
-SVC_SPACE = {"C": (0.1, 1e4), "gamma": (1e-6, 1e1)}
 
 
 def gbt_classifier(**light) -> GBTClassifier:
@@ -90,22 +93,23 @@ def tree_classifier(**light) -> DecisionTreeClassifier:
     return DecisionTreeClassifier(seed=SEED, **{**TREE, **light})
 
 
-def bagged_trees(**light) -> RandomForestClassifier:
-    """Bagging of trees: a forest whose trees see every feature and a bootstrap sample."""
-    return RandomForestClassifier(seed=123, bootstrap=True, impurity="entropy", **{**BAGGED_TREES, **light})
+def bagged_trees(deep: bool = False, **light) -> RandomForestClassifier:
+    """Bagging of small trees on row shares, or (``deep``) of full trees on bootstrap samples of all features."""
+    settings = {**(BAGGED_DEEP_TREES if deep else BAGGED_TREES), **light}
+    return RandomForestClassifier(seed=123, bootstrap=True, impurity="entropy", **settings)
 
 
 def bagged_regressor(**light) -> RandomForestRegressor:
-    settings = {**BAGGED_TREES, "subsamplingRate": 1.0, **light}
-    return RandomForestRegressor(seed=1, bootstrap=True, **settings)
+    return RandomForestRegressor(seed=1, bootstrap=True, **{**BAGGED_DEEP_TREES, **light})
 
 
 def gaussian_bayes() -> NaiveBayes:
     return NaiveBayes(modelType="gaussian")
 
 
-def logistic(**light) -> LogisticRegression:
-    return LogisticRegression(**{**LOGISTIC, **light})
+def logistic(c: float = LOGISTIC_C, n_rows: int = 1, **light) -> LogisticRegression:
+    """Logistic regression with inverse penalty ``c`` over ``n_rows`` rows; Spark's loss is a mean, so it takes 1 / (c n)."""
+    return LogisticRegression(**{**LOGISTIC, "regParam": 1.0 / (c * max(1, n_rows)), **light})
 
 
 def linear_svc(c: float = 1.0, n_rows: int = 1, **light) -> LinearSVC:
@@ -165,13 +169,23 @@ def param_grid(estimator: Estimator, grid: Mapping[str, Sequence]) -> list[dict]
     return builder.build()
 
 
+@dataclass(frozen=True)
+class Uniform:
+    """A range that ``random_params`` draws from evenly."""
+
+    low: float
+    high: float
+
+
 def random_params(
     estimator: Estimator, space: Mapping[str, Sequence | tuple[float, float]], n: int, seed: int = SEED
 ) -> list[dict]:
-    """``n`` parameter maps: lists are drawn from evenly, pairs log-uniformly."""
+    """``n`` parameter maps: lists are drawn from evenly, pairs log-uniformly, ranges (see ``Uniform``) uniformly."""
     rng = random.Random(seed)
 
     def draw(options):
+        if isinstance(options, Uniform):
+            return rng.uniform(options.low, options.high)
         if isinstance(options, tuple):
             low, high = options
             return math.exp(rng.uniform(math.log(low), math.log(high)))
@@ -248,7 +262,7 @@ def bagged_forests(
     """Forests fitted on bootstrap samples; the mean of their scores per row."""
     scored = []
     for i in range(bags):
-        sample = bootstrap(train, 1.0, seed=i + 1)
+        sample = bootstrap(train, keep[0], 1.0, seed=i + 1)
         scored.append(score(fit(feature_pipeline(pipeline_columns, make()), sample), rows, keep))
     votes = reduce(DataFrame.unionByName, scored).groupBy(*keep).agg(F.avg("score").alias("score"))
     return votes.withColumn("prediction", (F.col("score") >= 0.5).cast("double"))
@@ -336,5 +350,5 @@ def stacked_scores(
     near = vote_share(out_of_fold_neighbours(df, id_col, vector, "label", fold_col, k), k)
     near = near.select(F.col("query_id").alias(id_col), F.col("score").alias("near"))
     base = df.select(id_col, "label").join(forest_part, id_col).join(bayes_part, id_col).join(near, id_col)
-    meta = fit(feature_pipeline(["near", "forest", "bayes"], logistic(), scale=None), base)
+    meta = fit(feature_pipeline(["near", "forest", "bayes"], logistic(n_rows=base.count()), scale=None), base)
     return score(meta, base, [id_col, "label"]), meta

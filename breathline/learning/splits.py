@@ -100,9 +100,12 @@ def best_stump(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-def boosted_stumps(df: DataFrame, x: str, y: str, error: float, max_rounds: int = 100) -> list[Stump]:
+def boosted_stumps(df: DataFrame, x: str, y: str, error: float, max_rounds: int | None = None) -> list[Stump]:
     """Additive stumps on one feature until the residual error is under ``error``.
 
+    The end also comes when no split lowers the error any more, since all later
+    rounds would repeat it; ``max_rounds`` is only a limit if it is given.
+
     The residual of a row depends on its x alone, so all rounds work on the
     per-value sums: sum and sum of squares move by the fitted value.
     """
@@ -111,7 +114,8 @@ def boosted_stumps(df: DataFrame, x: str, y: str, error: float, max_rounds: int
     cuts = quantile_splits(base, "x")
     stumps: list[Stump] = []
     fitted: Column = F.lit(0.0)
-    while len(stumps) < max_rounds:
+    before = float("inf")
+    while max_rounds is None or len(stumps) < max_rounds:
         current = base.select(
             "x", "next_x", "n",
             (F.col("s") - F.col("n") * fitted).alias("s"),
@@ -125,8 +129,9 @@ def boosted_stumps(df: DataFrame, x: str, y: str, error: float, max_rounds: int
             .select("b.*")
             .first()
         )
-        if found.sse is None:
+        if found.sse is None or found.sse >= before * (1 - 1e-12):
             break
+        before = found.sse
         stump = Stump(found.split, found.left_mean, found.right_mean)
         stumps.append(stump)
         fitted = fitted + stump.column(F.col("x"))

@@ -93,9 +93,13 @@ def interval_join(
 def contained_join(
     events: DataFrame, windows: DataFrame, key: str, begin: str, end: str, start: str, stop: str
 ) -> DataFrame:
-    """Events that lie inside a window: begin >= start and end < stop (begin <= end)."""
-    begun = interval_join(events, windows, start, stop, SeriesColumns(stay=key, time=begin))
-    return begun.filter(F.col(end) < F.col(stop))
+    """Events with begin >= start and end < stop, whatever the order of begin and end.
+
+    An event can end before it begins (a missing end stored as 0), so begin
+    alone does not tell the window apart: a plain join on the key, in which
+    adaptive execution splits a hot one.
+    """
+    return events.join(windows, key).filter((F.col(begin) >= F.col(start)) & (F.col(end) < F.col(stop)))
 
 
 def flag_low_peep(

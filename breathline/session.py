@@ -16,6 +16,8 @@ ADAPTIVE_DEFAULTS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoint files go when no plan refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # recording the Python call site of every expression slows plan building
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

@@ -1,3 +1,5 @@
+import pytest
+
 from breathline.sources import files, tables
 
 
@@ -54,3 +56,28 @@ def test_catalog_listing_and_lookup(spark):
     ids = spark.createDataFrame([(1,), (1,)], "id bigint")
     assert tables.rows_of_keys(df, ids, "id").count() == 1
     spark.catalog.dropTempView("lookup_rows")
+
+
+def test_malformed_line_is_an_error_unless_dropped(spark, tmp_path):
+    path = tmp_path / "m.csv"
+    path.write_text("id,value\n1,2\n2,abc\n3,4\n")
+    with pytest.raises(Exception, match="[Mm]alformed|MALFORMED"):
+        files.read_csv(spark, str(path), "id int, value int").select("id").collect()
+    kept = files.read_csv(spark, str(path), "id int, value int", drop_malformed=True)
+    assert kept.count() == 2 and sorted(r.id for r in kept.select("id").collect()) == [1, 3]
+
+
+def test_header_of_any_length_and_with_line_breaks(spark, tmp_path):
+    names = [f"a_rather_long_column_name_{i}" for i in range(60_000)]
+    (tmp_path / "wide.csv").write_text(",".join(names) + "\n")
+    (tmp_path / "odd.csv").write_text('"a\nb",c\n1,2\n')
+    found = files.header_columns(spark, str(tmp_path)).collect()
+    assert [r.name for r in sorted(found, key=lambda r: r.position) if r.path.endswith("wide.csv")] == names
+    assert {(r.position, r.name) for r in found if r.path.endswith("odd.csv")} == {(0, "a\nb"), (1, "c")}
+
+
+def test_ragged_lines_are_reported(spark, tmp_path):
+    path = tmp_path / "r.txt"
+    path.write_text("1 2 0\n1 2 3 0\n5 6\n\n")
+    got = {tuple(r) for r in files.ragged_lines(spark, str(path), 2).collect()}
+    assert got == {("1 2 3 0", 4), ("5 6", 2)}
