@@ -184,7 +184,7 @@ class Page:
         n = len(self.tag)
         odds = np.clip(log_odds, -12, 12)
         says_in, says_out = -np.logaddexp(0, -odds), -np.logaddexp(0, odds)
-        inside, outside, mixed = says_in.tolist(), says_out.tolist(), [MIXED] * n
+        inside, outside, mixed = says_in.tolist(), says_out.tolist(), (MIXED - np.abs(odds)).tolist()
         for node in range(n - 1, 0, -1):
             up = self.parent[node]
             outside[up] += outside[node]
@@ -217,7 +217,7 @@ class Page:
 #: kinds of tags or attribute words that count alike
 SIGNS = [(NOT_MAIN_TAGS, frozenset()), (MAIN_TAGS, frozenset()), (frozenset(), NOT_MAIN_WORDS), (frozenset(), MAIN_WORDS)]
 _TAG_AT = {t: i for i, t in enumerate(TAGS)}
-#: log probability of a mixed node: dearer than two children that agree
+#: log score of a mixed node whose own odds are even; the surer the node, the dearer to call it mixed
 MIXED = -1.0
 
 
@@ -282,7 +282,8 @@ def train_node_model(pages: DataFrame, html_col: str, max_pages: int = 300, max_
 
     Labels come from what pages say of themselves (``Page.teacher``). Half of
     the rows are repeated without tag and attribute marks, so that the counts
-    carry a page that has none.
+    carry a page that has none; the other half with their signs beside the
+    counts and tags of other nodes, so that each sign is learnt by itself.
     """
     sample = (
         pages.where(F.col(html_col).isNotNull() & (F.length(html_col) <= max_chars)).select(F.col(html_col).alias("html"))
@@ -299,7 +300,14 @@ def train_node_model(pages: DataFrame, html_col: str, max_pages: int = 300, max_
     x, y = np.concatenate(rows), np.concatenate(labels)
     bare = x[::2].copy()
     bare[:, : -len(NUMBERS)] = 0
-    return BoostedTrees().fit(np.concatenate([x, bare]), np.concatenate([y, y[::2]]).astype(float)), vocabulary
+    signed = x[1::2].copy()
+    mixed = np.random.default_rng(1).permutation(len(signed))
+    width = len(TAGS) + len(SIGNS) + len(vocabulary)
+    signs = [*range(len(SIGNS)), *range(width, width + len(SIGNS))]
+    others = np.setdiff1d(np.arange(x.shape[1]), signs)
+    signed[:, others] = signed[mixed][:, others]
+    signed[(y[1::2] == 0) & (mixed % 2 == 0), 1] = 1  # some parts that are not main text lie inside an article
+    return BoostedTrees().fit(np.concatenate([x, bare, signed]), np.concatenate([y, y[::2], y[1::2]]).astype(float)), vocabulary
 
 
 def extract_main_text(pages: DataFrame, model: tuple[BoostedTrees, dict[str, int]], id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -122,7 +122,7 @@ def quality_rules(
         ) if list(by) != keys else sketches.withColumnRenamed("_n", f"_n{level}")
         ends = []
         for m, (sides, floor) in MEASURES.items():
-            low, high = (F.kll_sketch_get_quantile_double(F.col(m), F.lit(q)) for q in (0.25, 0.75))
+            low, high = (F.when(F.col(f"_n{level}") > 0, F.kll_sketch_get_quantile_double(F.col(m), F.lit(q))) for q in (0.25, 0.75))
             spread = reach * F.greatest(high - low, F.lit(floor))
             ends.append(F.struct((low - spread if sides == "both" else F.lit(float("-inf"))).alias("low"), (high + spread).alias("high")).alias(m))
         return merged.select(*by, f"_n{level}", F.struct(*ends).alias(f"_cut{level}"))
