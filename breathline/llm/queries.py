@@ -11,6 +11,7 @@ from breathline.llm.byte_bpe import encode_texts
 from breathline.llm.html_text import extract_main_text, train_node_model
 from breathline.llm.language_id import identify_languages, train_language_model
 from breathline.llm.near_dup import near_duplicates
+from breathline.llm.oracle import SQL as SQL
 from breathline.llm.packing import pack_documents
 from breathline.llm.quality_model import score_quality, train_quality_model
 from breathline.llm.quality_rules import quality_rules
@@ -104,4 +105,3 @@ QUERIES = {
         op10_html_text,
     )
 }
-SQL: dict[str, str] = {}
