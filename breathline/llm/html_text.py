@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from breathline.llm.shared import arrow_map, text_slices
+from breathline.llm.shared import arrow_map, bounded_sample, text_slices
 
 # Element kinds of HTML, and words that name parts of a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -285,10 +285,8 @@ def train_node_model(pages: DataFrame, html_col: str, max_pages: int = 300, max_
     carry a page that has none; the other half with their signs beside the
     counts and tags of other nodes, so that each sign is learnt by itself.
     """
-    sample = (
-        pages.where(F.col(html_col).isNotNull() & (F.length(html_col) <= max_chars)).select(F.col(html_col).alias("html"))
-        .orderBy(F.xxhash64("html"), "html").limit(max_pages).collect()
-    )
+    readable = pages.where(F.col(html_col).isNotNull() & (F.length(html_col) <= max_chars)).select(F.col(html_col).alias("html"))
+    sample = sorted(bounded_sample(readable, ["html"], max_pages).collect())
     parsed = [Page(row.html) for row in sample]
     common = Counter(w for page in parsed for words in page.words for w in words)
     vocabulary = {w: i for i, (w, _) in enumerate(sorted(common.items(), key=lambda wc: (-wc[1], wc[0]))[:max_words])}

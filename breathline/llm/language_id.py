@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from breathline.llm.shared import arrow_map, coded_words, text_slices
+from breathline.llm.shared import arrow_map, bounded_sample, coded_words, text_slices
 
 UNKNOWN = "und"
 #: longer words are run in pieces of so many bytes
@@ -214,11 +214,10 @@ def train_language_model(
 ) -> ByteGru | None:
     """A network fitted on at most ``max_docs`` labelled texts (the smallest hashes of ``order_by``), of each at most
     ``max_chars`` characters. None if no labelled text has a word."""
-    sample = (
-        docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-        .select(F.xxhash64(order_by).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.substring(text_col, 1, max_chars).alias("text"))
-        .orderBy("h", "lang", "text").limit(max_docs).collect()
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(order_by).alias("key"), F.col(lang_col).cast("string").alias("lang"), F.substring(text_col, 1, max_chars).alias("text")
     )
+    sample = sorted(bounded_sample(labelled, ["key"], max_docs).collect(), key=lambda r: (str(r.key), r.lang, r.text))
     labels = sorted({row.lang for row in sample})
     words, y = [], []
     for row in sample:

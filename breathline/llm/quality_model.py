@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from breathline.llm.shared import arrow_map, coded_words, text_slices
+from breathline.llm.shared import arrow_map, bounded_sample, coded_words, text_slices
 
 FEATURES = [
     "log_words", "word_bytes", "upper", "digit", "symbol", "punctuation", "shout", "high_bytes",
@@ -180,7 +180,7 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, id_col: str, text_co
     counts. Ids without a document add nothing.
     """
     one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("double").alias("_y"))
-    sample = one.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+    sample = bounded_sample(one, ["_id"], max_rows)
     chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")  # max_rows rows
     rows = measure_texts(chosen, "_text", ["_id", "_y"]).toPandas().sort_values(["_id", *FEATURES])
     return fit_additive_model(rows[FEATURES].to_numpy(np.float32).reshape(-1, len(FEATURES)), (rows["_y"].to_numpy(float) > 0).astype(float))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -64,6 +64,20 @@ def small_side(table: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(table) if table.count() <= most else table
 
 
+def bounded_sample(df: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hashes of ``keys``; repeatable, and of every part of the table.
+
+    Rows are first thinned to about a quarter more than wanted, by their count,
+    so that the tasks of a large table do not each offer ``most`` rows.
+    """
+    total = df.count()
+    hashed = df.withColumn("_hash", F.xxhash64(*keys))
+    if total > most:
+        share = int(min(1.0, (1.25 * most + 100) / total) * 1_000_000)
+        hashed = hashed.where(F.pmod("_hash", F.lit(1_000_003)) < share)
+    return hashed.orderBy("_hash", *keys).limit(most).drop("_hash")
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows that hold at most ``limit`` bytes of text (one row at least)."""
     for batch in batches:
