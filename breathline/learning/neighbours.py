@@ -9,16 +9,19 @@ however large one cell is; each task returns at most k rows per query.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from breathline.session import cut_lineage
+
 CHUNK_ROWS = 20_000
-PIVOTS = 16
+PIVOTS, MOST_PIVOTS = 16, 256
 
 
 def _distances(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -121,38 +124,41 @@ def out_of_fold_neighbours(
         F.col(label).cast("int").alias("label"),
         F.col(fold).cast("int").alias("fold"),
     )
-    # a fixed number of pivots: the rows with the smallest hash
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("vector").toPandas()
+    # about sqrt(rows) pivots, within fixed bounds: the rows with the smallest hash
+    wanted = min(MOST_PIVOTS, max(PIVOTS, math.isqrt(rows.count())))
+    picked = rows.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vector").toPandas()
     pivots = np.stack(picked["vector"].to_numpy()).astype(float)
     celled = rows.mapInPandas(
         _nearest_pivot(pivots), "id bigint, vector array<double>, label int, fold int, cell int, reach double"
     )
-    # at most PIVOTS x folds rows
+    # at most MOST_PIVOTS x folds rows
     facts = celled.groupBy("cell", "fold").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("r")).toPandas()
     sizes: dict[int, dict[int, int]] = {}
     radius: dict[int, float] = {}
     for r in facts.itertuples():
         sizes.setdefault(int(r.cell), {})[int(r.fold)] = int(r.n)
         radius[int(r.cell)] = max(radius.get(int(r.cell), 0.0), float(r.r))
-    total = int(facts["n"].sum())
-    chunks = {c: -(-sum(by.values()) // chunk_rows) for c, by in sizes.items()}
-    blocks = max(1, -(-total // chunk_rows))
-    chunk_count = F.try_element_at(
-        F.create_map(*[F.lit(x) for c, n in chunks.items() for x in (c, n)]), F.col("cell")
+    queries = rows.select("id", "vector", "fold").mapInPandas(
+        _cells_to_visit(pivots, sizes, radius, k), "id bigint, vector array<double>, fold int, cells array<int>"
     )
-    points = celled.select(
+    queries = cut_lineage(queries.select("id", "vector", "fold", F.explode("cells").alias("cell")))
+    asked = {r.cell: r["count"] for r in queries.groupBy("cell").count().collect()}  # at most one row per cell
+
+    def per_cell(numbers: dict[int, int]) -> Column:
+        return F.try_element_at(F.create_map(*[F.lit(x) for c, n in numbers.items() for x in (c, n)]), F.col("cell"))
+
+    # a cell's points are copied once per block of the queries that visit it, and not at all if none does
+    chunk_count = per_cell({c: -(-sum(by.values()) // chunk_rows) for c, by in sizes.items()})
+    block_count = per_cell({c: -(-n // chunk_rows) for c, n in asked.items()})
+    points = celled.filter(block_count.isNotNull()).select(
         "id", "vector", "label", "fold", "cell",
         F.pmod(F.xxhash64("id"), chunk_count).cast("int").alias("chunk"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-    )
-    queries = rows.select("id", "vector", "fold").mapInPandas(
-        _cells_to_visit(pivots, sizes, radius, k), "id bigint, vector array<double>, fold int, cells array<int>"
+        F.explode(F.sequence(F.lit(0), block_count - 1)).alias("block"),
     )
-    queries = queries.select("id", "vector", "fold", F.explode("cells").alias("cell"))
     queries = queries.select(
         "*",
         F.explode(F.sequence(F.lit(0), chunk_count.cast("int") - 1)).alias("chunk"),
-        F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64("id", F.lit(1)), block_count).cast("int").alias("block"),
     )
     keys = ["cell", "chunk", "block"]
     found = (
