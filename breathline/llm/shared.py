@@ -177,10 +177,16 @@ def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
     def nearest(links: DataFrame) -> DataFrame:
         return links.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m"))
 
+    def state(links: DataFrame) -> tuple:
+        """Count and checksums of a set of links: equal for equal sets, one row per task to the driver."""
+        h = F.xxhash64("u", "v")
+        return tuple(links.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 32))).first())
+
     links = work.write(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    while True:
+    before = None
+    while before != (before := state(links)):
         # large star: larger neighbours move to the smallest neighbour
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(nearest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -193,12 +199,8 @@ def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        after = work.write(small)
-        before, links = links, after
-        changed = after.exceptAll(before).limit(1).count() + before.exceptAll(after).limit(1).count()
-        work.drop(before)
-        if not changed:
-            break
+        old, links = links, work.write(small)
+        work.drop(old)
     roots = links.select(F.col("v").alias("id")).distinct()
     return links.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(
         roots.select("id", F.col("id").alias("component_id"))
