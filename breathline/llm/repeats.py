@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,13 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit values (splitmix finaliser)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class Prefixes:
     """Hashes of any substring of a piece of text, from running sums of a polynomial modulo 2**64."""
 
@@ -49,10 +57,7 @@ class Prefixes:
         np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * Prefixes._up[:n], out=self.sums[1:])
 
     def at(self, start: np.ndarray, size: int, salt: np.ndarray | int = 0) -> np.ndarray:
-        x = (self.sums[start + size] - self.sums[start]) * Prefixes._down[start] + np.asarray(salt).astype(np.uint64)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        return _mixed((self.sums[start + size] - self.sums[start]) * Prefixes._down[start] + np.asarray(salt).astype(np.uint64))
 
 
 def _slide(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
@@ -151,7 +156,9 @@ def repeated_spans(docs: DataFrame, work: Workspace, text_col: str = "text", len
     keys = f"{_KEY[0]} long, {_KEY[1]} long"
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
+        """A row per slice: the places of its texts, and its distinct names with the least and the largest place of each."""
+        number = TaskContext.get().partitionId() << 32
+        for part in text_slices(batches, limit=1 << 20):
             names, counts, at = [], [], []
             for text in part.column("text").to_pylist():
                 found = 0
@@ -163,11 +170,35 @@ def repeated_spans(docs: DataFrame, work: Workspace, text_col: str = "text", len
                     found += len(place)
                 counts.append(found)
             if names:
-                yield _rows(part, counts, [np.concatenate(names), np.concatenate(at)], ["name", "at"])
-
-    sampled = work.write(arrow_map(texts, places, f"{keys}, name long, at long"))
-    again = _seen_twice(sampled.select("name", F.xxhash64(*_KEY, "at").alias("o")), "name")
-    open_places = work.write(sampled.join(again, "name").groupBy(*_KEY).agg(F.collect_set("at").alias("at")))
+                name, spot = np.concatenate(names), np.concatenate(at)
+                h1, h2 = (np.repeat(part.column(k).to_numpy(), counts) for k in _KEY)
+                whole = _mixed(h1.view(np.uint64) ^ _mixed(h2.view(np.uint64) + _mixed(spot.astype(np.uint64)))).view(np.int64)
+                order = np.lexsort((whole, name))
+                edge = np.flatnonzero(np.append(True, name[order][1:] != name[order][:-1]))
+                last = np.append(edge[1:], len(name)) - 1
+                lists = [name, h1, h2, spot, name[order][edge], whole[order][edge], whole[order][last]]
+                yield pa.RecordBatch.from_arrays([pa.array([number]), *(_lists([x], pa.int64()) for x in lists)], names=slice_names)
+                number += 1
+
+    slice_names = ["slice", "names", *_KEY, "at", "name", "low", "high"]
+    sampled = work.write(arrow_map(texts, places, "slice long, " + ", ".join(f"{c} array<long>" for c in slice_names[1:])))
+    # equal names of a slice are one row, so a passage in many documents is a few rows a task
+    parts = sampled.select("slice", F.explode(F.arrays_zip("name", "low", "high")).alias("p")).select("slice", "p.*")
+    again = parts.groupBy("name").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("name")
+    named = parts.select("slice", "name").join(again, "name").groupBy("slice").agg(F.collect_list("name").alias("again"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                names, h1, h2, at, seen = (batch.column(k)[row].values.to_numpy() for k in ("names", *_KEY, "at", "again"))
+                kept = np.isin(names, seen)
+                h1, h2, at = h1[kept], h2[kept], at[kept]
+                edge = np.flatnonzero(np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
+                groups = [np.unique(x) for x in np.split(at, edge[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(h1[edge]), pa.array(h2[edge]), _lists(groups, pa.int64())], names=[*_KEY, "at"])
+
+    picked = arrow_map(sampled.select("slice", "names", *_KEY, "at").join(named, "slice"), pick, f"{keys}, at array<long>")
+    open_places = work.write(picked.dropDuplicates(_KEY))  # copies of a text have the same places
     chosen = texts.join(small_side(open_places.select(*_KEY)), _KEY, "left_semi").dropDuplicates(_KEY)
     open_texts = work.write(chosen.join(open_places, _KEY).select(*_KEY, "text", "at"))
     work.drop(sampled)
