@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -52,8 +53,8 @@ class Merges:
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == keys, self.pair_values[at], -1)
 
-    def merge_many(self, pieces: list[bytes]) -> list[list[int]]:
-        """``merge`` for many short pre-tokens at once: they share one linked list and one queue.
+    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
+        """``merge`` for many short pre-tokens at once, ids packed: they share one linked list and one queue.
 
         Pre-tokens do not touch each other, so a bucket is worked off for all
         of them in one step: per pre-token its leftmost position. The others
@@ -128,10 +129,10 @@ class Merges:
             at = after[at]
             at = at[(at < n) & ~heads[np.minimum(at, n)]]
             heads[at] = True
-        flat = ids[:n][heads[:n]].tolist()
+        flat = ids[:n][heads[:n]].astype(np.uint32).tobytes()
         borders = np.concatenate([[0], np.cumsum(heads[:n])])
         ends = borders[start + sizes].tolist()
-        return [flat[a:b] for a, b in zip(borders[start].tolist(), ends, strict=True)]
+        return [flat[4 * a : 4 * b] for a, b in zip(borders[start].tolist(), ends, strict=True)]
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a pre-token: the pair of lowest rank merges first, of equal ranks the leftmost.
@@ -216,36 +217,35 @@ class ByteBpe:
         self.sizes = np.fromiter(map(len, by_id), np.int64, len(by_id))
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.pool = np.frombuffer(b"".join(by_id), np.uint8)
-        self.tokens: dict[str, list[int]] = {}
+        self.tokens: dict[str, bytes] = {}
         self.memo = Memo(self.encode_words)
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of many parts of texts; pre-tokens not met before are merged together."""
+    def merged(self, token: str) -> bytes:
+        return array("I", self.merges.merge(token.encode())).tobytes()
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Packed ids of many parts of texts; short pre-tokens not met before are merged together."""
         found = [self.pattern.findall(w) for w in words]
-        new = list({t for tokens in found for t in tokens} - self.tokens.keys())
+        new = {t for tokens in found for t in tokens} - self.tokens.keys()
         short = [t for t in new if len(t) <= LONG]
-        if len(self.tokens) + len(short) > 400_000:
+        if len(self.tokens) + len(short) > 300_000:
             self.tokens.clear()
             short = list({t for tokens in found for t in tokens if len(t) <= LONG})
         self.tokens.update(zip(short, self.merges.merge_many([t.encode() for t in short]), strict=True))
-        known, merge = self.tokens, self.merges.merge
-        return [
-            known[tokens[0]] if len(tokens) == 1 and tokens[0] in known
-            else [i for t in tokens for i in (known[t] if t in known else merge(t.encode()))]
-            for tokens in found
-        ]
-
-    def encode_text(self, text: str) -> list[int]:
-        ids: list[int] = []
-        tokens = self.tokens
+        known, merged = self.tokens, self.merged
+        return [b"".join([known[t] if t in known else merged(t) for t in tokens]) for tokens in found]
+
+    def encode_text(self, text: str) -> bytes:
+        """Packed ids of one text."""
+        ids, tokens = [], self.tokens
         for match in self.pattern.findall(text):
             known = tokens.get(match)
             if known is None:
-                known = self.merges.merge(match.encode())
+                known = self.merged(match)
                 if len(match) <= LONG:
                     tokens[match] = known
-            ids.extend(known)
-        return ids
+            ids.append(known)
+        return b"".join(ids)
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the borders of the texts in it.
@@ -273,14 +273,15 @@ class ByteBpe:
         at = plain[rows] & ~first
         lengths[at], starts[at] = self.memo.length[place_of[codes[at]]], self.memo.start[place_of[codes[at]]]
         pool = self.memo.pool
-        extra: list[int] = []
-        base = len(pool)
+        extra: list[bytes] = []
+        base = added = self.memo.used
         heads = borders[:-1]
         for row, (ok, head) in enumerate(zip(plain.tolist(), heads.tolist(), strict=True)):
             ids = self.encode_text(parts[codes[head]] if ok else texts[row].as_py())
-            starts[head], lengths[head] = base + len(extra), len(ids)
-            extra.extend(ids)
-        pool = np.concatenate([pool[: self.memo.used], np.zeros(base - self.memo.used, np.uint32), np.asarray(extra, np.uint32)])
+            starts[head], lengths[head] = added, len(ids) // 4
+            added += lengths[head]
+            extra.append(ids)
+        pool = np.concatenate([pool[:base], np.frombuffer(b"".join(extra), np.uint32)])
         ids = pool[ragged_take(starts, lengths)]
         return ids, np.concatenate([[0], np.cumsum(lengths)])[borders]
 

@@ -159,7 +159,7 @@ class ByteGru:
 class WordLabels:
     """Probability sums by word: the network sees each distinct word once, until ``most`` words are held."""
 
-    def __init__(self, model: ByteGru, most: int = 500_000):
+    def __init__(self, model: ByteGru, most: int = 300_000):
         self.model, self.most = model, most
         self.clear()
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator, Sequence
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -124,9 +123,10 @@ def ragged_take(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Memo:
-    """Integer lists by word, filled by ``encode`` for words not met before; emptied when ``most`` words are held."""
+    """Ids by word, filled by ``encode`` (words -> ids as packed unsigned 32-bit integers) for words not met before;
+    emptied when ``most`` words are held."""
 
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 600_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 600_000):
         self.encode, self.most = encode, most
         self.clear()
 
@@ -143,9 +143,9 @@ class Memo:
         known = self.at
         new = [w for w in words if w not in known]
         if new:
-            lists = self.encode(new)
-            lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-            ids = np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum()))
+            packed = self.encode(new)
+            lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+            ids = np.frombuffer(b"".join(packed), np.uint32)
             first, held = len(known), len(known) + len(new)
             if held > len(self.start):
                 self.start, self.length = (np.resize(x, 2 * held) for x in (self.start, self.length))
