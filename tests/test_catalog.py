@@ -10,13 +10,15 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import __spark_entry__ as driver  # noqa: E402
 from oracle_check import check  # noqa: E402
 
+from breathline import catalog  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = driver.queries(), driver.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables not present")
 
 
-@pytest.mark.parametrize("name", sorted(name for name in QUERIES if not name.startswith("op") and name != "pipeline"))
+@pytest.mark.parametrize("name", sorted(catalog.all_queries()))
 def test_query(spark, name):
     problem, rows, _ = check(spark, SF, name, QUERIES[name], SQL.get(name))
     assert not problem, problem
