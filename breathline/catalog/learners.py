@@ -1,12 +1,13 @@
 """Split search, neighbours, Bayes and Spark ML models on line items, documents and embeddings.
 
-Ensemble sizes are kept small here; the study's sizes are the defaults of
-``breathline.learning.models``.
+Ensembles and grids have the study's sizes, which are the defaults of
+``breathline.learning.models``; all labelled rows are used for fitting.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,6 @@ FOLDS = 5
 DOC_FEATURES = ["n_chars", "n_words", "n_lines", "word_length", "digit_share", "upper_share"]
 EMBEDDING = [f"e{i}" for i in range(64)]
 STUMP_ERROR = 0.05
-SMALL_FOREST = {"numTrees": 20, "maxDepth": 5}
 
 
 def labelled_documents(spark, d):
@@ -96,7 +96,7 @@ def best_split_per_group(spark, d):
 
 def logistic_boosting(spark, d):
     rows = labelled_documents(spark, d)
-    model = splits.fit_logistic_boosting(rows, DOC_FEATURES, "label", rounds=2, rate=0.3, max_height=3)
+    model = splits.fit_logistic_boosting(rows, DOC_FEATURES, "label")
     return model.transform(rows).select("doc_id", "label", F.round("score", 9).alias("score"), "prediction")
 
 
@@ -135,15 +135,15 @@ def _doc_scores(spark, d, estimator, **options):
 
 
 def gbt_classifier(spark, d):
-    return _doc_scores(spark, d, models.gbt_classifier(maxIter=10))
+    return _doc_scores(spark, d, models.gbt_classifier())
 
 
 def gbt_weighted(spark, d):
-    return _doc_scores(spark, d, models.gbt_classifier(maxIter=10, maxDepth=3, minInstancesPerNode=3))
+    return _doc_scores(spark, d, models.gbt_classifier(maxDepth=3, minInstancesPerNode=3))
 
 
 def gbt_regressor(spark, d):
-    return _doc_scores(spark, d, models.gbt_regressor(maxIter=10))
+    return _doc_scores(spark, d, models.gbt_regressor())
 
 
 def decision_tree(spark, d):
@@ -151,26 +151,25 @@ def decision_tree(spark, d):
 
 
 def random_forest(spark, d):
-    return _doc_scores(spark, d, models.forest_classifier(**SMALL_FOREST))
+    return _doc_scores(spark, d, models.forest_classifier())
 
 
 def forest_regressor(spark, d):
-    return _doc_scores(spark, d, models.forest_regressor(**SMALL_FOREST))
+    return _doc_scores(spark, d, models.forest_regressor())
 
 
 def bagged_trees(spark, d):
-    return _doc_scores(spark, d, models.bagged_trees(**SMALL_FOREST))
+    return _doc_scores(spark, d, models.bagged_trees())
 
 
 def bagged_regressor(spark, d):
-    return _doc_scores(spark, d, models.bagged_regressor(**SMALL_FOREST))
+    return _doc_scores(spark, d, models.bagged_regressor())
 
 
 def bagged_forests(spark, d):
     rows = cut_lineage(labelled_documents(spark, d))
     return models.bagged_forests(
-        lambda: models.forest_classifier(numTrees=5, maxDepth=5), DOC_FEATURES, rows.filter("fold <> 0"),
-        rows, ["doc_id", "label"], bags=3,
+        models.forest_classifier, DOC_FEATURES, rows.filter("fold <> 0"), rows, ["doc_id", "label"], bags=models.BAGS
     )
 
 
@@ -202,29 +201,29 @@ def kernel_svc(spark, d):
 
 def kernel_svc_search(spark, d):
     rows = cut_lineage(embedded(spark, d))
-    pairs = [(1.0, 0.1), (10.0, 1.0)]
-    return models.kernel_svc_search(rows, "vector", 64, pairs, "fold", FOLDS, components=64, maxIter=10)
+    pairs = list(product(models.SVC_GRID["C"], models.SVC_GRID["gamma"]))
+    return models.kernel_svc_search(rows, "vector", 64, pairs, "fold", FOLDS)
 
 
 def stacking(spark, d):
     scored, _ = models.stacked_scores(
-        cut_lineage(embedded(spark, d)), "vec_id", "vector", EMBEDDING, "fold", FOLDS, k=50, forest=SMALL_FOREST
+        cut_lineage(embedded(spark, d)), "vec_id", "vector", EMBEDDING, "fold", FOLDS, k=50
     )
     return scored
 
 
 def grid_search(spark, d):
     rows = cut_lineage(labelled_documents(spark, d))
-    tree = models.gbt_classifier(maxIter=5)
-    grid = models.param_grid(tree, {"maxDepth": [2, 3], "stepSize": [0.05, 0.15]})
+    tree = models.gbt_classifier()
+    grid = models.param_grid(tree, models.GBT_GRID)
     found = models.cross_validate(models.feature_pipeline(DOC_FEATURES, tree), grid, rows, "fold", FOLDS, models.accuracy())
     return models.search_table(rows, found)
 
 
 def random_search(spark, d):
     rows = cut_lineage(labelled_documents(spark, d))
-    estimator = models.logistic(maxIter=30)
-    grid = models.random_params(estimator, {"regParam": (1e-4, 1.0), "elasticNetParam": [0.0]}, n=4)
+    estimator = models.logistic()
+    grid = models.random_params(estimator, {"regParam": (1e-4, 1.0), "elasticNetParam": [0.0]}, n=models.SEARCH_DRAWS)
     found = models.cross_validate(models.feature_pipeline(DOC_FEATURES, estimator), grid, rows, "fold", FOLDS)
     return models.search_table(rows, found)
 
@@ -237,7 +236,7 @@ def cross_validated_score(spark, d):
 
 def tree_summary(spark, d):
     rows = labelled_documents(spark, d)
-    model = models.fit(models.feature_pipeline(DOC_FEATURES, models.forest_classifier(**SMALL_FOREST)), rows)
+    model = models.fit(models.feature_pipeline(DOC_FEATURES, models.forest_classifier()), rows)
     return models.tree_summary(rows, model)
 
 
@@ -246,7 +245,7 @@ def trained_model_compare(spark, d):
     rows = cut_lineage(labelled_documents(spark, d))
     candidates = {
         "tree": models.tree_classifier(),
-        "forest": models.forest_classifier(**SMALL_FOREST),
+        "forest": models.forest_classifier(),
         "bayes": models.gaussian_bayes(),
         "logistic": models.logistic(n_rows=rows.count()),
     }

@@ -35,7 +35,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from breathline.learning.neighbours import out_of_fold_neighbours, vote_share
 from breathline.operators.sampling import bootstrap
-from breathline.session import use_checkpoint_dir
+from breathline.session import cut_lineage, use_checkpoint_dir
 
 SEED = 42
 
@@ -53,6 +53,11 @@ FOREST = {"numTrees": 150, "featureSubsetStrategy": "sqrt", "maxDepth": 30}
 TREE = {"impurity": "entropy", "maxDepth": 3, "minInstancesPerNode": 4}
 BAGGED_TREES = {"numTrees": 500, "subsamplingRate": 0.8, "featureSubsetStrategy": "sqrt", "maxDepth": 3, "minInstancesPerNode": 4}
 BAGGED_DEEP_TREES = {"numTrees": 500, "subsamplingRate": 1.0, "featureSubsetStrategy": "all", "maxDepth": 30}
+#: forests in a bag, candidates of a random search
+BAGS = 500
+SEARCH_DRAWS = 20
+#: forests whose scores are added up in one plan
+BAGS_A_PLAN = 10
 LOGISTIC = {"maxIter": 1000, "elasticNetParam": 0.0}
 LOGISTIC_C = 0.1
 NEIGHBOUR_KS = list(range(50, 65))
@@ -67,6 +72,7 @@ BOOSTED_WEIGHT_GRID = {
     "stepSize": [0.01, 0.1, 0.15],
     "minInstancesPerNode": [1, 2, 3],
 }
+SVC_GRID = {"C": [0.1, 1, 10, 100, 1000], "gamma": [1, 0.1, 0.01, 0.001, 0.0001]}
 FOREST_GRID = {
     "numTrees": [100, 150, 200, 300, 400, 450, 500, 550, 600, 650, 700, 800, 1000],
     "featureSubsetStrategy": ["2", "4", "6", "8"],
@@ -259,13 +265,21 @@ def feature_weights(df: DataFrame, model: PipelineModel, columns: Sequence[str])
 def bagged_forests(
     make, pipeline_columns: Sequence[str], train: DataFrame, rows: DataFrame, keep: Sequence[str], bags: int
 ) -> DataFrame:
-    """Forests fitted on bootstrap samples; the mean of their scores per row."""
-    scored = []
+    """Forests fitted on bootstrap samples; the mean of their scores per row.
+
+    Scores are summed per ``BAGS_A_PLAN`` forests and written, so that a plan
+    does not grow with the number of bags.
+    """
+    parts, scored = [], []
     for i in range(bags):
         sample = bootstrap(train, keep[0], 1.0, seed=i + 1)
         scored.append(score(fit(feature_pipeline(pipeline_columns, make()), sample), rows, keep))
-    votes = reduce(DataFrame.unionByName, scored).groupBy(*keep).agg(F.avg("score").alias("score"))
-    return votes.withColumn("prediction", (F.col("score") >= 0.5).cast("double"))
+        if len(scored) == BAGS_A_PLAN or i + 1 == bags:
+            part = reduce(DataFrame.unionByName, scored).groupBy(*keep).agg(F.sum("score").alias("sum"), F.count("score").alias("n"))
+            parts.append(cut_lineage(part))
+            scored = []
+    sums = reduce(DataFrame.unionByName, parts).groupBy(*keep).agg((F.sum("sum") / F.sum("n")).alias("score"))
+    return sums.withColumn("prediction", (F.col("score") >= 0.5).cast("double"))
 
 
 def random_fourier_features(

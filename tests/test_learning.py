@@ -174,3 +174,44 @@ def test_trees_search_and_summary(spark):
     drawn = models.random_params(models.logistic(), {"regParam": (1e-3, 1.0), "maxIter": [5, 9]}, 6)
     values = [{p.name: v for p, v in m.items()} for m in drawn]
     assert all(1e-3 <= v["regParam"] <= 1 and v["maxIter"] in (5, 9) for v in values)
+
+
+def test_registered_queries_fit_with_the_sizes_of_the_study(spark, monkeypatch):
+    from breathline.catalog import learners
+
+    def settings(estimator):
+        return {p.name: v for p, v in estimator.extractParamMap().items()}
+
+    monkeypatch.setattr(learners, "_doc_scores", lambda spark, d, estimator, **options: settings(estimator))
+    assert [f(spark, "")["maxIter"] for f in (learners.gbt_classifier, learners.gbt_weighted, learners.gbt_regressor)] == [600, 600, 500]
+    forests = (learners.random_forest, learners.forest_regressor, learners.bagged_trees, learners.bagged_regressor)
+    assert [(f(spark, "")["numTrees"], f(spark, "")["maxDepth"]) for f in forests] == [(150, 30), (150, 30), (500, 3), (500, 30)]
+    seen = {}
+
+    def noted(name):
+        return lambda *args, **options: seen.setdefault(name, (args, options))
+
+    monkeypatch.setattr(learners, "labelled_documents", lambda spark, d: spark.range(1).withColumn("fold", F.lit(1)))
+    monkeypatch.setattr(learners, "embedded", lambda spark, d: spark.range(1))
+    for name in ("bagged_forests", "kernel_svc_search", "stacked_scores", "fit", "tree_summary", "search_table"):
+        monkeypatch.setattr(models, name, noted(name))
+    monkeypatch.setattr(models, "stacked_scores", lambda *args, **options: (noted("stacking")(*args, **options), None))
+    monkeypatch.setattr(models, "cross_validate", lambda pipeline, grid, *args: seen.setdefault(len(grid), settings(pipeline.getStages()[-1])))
+    for query in (learners.bagged_forests, learners.kernel_svc_search, learners.stacking, learners.grid_search, learners.random_search, learners.tree_summary):
+        query(spark, "")
+    assert seen["bagged_forests"][1]["bags"] == 500 and settings(seen["bagged_forests"][0][0]())["numTrees"] == 150
+    assert len(seen["kernel_svc_search"][0][3]) == 25 and not {"components", "maxIter"} & set(seen["kernel_svc_search"][1])
+    assert "forest" not in seen["stacking"][1] and settings(seen["fit"][0][0].getStages()[-1])["numTrees"] == 150
+    assert seen[45]["subsamplingRate"] == 0.8 and seen[20]["maxIter"] == 1000
+
+
+def test_bagged_forests_average_over_all_bags(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, float(i % 7), int(i % 7 > 3)) for i in range(60)], "id int, a double, label int")
+
+    def run(bags_a_plan):
+        monkeypatch.setattr(models, "BAGS_A_PLAN", bags_a_plan)
+        found = models.bagged_forests(lambda: models.forest_classifier(numTrees=3, maxDepth=2), ["a"], rows, rows, ["id", "label"], bags=5)
+        return {r.id: r.score for r in found.collect()}
+
+    one, several = run(5), run(2)
+    assert len(one) == 60 and all(abs(one[i] - several[i]) < 1e-12 for i in one)
