@@ -94,13 +94,13 @@ class Sampled:
         self.place = ordered[np.searchsorted(ordered, wanted)] % (n + 1)
 
 
-def _pieces(text: bytes, length: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
+def _pieces(text: bytes, length: int, chunk: int | None = None) -> Iterator[tuple[int, int, int, np.ndarray]]:
     """(offset, first start, end of starts, bytes) of the pieces of a text; starts are offsets in the piece."""
-    data = np.frombuffer(text, np.uint8)
-    for at in range(0, max(0, len(data) - length + 1), CHUNK):
+    data, chunk = np.frombuffer(text, np.uint8), chunk or CHUNK
+    for at in range(0, max(0, len(data) - length + 1), chunk):
         before = max(0, at - BLOCK)
-        piece = data[before : at + CHUNK + 2 * length]
-        yield before, at - before, min(at - before + CHUNK, len(piece) - length + 1, len(data) - length + 1 - before), piece
+        piece = data[before : at + chunk + 2 * length]
+        yield before, at - before, min(at - before + chunk, len(piece) - length + 1, len(data) - length + 1 - before), piece
 
 
 def _spans(marks: np.ndarray, length: int) -> np.ndarray:
@@ -150,8 +150,10 @@ def repeated_spans(docs: DataFrame, work: Workspace, text_col: str = "text", len
 
     Names are 64-bit hashes, counted with map-side combined minima and
     maxima: a passage in a third of all documents is one name. Texts longer
-    than a mebibyte are hashed piece by piece.
+    than a mebibyte are hashed piece by piece; a block that a border cuts is
+    two rows of one place.
     """
+    chunk = CHUNK
     texts = hashed_texts(docs.select(F.col(text_col).alias("_t")), "_t").select("text", *_KEY)
     keys = f"{_KEY[0]} long, {_KEY[1]} long"
 
@@ -162,7 +164,7 @@ def repeated_spans(docs: DataFrame, work: Workspace, text_col: str = "text", len
             names, counts, at = [], [], []
             for text in part.column("text").to_pylist():
                 found = 0
-                for offset, first, end, piece in _pieces(text, length):
+                for offset, first, end, piece in _pieces(text, length, chunk):
                     s = Sampled(piece, length)
                     place = np.unique(s.place[first:end])
                     names.append(s.hashes.at(place, s.key).view(np.int64))
@@ -205,11 +207,11 @@ def repeated_spans(docs: DataFrame, work: Workspace, text_col: str = "text", len
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            counts, columns = [], [[], [], [], []]
+            counts, columns = [], [[], [], [], [], []]
             for text, at in zip(part.column("text").to_pylist(), part.column("at"), strict=True):
                 found = 0
                 wanted = np.sort(at.values.to_numpy())
-                for offset, first, end, piece in _pieces(text, length):
+                for offset, first, end, piece in _pieces(text, length, chunk):
                     s = Sampled(piece, length)
                     start = np.arange(first, end)
                     place = s.place[start]
@@ -228,19 +230,19 @@ def repeated_spans(docs: DataFrame, work: Workspace, text_col: str = "text", len
                     # a span that leaves the text is named by its own place: never seen twice
                     lone = s.hashes.at(low, length, -salt) ^ (np.uint64(offset) + low.astype(np.uint64)) * np.uint64(_BASE) ^ np.uint64(part.column("h1")[len(counts)].as_py() & (1 << 64) - 1)
                     span = np.where(inside, s.hashes.at(np.where(inside, top - BLOCK + 1, 0), min(length + BLOCK - 1, len(piece)), salt), lone) if len(piece) >= length + BLOCK - 1 else lone
-                    for column, values in zip(columns, (low + offset, high + offset, shared.view(np.int64), span.view(np.int64)), strict=True):
+                    for column, values in zip(columns, (low + offset, high + offset, top + offset, shared.view(np.int64), span.view(np.int64)), strict=True):
                         column.append(values)
                     found += len(low)
                 counts.append(found)
             if columns[0]:
-                yield _rows(part, counts, [np.concatenate(c) for c in columns], ["low", "high", "shared", "span"])
+                yield _rows(part, counts, [np.concatenate(c) for c in columns], ["low", "high", "top", "shared", "span"])
 
-    cut = arrow_map(open_texts, blocks, f"{keys}, low long, high long, shared long, span long")
-    named = cut.select("shared", "span", F.xxhash64(*_KEY, "low").alias("o"))
+    cut = arrow_map(open_texts, blocks, f"{keys}, low long, high long, top long, shared long, span long")
+    named = cut.select("shared", "span", F.xxhash64(*_KEY, "top").alias("o"))
     flagged = work.write(
         cut.join(_seen_twice(named, "shared"), "shared", "left_semi")
         .join(_seen_twice(named, "span").withColumn("whole", F.lit(True)), "span", "left")
-        .select(*_KEY, "low", "high", "shared", "span", F.coalesce("whole", F.lit(False)).alias("whole"), F.xxhash64(*_KEY, "low").alias("o"))
+        .select(*_KEY, "low", "high", "shared", "span", F.coalesce("whole", F.lit(False)).alias("whole"), F.xxhash64(*_KEY, "top").alias("o"))
     )
     undecided = flagged.where("NOT whole")
     # a start of an undecided block can repeat inside a decided one: one decided block of each span stands for all
@@ -256,7 +258,7 @@ def repeated_spans(docs: DataFrame, work: Workspace, text_col: str = "text", len
                 low, high = (marks.values.field(k).to_numpy().tolist() for k in ("low", "high"))
                 each = np.concatenate([np.arange(a, b + 1) for a, b in zip(low, high, strict=True)])
                 found = 0
-                for offset, first, end, piece in _pieces(text, length):
+                for offset, first, end, piece in _pieces(text, length, chunk):
                     here = each[(each >= offset + first) & (each < offset + end)]
                     at.append(here)
                     names.append(Prefixes(piece).at(here - offset, length).view(np.int64))

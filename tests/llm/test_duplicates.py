@@ -115,6 +115,32 @@ def test_repeats_in_odd_documents_and_across_chunks(spark, odd_documents, no_doc
     assert (cut == whole).all()
 
 
+def test_short_shared_passages_at_the_borders_of_pieces(spark, monkeypatch):
+    from breathline.llm import repeats
+
+    chunk = 2000
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
+    rng = random.Random(6)
+
+    def noise(n):
+        return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+
+    texts, passages = [], []
+    for _ in range(8):
+        text = noise(4 * chunk + 700)
+        for border in range(chunk, 4 * chunk + 1, chunk):
+            at, size = border + rng.randrange(-40, 150), rng.randrange(130, 400)
+            passages.append(text[at : at + size])
+        texts.append(text)
+    texts += [noise(200).join(passages[k::4]) for k in range(4)]
+    long = noise(430)  # a real repeat, over a border
+    texts += [noise(border - 200) + long + noise(900) for border in (chunk, 2 * chunk)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in remove_repeats(df, Workspace(spark, "t")).collect()}
+    for i, (_, kept, spans) in enumerate(brute_repeats([t.encode() for t in texts], 400)):
+        assert (hashlib.sha256(got[i]._kept).hexdigest(), len(got[i]._spans)) == (hashlib.sha256(kept).hexdigest(), spans), i
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(20, 16))
