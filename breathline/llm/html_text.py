@@ -34,6 +34,10 @@ NOT_MAIN_WORDS = frozenset(
     " footer header masthead comment comments disqus reply replies cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe"
     " signup login search share sharing social related recommended widget toolbar pagination pager copyright legal".split()
 )
+#: elements that hold the main text with all beside it: what their classes say of parts of the page is not said of them
+FRAME_TAGS = MAIN_TAGS | {"html", "body"}
+#: a token with such a word states a condition (has-sidebar, comments-open) and does not name a part
+STATE_WORDS = frozenset("has with without no not is open opened closed enabled disabled on off".split())
 MAIN_WORDS = frozenset("article articlebody entry post story maintext".split())
 
 TAGS = "html body div section article main header footer nav aside p h1 h2 h3 ul ol li a b i em strong span table td form script style title blockquote pre".split()
@@ -48,6 +52,17 @@ _ATTR = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^'
 _WORD = re.compile(r"[a-z]+")
 
 
+def _attribute_words(tag: str, attrs: str) -> tuple[str, ...]:
+    """Words of the naming attributes, without those of NOT_MAIN_WORDS that do not name the element itself."""
+    words: list[str] = []
+    for token in " ".join(_ATTR.findall(attrs)).lower().split():
+        parts = _WORD.findall(token)
+        if tag in FRAME_TAGS or len(parts) > 1 and STATE_WORDS.intersection(parts):
+            parts = [w for w in parts if w not in NOT_MAIN_WORDS]
+        words += parts
+    return tuple(words)
+
+
 class Page:
     """Nodes of a page in order of their start; ``segments`` are (node, block, text) pieces of text."""
 
@@ -99,7 +114,7 @@ class Page:
                 continue
             self.tag.append(name)
             self.parent.append(stack[-1])
-            self.words.append(tuple(_WORD.findall(" ".join(_ATTR.findall(attrs)).lower())) if "=" in attrs else ())
+            self.words.append(_attribute_words(name, attrs) if "=" in attrs else ())
             stack.append(len(self.tag) - 1)
             if name in RAW:
                 raw = name

@@ -145,6 +145,28 @@ def test_main_text(spark):
     assert extract_main_text(df.where("false"), (BoostedTrees(), {})).count() == 0
 
 
+def test_main_text_inside_wrappers_whose_classes_name_other_parts(spark):
+    plain = [(i, f"u{i}", PAGE.format(i=i, a=running_text(i, 30), b=running_text(-i, 20))) for i in range(40)]
+    body, article = "<body class='has-sidebar nav'>", "<article class='post comments-open share'>"
+    page = plain[0][2]
+    wrapped = [
+        page.replace("<body>", body), page.replace("<article>", article), page.replace("<body>", body).replace("<article>", article),
+        page.replace("<article>", "<main class='with-nav'><article>").replace("end</article>", "end</article></main>"),
+        page.replace("<article>", "<div class='content no-sidebar'><article>").replace("end</article>", "end</article></div>"),
+    ]
+    for source in wrapped:
+        parsed = Page(source)
+        label = parsed.teacher()
+        assert label[parsed.tag.index("article")] == 1 and label[parsed.tag.index("p")] == 1
+        assert label[parsed.tag.index("nav")] == 0 and label[parsed.tag.index("footer")] == 0
+    assert [Page(f"<div class='{c}'>x</div>").teacher()[1] for c in ("sidebar", "site-footer", "main-nav", "post")] == [0, 0, 0, 1]
+    columns = "page_id long, url string, html string"
+    odd = spark.createDataFrame([(100 + k, "u", x) for k, x in enumerate(wrapped)], columns)
+    got = extract_main_text(odd, train_node_model(spark.createDataFrame(plain, columns), "html")).collect()
+    expected = f"Head 0\n\n{running_text(0, 30)} & so on.\n\nBold {running_text(0, 20)} end"
+    assert [r.text == expected for r in got] == [True] * len(wrapped)
+
+
 def test_tree_labels_never_contradict():
     page = Page("<body><nav><div><article><p>deep</p></article></div></nav><main><p>text</p><aside><p>side</p></aside></main></body>")
     kept = page.decode(np.random.default_rng(1).normal(0, 5, len(page.tag)))
