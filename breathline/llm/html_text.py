@@ -292,8 +292,15 @@ class BoostedTrees:
         return total
 
 
+def _distinct_sample(pages: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` different pages (html): hashes are made distinct and sampled, then one page of each is read."""
+    hashed = pages.select("html", F.xxhash64("html").alias("_page"))
+    chosen = bounded_sample(hashed.select("_page").distinct(), ["_page"], most)
+    return hashed.join(F.broadcast(chosen), "_page", "left_semi").dropDuplicates(["_page"]).select("html")
+
+
 def train_node_model(pages: DataFrame, html_col: str, max_pages: int = 300, max_chars: int = 200_000, max_words: int = 40) -> tuple[BoostedTrees, dict[str, int]]:
-    """Fit on the nodes of at most ``max_pages`` pages (smallest hashes of the page, none over ``max_chars`` characters).
+    """Fit on the nodes of at most ``max_pages`` different pages (smallest hashes, none over ``max_chars`` characters).
 
     Labels come from what pages say of themselves (``Page.teacher``). Half of
     the rows are repeated without tag and attribute marks, so that the counts
@@ -301,7 +308,7 @@ def train_node_model(pages: DataFrame, html_col: str, max_pages: int = 300, max_
     counts and tags of other nodes, so that each sign is learnt by itself.
     """
     readable = pages.where(F.col(html_col).isNotNull() & (F.length(html_col) <= max_chars)).select(F.col(html_col).alias("html"))
-    sample = sorted(bounded_sample(readable, ["html"], max_pages).collect())
+    sample = sorted(_distinct_sample(readable, max_pages).collect())
     parsed = [Page(row.html) for row in sample]
     common = Counter(w for page in parsed for words in page.words for w in words)
     vocabulary = {w: i for i, (w, _) in enumerate(sorted(common.items(), key=lambda wc: (-wc[1], wc[0]))[:max_words])}

@@ -167,6 +167,15 @@ def test_main_text_inside_wrappers_whose_classes_name_other_parts(spark):
     assert [r.text == expected for r in got] == [True] * len(wrapped)
 
 
+def test_pages_for_training_are_distinct(spark):
+    from breathline.llm.html_text import _distinct_sample
+
+    pages = spark.createDataFrame([(f"<p>{i}</p>",) for i in range(40)] + [(f"<p>copy {i % 3}</p>",) for i in range(120)], "html string")
+    got = [r.html for r in _distinct_sample(pages, 30).collect()]
+    assert len(got) == 30 and len(set(got)) == 30
+    assert {r.html for r in _distinct_sample(pages, 100).collect()} == {r.html for r in pages.distinct().collect()}
+
+
 def test_tree_labels_never_contradict():
     page = Page("<body><nav><div><article><p>deep</p></article></div></nav><main><p>text</p><aside><p>side</p></aside></main></body>")
     kept = page.decode(np.random.default_rng(1).normal(0, 5, len(page.tag)))
