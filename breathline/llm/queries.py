@@ -16,6 +16,7 @@ from breathline.llm.packing import pack_documents
 from breathline.llm.quality_model import score_quality, train_quality_model
 from breathline.llm.quality_rules import quality_rules
 from breathline.llm.repeats import remove_repeats
+from breathline.llm.sentence_piece import encode_pieces
 from breathline.llm.shared import Workspace
 from breathline.llm.url_filter import url_filter
 from breathline.llm.vector_dup import vector_duplicates
@@ -98,10 +99,14 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract_main_text(pages, train_node_model(pages, "html"))
 
 
+def op11_sentence_piece(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_pieces(read(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_repeats, op3_language_id, op4_byte_bpe, op5_quality_rules, op6_url_filter, op7_quality_model, op8_near_dup, op9_vector_dup,
-        op10_html_text,
+        op10_html_text, op11_sentence_piece,
     )
 }
