@@ -13,6 +13,7 @@ from breathline.llm.language_id import identify_languages, train_language_model
 from breathline.llm.near_dup import near_duplicates
 from breathline.llm.oracle import SQL as SQL
 from breathline.llm.packing import pack_documents
+from breathline.llm.periodic_runs import periodic_runs
 from breathline.llm.quality_model import score_quality, train_quality_model
 from breathline.llm.quality_rules import quality_rules
 from breathline.llm.repeats import remove_repeats
@@ -103,10 +104,14 @@ def op11_sentence_piece(spark: SparkSession, folder: str) -> DataFrame:
     return encode_pieces(read(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
 
 
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs(read(spark, folder, "documents"), plant=True, digests=True)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_repeats, op3_language_id, op4_byte_bpe, op5_quality_rules, op6_url_filter, op7_quality_model, op8_near_dup, op9_vector_dup,
-        op10_html_text, op11_sentence_piece,
+        op10_html_text, op11_sentence_piece, op13_periodic_runs,
     )
 }

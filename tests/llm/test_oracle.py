@@ -13,7 +13,7 @@ from breathline.llm.queries import QUERIES, SQL  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables not present")
-ROWS = {"op2_repeats": "documents", "op3_language_id": "documents", "op4_byte_bpe": "documents", "op6_url_filter": "pages", "op7_quality_model": "documents", "op10_html_text": "pages", "op11_sentence_piece": "documents"}
+ROWS = {"op2_repeats": "documents", "op3_language_id": "documents", "op4_byte_bpe": "documents", "op6_url_filter": "pages", "op7_quality_model": "documents", "op10_html_text": "pages", "op11_sentence_piece": "documents", "op13_periodic_runs": "documents"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
