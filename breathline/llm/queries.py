@@ -21,6 +21,7 @@ from breathline.llm.sentence_piece import encode_pieces
 from breathline.llm.shared import Workspace
 from breathline.llm.url_filter import url_filter
 from breathline.llm.vector_dup import vector_duplicates
+from breathline.llm.whitening import whiten_embeddings
 
 URL_RULES = [
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -104,6 +105,10 @@ def op11_sentence_piece(spark: SparkSession, folder: str) -> DataFrame:
     return encode_pieces(read(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
 
 
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten_embeddings(read(spark, folder, "embeddings"), Workspace(spark, "op12"))
+
+
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs(read(spark, folder, "documents"), plant=True, digests=True)
 
@@ -112,6 +117,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_repeats, op3_language_id, op4_byte_bpe, op5_quality_rules, op6_url_filter, op7_quality_model, op8_near_dup, op9_vector_dup,
-        op10_html_text, op11_sentence_piece, op13_periodic_runs,
+        op10_html_text, op11_sentence_piece, op12_whitening, op13_periodic_runs,
     )
 }
