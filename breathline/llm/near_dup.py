@@ -76,33 +76,42 @@ class MinHash:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, words_each: int) -> DataFrame:
-    """(id, n, digest, signature, keys): set size, digest of the set, short signature and band keys; none for empty sets."""
+    """(id, text_key, n, node, signature, keys): hash of the text, set size, hash of the set, short signature, band keys; none for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinHash()
         for part in text_slices(batches):
             sets = shingle_sets(part.column("text"), words_each)
-            digests, signatures, keys = [], [], []
+            nodes, signatures, keys = [], [], []
             for s in sets:
                 if len(s):
                     low = hasher.minima(s)
-                    digests.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    nodes.append(set_node(s))
                     signatures.append(low[:COMPARED].astype(np.uint8).tobytes())
                     keys.append(hasher.band_keys(low))
                 else:
-                    digests.append(None)
+                    nodes.append(None)
                     signatures.append(None)
                     keys.append(None)
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
+                    part.column("id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()),
                     pa.array(signatures, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
                 ],
-                names=["id", "n", "digest", "signature", "keys"],
+                names=["id", "text_key", "n", "node", "signature", "keys"],
             )
 
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return arrow_map(picked, run, "id long, n long, digest binary, signature binary, keys array<long>")
+    return arrow_map(_keyed_texts(docs, id_col, text_col), run, "id long, text_key long, n long, node long, signature binary, keys array<long>")
+
+
+def set_node(shingles: np.ndarray) -> int:
+    """By which a set is known: equal sets have one node, whatever the ids of their documents."""
+    return xxhash.xxh3_64_intdigest(shingles.tobytes(), seed=1) - (1 << 63)
+
+
+def _keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
 def least_matches(threshold: float, miss: float) -> list[int]:
@@ -213,9 +222,9 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) per document; components of documents linked by Jaccard similarity of shingle sets.
 
-    1. Equal sets form one class, led by its smallest id; only leaders go on.
-    2. Leaders that share a band key meet in a bucket. First each is compared
-       with its bucket's smallest member, which joins most of a large group of
+    1. Equal sets are one node, under the smallest id of its documents.
+    2. Nodes that share a band key meet in a bucket. First each is compared
+       with its bucket's smallest node, which joins most of a large group of
        near copies. Then pairs inside a bucket are compared if their
        components still differ and ``open_pairs`` cannot rule them out. No
        link between components is left out; more links inside a component
@@ -225,27 +234,43 @@ def near_duplicates(
        ``miss``. What remains is verified on whole sets.
 
     Nulls and texts without words have empty sets and link with nothing. A
-    null id takes part under no name: it is kept unless its text equals that
-    of a named document. Repeated rows are one class; other columns are not
-    read; an empty table gives an empty result. Groups of copies are counted
-    with map-side combined aggregates; buckets are only joined, so that a hot
-    one can be split; nothing is collected.
+    null id takes part under no name: it is kept unless a document with an id
+    is in its component. Repeated rows are one node; rows that share an id but
+    not the text are judged each by its own text; other columns are not read;
+    an empty table gives an empty result. Groups of copies are counted with
+    map-side combined aggregates; buckets are only joined, so that a hot one
+    can be split; nothing is collected.
     """
+    return judged_documents(docs, work, id_col, text_col, words_each, percent, miss).select(id_col, "n_shingles", "component_id", "kept")
+
+
+def judged_documents(
+    docs: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text",
+    words_each: int = 5, percent: int = 80, miss: float = 1e-6,
+) -> DataFrame:
+    """``near_duplicates`` with two more columns: ``text_key``, the hash of the text, and ``component``, a number per component."""
     threshold = percent / 100
     sketches = work.write(sketch(docs, id_col, text_col, words_each))
-    leaders = work.write(sketches.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("leader")))
-    led = sketches.join(leaders.select("digest", F.col("leader").alias("id")), ["digest", "id"], "left_semi")
-    keyed = led.select("id", F.explode("keys").alias("key"))
-    firsts = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    members = work.write(keyed.join(firsts.select("key", "first"), "key").select("key", "id", "first"))
-    busy = work.write(members.select("id").distinct())
-    signatures = work.write(led.join(busy, "id", "left_semi").select("id", "n", "signature").dropDuplicates(["id"]))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(small_side(busy), "id", "left_semi")
+    leaders = work.write(sketches.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("leader")))
+    led = sketches.join(leaders.select("node", F.col("leader").alias("id")), ["node", "id"], "left_semi").unionByName(
+        sketches.where("id IS NULL").join(leaders.where("leader IS NULL").select("node"), "node", "left_semi")
+    )
+    keyed = led.select("node", F.explode("keys").alias("key"))
+    firsts = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
+    members = work.write(keyed.join(firsts.select("key", "first"), "key").select("key", F.col("node").alias("id"), "first"))
+    busy = members.select(F.col("id").alias("node")).distinct()
+    busy = work.write(led.select("node", "id", "text_key", "n", "signature").join(busy, "node", "left_semi").dropDuplicates(["node"]))
+    signatures = busy.select(F.col("node").alias("id"), "n", "signature")
+    of_busy = F.expr("id <=> busy_id AND text_key = busy_key")
+    named = small_side(busy.select(F.col("id").alias("busy_id"), F.col("text_key").alias("busy_key")))
+    texts = _keyed_texts(docs, id_col, text_col).join(named, of_busy, "left_semi").select("text")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            sets = [s.tobytes() for s in shingle_sets(part.column("text"), words_each)]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], names=["id", "shingles"])
+            sets = [s for s in shingle_sets(part.column("text"), words_each) if len(s)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([set_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"]
+            )
 
     sets = work.write(arrow_map(texts, to_sets, "id long, shingles binary"))
 
@@ -269,28 +294,44 @@ def near_duplicates(
     related = work.write(relate_to_lead(stars.join(whole.select("id", F.col("shingles").alias("xb")), "id")))
     rest = open_pairs(related, percent).join(tried, ["a", "b"], "left_anti")
     links = links.union(verify(work.write(rest)))
-    components = work.write(connected_components(links, work))
-    work.drop(members, busy, signatures, sets, placed, related)
-    of_class = leaders.join(components, F.col("leader") == F.col("id"), "left").select(
-        "digest", F.coalesce("component_id", "leader").alias("component_id")
+    components = connected_components(links, work)
+    of_node = work.write(
+        leaders.join(components.withColumnRenamed("id", "node"), "node", "left").select("node", "leader", F.coalesce("component_id", "node").alias("component"))
     )
-    return (
-        sketches.select("id", "n", "digest").join(of_class, "digest", "left")
-        .select(
-            F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-            F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
-        )
-        .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull()))
+    work.drop(members, busy, sets, placed, related)
+    smallest = of_node.groupBy("component").agg(F.min("leader").alias("component_id"))
+    judged = sketches.select("id", "text_key", "n", "node").join(of_node.join(smallest, "component").select("node", "component", "component_id"), "node", "left")
+    found = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return judged.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), found.alias("component_id"), "text_key", "component").withColumn(
+        "kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull())
     )
 
 
 def keep_one_of_each(docs: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows, with all columns, of the kept documents; of rows that repeat a kept document's id and text one stays."""
-    found = work.write(near_duplicates(docs, work, id_col, text_col, **options))
-    dropped = found.where("NOT kept").select(id_col).distinct()
-    stay = docs.join(small_side(dropped), id_col, "left_anti")
-    twice = work.write(found.where("kept").groupBy(id_col).agg(F.count("*").alias("_n")).where(f"_n > 1 AND `{id_col}` IS NOT NULL").select(id_col))
-    if twice.isEmpty():
-        return stay
-    few = small_side(twice)
-    return stay.join(few, id_col, "left_anti").unionByName(stay.join(few, id_col, "left_semi").dropDuplicates([id_col, text_col]))
+    """One row, with all columns, of each group of near copies: one of its smallest id, and texts without words all.
+
+    Rows are told apart by id and text, so one of two texts under an id can go
+    and the other stay. Of rows that repeat an id and a text one stays; so of
+    null ids with equal texts. Null and empty texts stay, an empty table stays empty.
+    """
+    found = work.write(judged_documents(docs, work, id_col, text_col, **options))
+    kept = found.where("kept").withColumn("component", F.coalesce("component", "text_key"))
+    # more than one row of the smallest id: the texts with the smallest hash stay, one row of these
+    several = work.write(kept.groupBy(id_col, "component").agg(F.count("*").alias("_n"), F.min("text_key").alias("_first")).where("_n > 1"))
+    key = F.xxhash64(F.col(f"`{text_col}`"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"), key.alias("_key"))
+    columns = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    gone = found.where("NOT kept").select(F.col(id_col).alias("_gone"), "text_key").distinct()
+    if several.isEmpty():
+        return rows.join(small_side(gone), F.expr("_id <=> _gone AND _key = text_key"), "left_anti").select(*columns)
+    same = F.col("k._of").eqNullSafe(F.col("s._of")) & (F.col("k.component") == F.col("s.component"))
+    repeated = work.write(
+        kept.withColumnRenamed(id_col, "_of").alias("k").join(several.withColumnRenamed(id_col, "_of").alias("s"), same)
+        .select(F.col("k._of").alias("_gone"), F.col("k.text_key").alias("text_key"), (F.col("k.text_key") == F.col("s._first")).alias("_first")).distinct()
+    )
+    gone = gone.union(repeated.where("NOT _first").select("_gone", "text_key"))
+    stay = rows.join(small_side(gone), F.expr("_id <=> _gone AND _key = text_key"), "left_anti")
+    few = small_side(repeated.where("_first").select("_gone", "text_key"))
+    match = F.expr("_id <=> _gone AND _key = text_key")
+    one = stay.join(few, match, "left_semi").dropDuplicates(["_id", "_key"])
+    return stay.join(few, match, "left_anti").unionByName(one).select(*columns)

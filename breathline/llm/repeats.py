@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from breathline.llm.shared import Workspace, arrow_map, small_side, text_slices
@@ -293,27 +293,42 @@ def repeated_spans(docs: DataFrame, work: Workspace, text_col: str = "text", len
     return kept
 
 
-def remove_repeats(docs: DataFrame, work: Workspace, text_col: str = "text", length: int = 400) -> DataFrame:
+def _to_character(at: Column, step: int) -> Column:
+    """The border of a character at the byte offset ``at`` of ``_bytes``, or the nearest one on (step 1) or back (step -1)."""
+
+    def inside(moved: Column) -> Column:  # the byte goes on with a character: 0x80 to 0xBF
+        return F.substring(F.hex(F.substring("_bytes", (moved + 1).cast("int"), 1)), 1, 1).isin("8", "9", "A", "B")
+
+    steps = F.when(~inside(at), 0).when(~inside(at + step), 1).when(~inside(at + 2 * step), 2).otherwise(3)
+    return at + step * steps
+
+
+def remove_repeats(docs: DataFrame, work: Workspace, text_col: str = "text", length: int = 400, characters: bool = False) -> DataFrame:
     """The documents with two more columns: ``_kept`` (bytes of the text without every covered byte) and ``_spans``.
 
     A byte goes if a string of ``length`` bytes over it also starts anywhere
     else, in the same document or another; strings are judged on the input,
     so of copies none stays. Null and empty texts keep empty bytes and have no
     spans; texts shorter than ``length`` stay whole; repeated rows count as
-    copies of each other; all columns and rows are returned.
+    copies of each other; all columns and rows are returned, but for columns
+    named ``_kept`` or ``_spans``, which the new ones replace. With
+    ``characters`` the rest of a character that a cut goes through goes too.
     """
     spans = repeated_spans(docs, work, text_col, length)
-    inner = hashed_texts(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(text_col).alias("_t")), "_t").drop("_t")
-    joined = inner.join(small_side(spans), _KEY, "left").select("_row", F.col("text").alias("_bytes"), F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("_spans"))
+    inner = hashed_texts(docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("_kept", "_spans")]).alias("_row"), F.col(text_col).alias("_t")), "_t").drop("_t")
+    weight = F.lit(48) + 24 * F.size("spans")
+    joined = inner.join(small_side(spans, weight), _KEY, "left").select("_row", F.col("text").alias("_bytes"), F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("_spans"))
     ends = F.transform("_spans", lambda s: s["end"])
     begins = F.transform("_spans", lambda s: s["start"])
     # what stays: from each end to the next begin
+    if characters:
+        ends, begins = F.transform(ends, lambda at: _to_character(at, 1)), F.transform(begins, lambda at: _to_character(at, -1))
     pieces = F.zip_with(
         F.concat(F.array(F.lit(0).cast("long")), ends), F.concat(begins, F.array(F.length("_bytes").cast("long"))),
         lambda a, b: F.struct(a.alias("a"), b.alias("b")),
     )
     joined = joined.select("_row", "_bytes", "_spans", pieces.alias("_pieces"))
     kept = F.aggregate(
-        "_pieces", F.lit(b"").cast("binary"), lambda done, p: F.concat(done, F.substring("_bytes", (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")))
+        "_pieces", F.lit(b"").cast("binary"), lambda done, p: F.concat(done, F.substring("_bytes", (p["a"] + 1).cast("int"), F.greatest(p["b"] - p["a"], F.lit(0)).cast("int")))
     )
-    return joined.select("_row.*", F.when(F.size("_spans") == 0, F.col("_bytes")).otherwise(kept).alias("_kept"), "_spans")
+    return joined.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in ("_kept", "_spans")], F.when(F.size("_spans") == 0, F.col("_bytes")).otherwise(kept).alias("_kept"), "_spans")

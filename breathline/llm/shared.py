@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from breathline.session import use_checkpoint_dir
@@ -58,9 +58,13 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
-def small_side(table: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """Hint a broadcast if the table has been counted and is small; a larger one is left to the planner's shuffle join."""
-    return F.broadcast(table) if table.count() <= most else table
+def small_side(table: DataFrame, weight: Column | None = None, most: int = 48 << 20) -> DataFrame:
+    """Hint a broadcast if the table has been weighed and is at most ``most`` bytes; a larger one is left to the planner's shuffle join.
+
+    ``weight`` is the size of a row; without it the columns have a fixed width and count 24 bytes each.
+    """
+    weighed = table.agg(F.sum(F.lit(24 * len(table.columns)) if weight is None else weight)).first()[0]
+    return F.broadcast(table) if (weighed or 0) <= most else table
 
 
 def bounded_sample(df: DataFrame, keys: Sequence[str], most: int) -> DataFrame:

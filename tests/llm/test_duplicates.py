@@ -197,3 +197,71 @@ def test_pipeline_stages_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = work.write(stage(spark, docs, folder))
         assert docs.count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    one, other, third = (running_text(k, 40) for k in (1, 2, 3))
+    near = other + " more"
+    rows = [(1, one), (5, one), (5, other), (6, near), (7, third), (7, third), (8, None), (8, ""), (None, third), (None, "lone words here"), (None, "lone words here"), (9, other + " x"), (9, other)]
+    docs = spark.createDataFrame([(i, t, 1, "k", 2) for i, t in rows], "doc_id long, text string, _id long, text_key string, component int")
+    kept = keep_one_of_each(docs, Workspace(spark, "t"))
+    assert kept.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(
+        map(str, [(1, one), (5, other), (7, third), (8, None), (8, ""), (None, "lone words here")])
+    )
+    twins = spark.createDataFrame([(3, other), (3, near), (3, one)], "doc_id long, text string")
+    left = [r.text for r in keep_one_of_each(twins, Workspace(spark, "t")).collect()]
+    assert one in left and len(left) == 2
+
+
+def test_no_passage_of_fifty_words_is_left_in_two_documents(spark):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.01"
+    work = Workspace(spark, "t")
+    docs = work.write(keep_one_of_each(spark.read.parquet(f"{folder}/documents.parquet"), work))
+    cut = corpus_pipeline.repeats_stage(spark, docs, folder)
+
+    def shared_runs(rows):
+        seen = {}
+        for r in rows:
+            words = r.text.split()
+            for k in range(len(words) - 50):
+                seen.setdefault(tuple(words[k : k + 51]), set()).add(r.doc_id)
+        return sum(len(ids) > 1 for ids in seen.values())
+
+    before, after = docs.collect(), cut.collect()
+    assert shared_runs(before) > 500 and shared_runs(after) == 0 and len(after) == len(before)
+    assert all(r.n_chars == len(r.text) for r in after)
+
+
+def test_cuts_take_whole_characters_and_no_others(spark):
+    import corpus_pipeline
+
+    passage = "éß東京" * 40
+    texts = ["� alone " + passage + " end �", "x" + passage + "y", "東 � clean", None, ""]
+    docs = spark.createDataFrame([(i, t, "k", "v") for i, t in enumerate(texts)], "doc_id long, text string, _kept string, _spans string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeats_stage(spark, docs, "").collect()}
+    assert got == {0: "� alone  end �", 1: "xy", 2: "東 � clean", 3: None, 4: ""}
+
+
+def test_cuts_inside_characters_leave_no_halves(spark):
+    rng = random.Random(8)
+    letters = "aé東😀"
+    passage = "".join(rng.choice(letters) for _ in range(60))
+    raw = passage.encode()
+    texts = ["ab" + passage + "é", "東" + passage[1:] + "x", "\U0001F601" + passage[2:] + "e"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for length in (7, 23, 50):
+        rows = remove_repeats(docs, Workspace(spark, "t"), length=length, characters=True).collect()
+        for r in rows:
+            whole = r.text.encode()
+            gone = {i for s in r._spans for i in range(s["start"], s["end"])}
+            at, kept = 0, ""
+            for c in r.text:
+                size = len(c.encode())
+                if not gone & set(range(at, at + size)):
+                    kept += c
+                at += size
+            assert bytes(r._kept).decode() == kept and at == len(whole)
+    assert len(raw) > 60
