@@ -18,6 +18,10 @@ from breathline.llm.repeats import remove_repeats
 from breathline.llm.shared import Workspace
 from breathline.session import ship_package
 
+#: bytes that have to occur again for a passage to go: under what 51 words take (of the passages of that length and more in
+#: the tables 99 % have over 200 bytes, the median 579), and over what single lines or chance repeat
+PASSAGE_BYTES = 200
+
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without a letter or without a likely language go."""
@@ -38,10 +42,13 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their texts without bytes under strings of 400 bytes that occur again; halves of characters go too."""
+    """All documents, their texts without bytes under strings of ``PASSAGE_BYTES`` that occur again.
+
+    Halves of characters at a cut go too. Null and empty texts stay as they are; of equal texts of that length nothing stays.
+    """
     ship_package(spark)
-    cut = remove_repeats(docs, Workspace(spark, "pipeline-repeats"))
-    shorter = F.translate(F.make_valid_utf8(F.col("_kept").cast("string")), "\ufffd", "")
+    cut = remove_repeats(docs, Workspace(spark, "pipeline-repeats"), length=PASSAGE_BYTES, characters=True)
+    shorter = F.col("_kept").cast("string")
     changed = F.size("_spans") > 0
     new = {"text": F.when(changed, shorter).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
