@@ -3,33 +3,45 @@
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from breathline.llm.merge_rounds import PairTable, merge_rounds
 from breathline.llm.shared import Memo, arrow_map, coded_words, text_slices
 
 
+#: fixed values: the letters and digits of the Latin-1 page, how the tokenizer's file tells pieces apart, and its contractions
+LETTER, NUMBER, OTHER, GAP = range(4)
+CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+
+
+def _latin_kinds() -> np.ndarray:
+    kinds = {"L": LETTER, "N": NUMBER, "Z": GAP, "C": GAP}
+    return np.array([kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(256)], np.int8)
+
+
 class WordTokenizer:
     """Ids of texts by a ``tokenizers`` file of the lower-casing, white-space-dropping kind, word by word.
 
     Such a tokenizer never merges across white space, so a word's ids do not
-    depend on its neighbours and are worked out once. Words of printable
-    Latin-1 characters (NFC leaves these as they are) go straight to the
-    library's merge model; all others take the library's whole path.
+    depend on its neighbours. Words of printable Latin-1 characters (NFC leaves
+    these as they are) are cut into pieces and merged together, in vectorised
+    rounds by the file's merges; all others take the library's whole path.
     """
 
-    #: fixed values: how the file splits text before the merges
-    PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
     PLAIN = re.compile("[!-~\xa1-\xac\xae-\xff]+")
+    KINDS = _latin_kinds()
+    LOWER = np.array([ord(chr(c).lower()) for c in range(256)], np.uint8)
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -37,34 +49,71 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model = self.whole.model
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
         # characters that stand for bytes in the vocabulary: printable ones for themselves, the others moved up
         kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         moved = [b for b in range(256) if b not in kept]
-        self.shown = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(moved)}
-        self.pieces: dict[str, bytes] = {}  # packed, which takes a third of the room of lists
+        shown = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(moved)}
+        self.inner = np.array([vocab[shown[b]] for b in range(256)], np.int32)
+        self.last = np.array([vocab[shown[b] + end] for b in range(256)], np.int32)
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.pairs = PairTable(*np.array([(vocab[a], vocab[b], rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)], np.int64).reshape(-1, 4).T)
         self.memo = Memo(self.encode_words)
 
+    def _piece_starts(self, points: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """Which Latin-1 characters begin a piece: runs of letters, single digits, runs of others, and contractions."""
+        before = np.append(GAP, kinds[:-1])
+        starts = (kinds != before) | (kinds == NUMBER)
+        # an apostrophe that begins a piece takes the letters of a contraction with it; what follows is a piece of its own
+        for at in np.flatnonzero(starts & (points == ord("'"))).tolist():
+            for tail in CONTRACTIONS:
+                if points[at + 1 : at + 1 + len(tail)].tobytes() == tail.encode():
+                    starts[at + 1] = False
+                    if at + 1 + len(tail) < len(points):
+                        starts[at + 1 + len(tail)] = True
+                    break
+        return starts & (kinds != GAP)
+
+    def _encode_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of printable Latin-1 characters, and the borders of the words."""
+        points = self.LOWER[np.frombuffer(" ".join(words).encode("latin-1"), np.uint8)]
+        kinds = self.KINDS[points]
+        starts = self._piece_starts(points, kinds)
+        space = points == 0x20
+        piece = np.flatnonzero(starts)
+        # bytes of the characters: two beyond ASCII
+        sizes = np.where(space, 0, 1 + (points >= 0x80)).astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        symbols = np.empty(int(at[-1]), np.int32)
+        first = at[:-1][~space]
+        chars = points[~space]
+        wide = chars >= 0x80
+        symbols[first] = self.inner[np.where(wide, 0xC0 | chars >> 6, chars)]
+        symbols[first[wide] + 1] = self.inner[0x80 | chars[wide] & 0x3F]
+        borders = np.append(at[piece], at[-1])
+        ends = borders[1:] - 1
+        final = points[np.append(piece[1:], len(points)) - 1]
+        spaced = np.append(space[piece[1:] - 1], False)  # the character before the next piece is the gap between words
+        final[spaced] = points[np.append(piece[1:], len(points))[spaced] - 2]
+        symbols[ends] = self.last[np.where(final >= 0x80, 0x80 | final & 0x3F, final)]
+        ids, id_at = merge_rounds(symbols, borders, self.pairs)
+        word_piece = np.searchsorted(piece, np.concatenate([[0], np.flatnonzero(space) + 1, [len(points)]]))
+        return ids, id_at[word_piece]
+
     def encode_words(self, words: list[str]) -> list[bytes]:
-        if len(self.pieces) > 300_000:
-            self.pieces.clear()
-        found: list[bytes] = []
-        known, tokenize, odd = self.pieces, self.model.tokenize, []
-        for word in words:
-            if not self.PLAIN.fullmatch(word):
-                odd.append(len(found))
-                found.append(b"")
-                continue
-            ids = []
-            for piece in self.PIECES.findall(word.lower()):
-                one = known.get(piece)
-                if one is None:
-                    shown = piece.encode().decode("latin-1").translate(self.shown)
-                    one = known[piece] = array("I", [t.id for t in tokenize(shown)]).tobytes()
-                ids.append(one)
-            found.append(b"".join(ids))
-        for at, coded in zip(odd, self.whole.encode_batch([words[i] for i in odd], add_special_tokens=False), strict=True):
-            found[at] = array("I", coded.ids).tobytes()
+        plain = [i for i, w in enumerate(words) if self.PLAIN.fullmatch(w)]
+        found: list[bytes] = [b""] * len(words)
+        if plain:
+            ids, ends = self._encode_plain([words[i] for i in plain])
+            flat, cuts = ids.astype(np.uint32).tobytes(), (4 * ends).tolist()
+            for i, a, b in zip(plain, cuts[:-1], cuts[1:], strict=True):
+                found[i] = flat[a:b]
+        if len(plain) < len(words):
+            odd = [i for i, w in enumerate(words) if not self.PLAIN.fullmatch(w)]
+            for i, coded in zip(odd, self.whole.encode_batch([words[i] for i in odd], add_special_tokens=False), strict=True):
+                found[i] = array("I", coded.ids).tobytes()
         return found
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -110,7 +110,7 @@ def coded_parts(parts: pa.ListArray, keep_empty: bool = False) -> tuple[list[str
     borders = parts.offsets.to_numpy().astype(np.int64)
     coded = parts.values.slice(borders[0], borders[-1] - borders[0]).dictionary_encode()
     borders -= borders[0]
-    words = coded.dictionary.to_pylist()
+    words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times faster than to_pylist
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     if not keep_empty and "" in words:
         full = codes != words.index("")
@@ -127,8 +127,11 @@ def ragged_take(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Memo:
-    """Ids by word, filled by ``encode`` (words -> ids as packed unsigned 32-bit integers) for words not met before;
-    emptied when ``most`` words are held."""
+    """Ids by word, filled by ``encode`` (words -> ids as packed unsigned 32-bit integers) for words not met before.
+
+    When ``most`` words are held, those asked for once only are forgotten (all,
+    if that leaves more than half).
+    """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 600_000):
         self.encode, self.most = encode, most
@@ -139,28 +142,44 @@ class Memo:
         self.pool = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
+        self.asked = np.zeros(1 << 14, np.int64)
         self.used = 0
 
+    def _thin(self) -> None:
+        words = list(self.at)  # in the order of their places
+        kept = np.flatnonzero(self.asked[: len(words)] > 1)
+        if len(kept) > self.most // 2:
+            self.clear()
+            return
+        lengths = self.length[kept]
+        pool = self.pool[ragged_take(self.start[kept], lengths)]
+        self.clear()
+        self._add([words[i] for i in kept.tolist()], pool, lengths)
+
+    def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        first, held = len(self.at), len(self.at) + len(words)
+        if held > len(self.start):
+            self.start, self.length, self.asked = (np.concatenate([x, np.zeros(2 * held - len(x), np.int64)]) for x in (self.start, self.length, self.asked))
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * (self.used + len(ids)))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.start[first:held] = self.used + np.cumsum(lengths) - lengths
+        self.length[first:held] = lengths
+        self.used += len(ids)
+        self.at.update(zip(words, range(first, held), strict=True))
+
     def places(self, words: list[str]) -> np.ndarray:
         if len(self.at) + len(words) > self.most:
-            self.clear()
+            self._thin()
         known = self.at
         new = [w for w in words if w not in known]
         if new:
             packed = self.encode(new)
             lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-            ids = np.frombuffer(b"".join(packed), np.uint32)
-            first, held = len(known), len(known) + len(new)
-            if held > len(self.start):
-                self.start, self.length = (np.resize(x, 2 * held) for x in (self.start, self.length))
-            if self.used + len(ids) > len(self.pool):
-                self.pool = np.resize(self.pool, 2 * (self.used + len(ids)))
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.start[first:held] = self.used + np.cumsum(lengths) - lengths
-            self.length[first:held] = lengths
-            self.used += len(ids)
-            known.update(zip(new, range(first, held), strict=True))
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            self._add(new, np.frombuffer(b"".join(packed), np.uint32), lengths)
+        places = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        self.asked[places] += 1
+        return places
 
     def ids_of(self, words: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in order, and how many each word has."""
