@@ -174,27 +174,81 @@ class SmallWorld:
                         yield a + row, found[(value >= least) & (found >= 0)]
                 asked, width = np.concatenate(again), width * 4
 
-    def audited_beam(self, least: float, beam: int, sample: int = 96, recall: float = 0.995) -> int:
-        """The first of beam, 2 beam, .. with which a bounded sample of members finds what brute force finds:
-        all within ``least``, and their ten nearest."""
+    def audited_beam(self, least: float, beam: int, sample: int = 384, recall: float = 0.999) -> int:
+        """The first of beam, 2 beam, .. with which a bounded sample of members finds what brute force finds.
+
+        Recall is taken member by member, without the member itself, and
+        averaged over those that have others within ``least``, so no large
+        group speaks for small ones. If none of the sample has, their ten
+        nearest count instead (0.9).
+        """
         n = len(self.vectors)
         at = np.linspace(0, n - 1, min(n, sample)).astype(np.int64)
         truth = self.vectors[at] @ self.vectors.T
-        k = min(10, n)
-        nearest = np.argpartition(-truth, k - 1, axis=1)[:, :k]
+        truth[np.arange(len(at)), at] = -2
+        near = (truth >= least).sum(axis=1)
+        k = min(10, n - 1)
+        if near.any():
+            at, near = at[near > 0], near[near > 0]
+        elif k > 0:
+            nearest = np.argpartition(-truth, k - 1, axis=1)[:, :k]
         while beam < n:
-            wanted, hit = 0, 0
-            for row, found in self.within(self.vectors[at], least, beam):
-                wanted += int((truth[row] >= least).sum())
-                hit += len(found)
-            found = self.levels[-1].search(self.vectors[at], self._enter(self.vectors[at], len(self.levels) - 1), beam)[0]
-            same = sum(len(np.intersect1d(a, b)) for a, b in zip(nearest, found, strict=True))
-            if hit >= recall * wanted and same >= 0.9 * nearest.size:
-                break
+            if near.any():
+                hit = np.zeros(len(at))
+                for row, found in self.within(self.vectors[at], least, beam):
+                    hit[row] = (found != at[row]).sum()
+                if (hit / near).mean() >= recall:
+                    break
+            else:
+                found = self.levels[-1].search(self.vectors[at], self._enter(self.vectors[at], len(self.levels) - 1), beam)[0]
+                if np.mean([len(np.intersect1d(a, b)) / k for a, b in zip(nearest, found, strict=True)]) >= 0.9:
+                    break
             beam *= 2
         return beam
 
 
+def tight_balls(vectors: np.ndarray, least: float, sample: int = 1024, smallest: int = 3) -> np.ndarray:
+    """For each unit vector the number of its ball's centre, or its own.
+
+    A ball holds vectors within half the angle of ``least`` around its centre,
+    so all its members link with each other. Centres come from the first
+    ``sample`` vectors that are in no ball yet (the caller shuffles): one with
+    at least ``smallest`` of the sample around it, the fullest first. Rounds
+    end when one takes in little. Groups too small to show in a sample stay
+    single vectors.
+    """
+    tight = np.cos(np.arccos(least) / 2 - 1e-3)
+    owner = np.arange(len(vectors))
+    left = owner
+    while len(left) >= 8 * smallest:
+        at = left[:sample]
+        near = vectors[at] @ vectors[at].T >= tight
+        centres = []
+        while True:
+            counts = near.sum(axis=1)
+            best = int(counts.argmax())
+            if counts[best] < smallest:
+                break
+            centres.append(at[best])
+            near[:, near[best].copy()] = False
+        if not centres:
+            break
+        centres = np.array(centres)
+        taken = np.zeros(len(left), bool)
+        for a in range(0, len(left), 8192):
+            sims = vectors[left[a : a + 8192]] @ vectors[centres].T
+            best = sims.argmax(axis=1)
+            inside = sims[np.arange(len(best)), best] >= tight
+            inside |= np.isin(left[a : a + 8192], centres)
+            owner[left[a : a + 8192][inside]] = centres[best[inside]]
+            taken[a : a + 8192] = inside
+        owner[centres] = centres
+        if taken.sum() < 0.05 * len(left):
+            break
+        left = left[~taken]
+    return owner
+
+
 def _matrix(table: pa.Table | pa.RecordBatch, column: str, dim: int) -> np.ndarray:
     values = table.column(column)
     values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
@@ -221,80 +275,143 @@ def _forest(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]
     return edges
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # keeps tiny and huge values in range
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+class Shard:
+    """The nodes of a shard, those of a ball beside each other with its centre first, and a graph of centres and single nodes."""
+
+    def __init__(self, ids: np.ndarray, copies: np.ndarray, exact: np.ndarray, least: float, beam: int):
+        order = np.argsort(ids * 0x9E3779B1 % 0x7FFFFFFF, kind="stable")  # a fixed shuffle
+        unit = _unit(exact[order])
+        owner = tight_balls(unit.astype(np.float32), least)
+        first = np.lexsort((owner != np.arange(len(owner)), owner))
+        order, unit, owner = order[first], unit[first], owner[first]
+        self.ids, self.copies, self.unit = ids[order], copies[order], unit
+        self.starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        self.prepare(least)
+        world = SmallWorld(unit[self.starts], beam)
+        self.links = [level.links for level in world.levels]
+        self.beam = world.audited_beam(self.wide, beam)
+
+    def prepare(self, least: float) -> None:
+        self.least = least
+        self.sizes = np.diff(np.append(self.starts, len(self.ids)))
+        point = np.repeat(np.arange(len(self.starts)), self.sizes)
+        inner = np.einsum("nd,nd->n", self.unit, self.unit[self.starts][point])
+        self.radius = np.where(self.sizes > 1, np.arccos(np.clip(np.minimum.reduceat(inner, self.starts), -1, 1)), 0.0)
+        self.totals = np.add.reduceat(self.copies, self.starts)
+        self.point = point
+        self.reach = np.arccos(least)
+        # a ball can hold links if its centre is this near
+        self.wide = float(np.cos(self.reach + self.radius.max()) - 1e-4)
+
+    def world(self) -> SmallWorld:
+        world = SmallWorld.__new__(SmallWorld)
+        world.vectors = self.unit[self.starts].astype(np.float32)
+        world.levels = []
+        for links in self.links:
+            level = Level.__new__(Level)
+            level.vectors, level.links = world.vectors[: len(links)], links
+            world.levels.append(level)
+        return world
+
+    def links_of(self, ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """How many rows each query links with here, without itself, and pairs (query, node) that connect it with all of them.
+
+        A ball that lies within reach as a whole is counted as a whole, and
+        its centre stands for its members, which link with it. Of a ball that
+        lies partly within reach the members are compared.
+        """
+        counts = np.zeros(len(ids), np.int64)
+        by_id = np.argsort(self.ids)
+        place = np.minimum(np.searchsorted(self.ids[by_id], ids), len(by_id) - 1)
+        own = np.where(self.ids[by_id][place] == ids, by_id[place], -1)
+        centres, pairs = self.unit[self.starts], []
+        for row, found in self.world().within(vectors.astype(np.float32), self.wide, self.beam):
+            if own[row] >= 0 and not (found == self.point[own[row]]).any():
+                found = np.append(found, self.point[own[row]])
+            if not len(found):
+                continue
+            near = centres[found] @ vectors[row]
+            single = self.sizes[found] == 1
+            hit = single & (near >= self.least)
+            balls = np.flatnonzero(~single)
+            met = [self.starts[found[hit]]]
+            counts[row] = self.totals[found[hit]].sum()
+            if len(balls):
+                angle, radius = np.arccos(np.clip(near[balls], -1, 1)), self.radius[found[balls]]
+                whole = found[balls[angle + radius <= self.reach - 1e-7]]
+                counts[row] += self.totals[whole].sum()
+                met.append(self.starts[whole])
+                for p in found[balls[(angle + radius > self.reach - 1e-7) & (angle - radius <= self.reach + 1e-7)]].tolist():
+                    members = np.arange(self.starts[p], self.starts[p] + self.sizes[p])
+                    members = members[self.unit[members] @ vectors[row] >= self.least]
+                    counts[row] += self.copies[members].sum()
+                    met.append(members)
+            if own[row] >= 0:
+                counts[row] -= self.copies[own[row]]
+            others = self.ids[np.concatenate(met)]
+            others = others[others != ids[row]]
+            if len(others):
+                pairs.append((np.full(len(others), ids[row]), others))
+        return counts, pairs
+
+
 def vector_duplicates(
     table: DataFrame, work: Workspace, id_col: str = "vec_id", vector_col: str = "embedding",
-    least: float = 0.95, beam: int = 48, shard_rows: int = 100_000, least_shards: int = 8, block_rows: int = 20_000,
+    least: float = 0.95, beam: int = 48, shard_rows: int = 100_000, least_shards: int = 4, block_rows: int = 10_000,
 ) -> DataFrame:
     """(id, n_links, component_id, kept) per vector; linked are vectors with cosine ``least`` or more.
 
     Equal vectors are one node with a count. Nodes are dealt to shards by a
-    hash; each shard of at most about ``shard_rows`` nodes gets a graph, whose
-    beam is doubled until an audit against brute force passes. Then every node
-    asks every shard; what a search returns is verified in double precision.
-    A task sends on one count a query and the edges of a spanning forest, not
-    the pairs. Components come from those edges.
+    hash; in each shard of at most about ``shard_rows`` nodes, groups of near
+    copies become balls (``tight_balls``), and their centres and the other
+    nodes a graph, whose beam is doubled until an audit against brute force
+    passes. Then every node asks every shard; what a search returns is
+    verified in double precision. A large group costs a query a few balls, not
+    a list of its members. A task sends on one count a query and the edges of
+    a spanning forest, not the pairs. Components come from those edges.
 
     Vectors that are null, empty or zero, or hold a null or non-finite value,
     link with nothing (0 links, a component of their own), as do vectors of
-    different lengths with each other. Repeated rows are copies; other columns
-    are not read; an empty table gives an empty result.
+    different lengths with each other. Repeated rows are copies; rows that
+    share an id but not the vector are judged each by its own vector; other
+    columns are not read; an empty table gives an empty result.
     """
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = table.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     usable = (
         F.col("v").isNotNull() & (F.size("v") > 0)
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     )
-    rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False))).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), F.reverse("v")))
-    counted = rows.where("ok").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    classes = work.write(counted)
-    nodes = rows.where("ok").join(classes, ["h1", "h2", "id"]).select("id", F.size("v").alias("dim"), "v", "copies").dropDuplicates(["id", "dim"])
-    total = max(1, classes.count())
+    rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False))).withColumn("node", F.xxhash64(F.xxhash64("v"), F.xxhash64(F.lit(1), F.reverse("v"))))
+    classes = rows.where("ok").groupBy("node").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    nodes = classes.select(F.col("node").alias("id"), "least_id", F.size("v").alias("dim"), "v", "copies")
+    nodes = work.write(nodes)
+    total = max(1, nodes.count())
     shards, blocks = max(least_shards, -(-total // shard_rows)), -(-total // block_rows)
-    nodes = work.write(nodes.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(blocks))))
+    dealt = nodes.drop("least_id").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(blocks)))
 
     def build(shard: pa.Table) -> pa.Table:
         dim = shard.column("dim")[0].as_py()
-        order = np.argsort(shard.column("id").to_numpy() * 0x9E3779B1 % 0x7FFFFFFF, kind="stable")  # a fixed shuffle
-        exact = _matrix(shard, "v", dim)[order]
-        world = SmallWorld(exact / np.linalg.norm(exact / np.abs(exact).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(exact).max(axis=1, keepdims=True), beam)
-        held = {
-            "ids": shard.column("id").to_numpy()[order], "copies": shard.column("copies").to_numpy()[order], "exact": exact,
-            "links": [level.links for level in world.levels], "beam": world.audited_beam(least - 1e-4, beam),
-        }
-        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": shard.column("shard").slice(0, 1), "graph": pa.array([pickle.dumps(held, 5)], pa.binary())})
-
-    graphs = work.write(nodes.groupBy("dim", "shard").applyInArrow(build, "dim int, shard long, graph binary"))
-    asked = nodes.select("dim", "block", "id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
+        held = Shard(shard.column("id").to_numpy(), shard.column("copies").to_numpy(), _matrix(shard, "v", dim), least, beam)
+        packed = pickle.dumps({k: getattr(held, k) for k in ("ids", "copies", "unit", "starts", "links", "beam")}, 5)
+        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": shard.column("shard").slice(0, 1), "graph": pa.array([packed], pa.binary())})
+
+    graphs = work.write(dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard long, graph binary"))
+    asked = dealt.select("dim", "block", "id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
     spread = graphs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def ask(graph: pa.Table, queries: pa.Table) -> pa.Table:
         if not graph.num_rows or not queries.num_rows:
             return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "n")})
-        held = pickle.loads(graph.column("graph")[0].as_py())
-        exact = held["exact"]
-
-        def unit(x: np.ndarray) -> np.ndarray:
-            x = x / np.abs(x).max(axis=1, keepdims=True)  # keeps tiny and huge values in range
-            return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-        mine = unit(exact)
-        world = SmallWorld.__new__(SmallWorld)
-        world.vectors = mine.astype(np.float32)
-        world.levels = []
-        for links in held["links"]:
-            level = Level.__new__(Level)
-            level.vectors, level.links = world.vectors[: len(links)], links
-            world.levels.append(level)
+        held = Shard.__new__(Shard)
+        held.__dict__ = pickle.loads(graph.column("graph")[0].as_py())
+        held.prepare(least)
         ids = queries.column("id").to_numpy()
-        theirs = unit(_matrix(queries, "v", exact.shape[1]))
-        counts = np.zeros(len(ids), np.int64)
-        pairs = []
-        for row, found in world.within(theirs.astype(np.float32), least - 1e-4, held["beam"]):
-            found = found[held["ids"][found] != ids[row]]
-            if len(found):
-                found = found[mine[found] @ theirs[row] >= least]
-                counts[row] = held["copies"][found].sum()
-                pairs.append((np.full(len(found), ids[row]), held["ids"][found]))
+        counts, pairs = held.links_of(ids, _unit(_matrix(queries, "v", held.unit.shape[1])))
         edges = np.array(_forest(pairs), np.int64).reshape(-1, 2)
         some = np.flatnonzero(counts)
         return pa.table({
@@ -305,13 +422,14 @@ def vector_duplicates(
     keys = ["dim", "shard", "block"]
     found = work.write(spread.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(ask, "a long, b long, n long"))
     links = found.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
-    components = work.write(connected_components(found.where("a <> b").select("a", "b"), work))
+    components = connected_components(found.where("a <> b").select("a", "b"), work)
     known = work.write(
-        classes.join(links, "id", "left").join(components, "id", "left")
-        .select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+        nodes.select("id", "least_id", "copies").join(links, "id", "left").join(components, "id", "left")
+        .select(F.col("id").alias("node"), "least_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component"))
     )
-    work.drop(nodes, graphs, found, components)
-    joined = rows.select("id", "ok", "h1", "h2").join(known, ["h1", "h2"], "left").select(
+    work.drop(nodes, graphs, found)
+    smallest = known.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    joined = rows.select("id", "ok", "node").join(known.join(smallest, "component").select("node", "n_links", "component_id"), "node", "left").select(
         "id", F.when(F.col("ok"), F.col("n_links")).otherwise(0).cast("long").alias("n_links"),
         F.when(F.col("ok"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
     )

@@ -13,7 +13,7 @@ from samples import running_text
 from breathline.llm.near_dup import keep_one_of_each, least_matches, near_duplicates
 from breathline.llm.repeats import remove_repeats
 from breathline.llm.shared import Workspace, connected_components
-from breathline.llm.vector_dup import SmallWorld, vector_duplicates
+from breathline.llm.vector_dup import SmallWorld, tight_balls, vector_duplicates
 
 
 def closure(ids, links):
@@ -265,3 +265,29 @@ def test_cuts_inside_characters_leave_no_halves(spark):
                 at += size
             assert bytes(r._kept).decode() == kept and at == len(whole)
     assert len(raw) > 60
+
+
+def test_vectors_in_tight_groups_are_counted_as_brute_force_counts_them(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 16))
+    parts = [c + rng.normal(scale=s, size=(n, 16)) for c, n, s in zip(centres, (400, 150, 60, 30, 9, 4, 2, 1, 1, 200, 100, 80), (0.02, 0.2, 0.1, 0.05, 0.1, 0.1, 0.1, 1, 1, 0.3, 0.25, 0.01), strict=True)]
+    parts.append(centres[0] * 0.97 + rng.normal(scale=0.16, size=(150, 16)))  # about the reach of the first group
+    x = rng.permutation(np.concatenate(parts))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    owner = tight_balls(unit.astype(np.float32), 0.95)
+    assert (owner[owner] == owner).all() and len(set(owner)) < len(x) - 300
+    assert all((unit[owner == c] @ unit[owner == c].T >= 0.95).all() for c in set(owner))
+    docs = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in vector_duplicates(docs, Workspace(spark, "t")).collect()}
+    found, wanted = np.array([got[i].n_links for i in range(len(x))]), near.sum(axis=1)
+    assert (found <= wanted).all() and (found[wanted > 0] / wanted[wanted > 0]).mean() >= 0.99
+    assert {i: r.component_id for i, r in got.items()} == closure(range(len(x)), [tuple(map(int, p)) for p in np.argwhere(near)])
+
+
+def test_vectors_that_share_an_id_are_judged_each_by_its_own(spark):
+    rows = [(1, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [5.0, 0.0]), (None, [0.0, 3.0]), (4, [1.0, 1.0]), (4, [1.0, 1.0])]
+    docs = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, node long, copies string")
+    got = sorted(map(str, (tuple(r) for r in vector_duplicates(docs, Workspace(spark, "t")).collect())))
+    assert got == sorted(map(str, [(1, 2, 1, True), (1, 1, 1, True), (2, 2, 1, False), (3, 1, 1, False), (None, 2, 1, True), (4, 1, 4, True), (4, 1, 4, True)]))
