@@ -6,6 +6,7 @@ Ensembles and grids have the study's sizes, which are the defaults of
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import product
 
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from breathline.catalog.binding import read, rounded
-from breathline.learning import evaluation, models, neighbours, splits
+from breathline.learning import kernel_svc as kernel_svcs
+from breathline.learning import boosting, evaluation, forest_bags, models, neighbours, splits
 from breathline.session import cut_lineage
 
 FOLDS = 5
@@ -167,10 +169,19 @@ def bagged_regressor(spark, d):
 
 
 def bagged_forests(spark, d):
+    """A bag of 500 forests of 150 trees; the mean of their scores."""
     rows = cut_lineage(labelled_documents(spark, d))
-    return models.bagged_forests(
-        models.forest_classifier, DOC_FEATURES, rows.filter("fold <> 0"), rows, ["doc_id", "label"], bags=models.BAGS
+    scored = forest_bags.bag_scores(
+        rows, "doc_id", DOC_FEATURES, "label", F.col("fold") != 0, models.BAGS, models.FOREST["numTrees"], math.isqrt(len(DOC_FEATURES)), models.FOREST["maxDepth"]
     )
+    return rows.select("doc_id", "label").join(scored, "doc_id").withColumn("prediction", (F.col("score") >= 0.5).cast("double"))
+
+
+def bag_weight_sums(spark, d):
+    """Rows that each of the 500 bags draws, and of how many different ones, from the documents with a label."""
+    rows = labelled_documents(spark, d).where("fold <> 0").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(models.BAGS - 1))).alias("bag"))
+    drawn = rows.withColumn("w", forest_bags.bag_weight_column(F.col("doc_id"), F.col("bag")))
+    return drawn.groupBy("bag").agg(F.sum("w").alias("drawn"), F.count_if(F.col("w") > 0).alias("different"))
 
 
 def logistic_regression(spark, d):
@@ -194,15 +205,28 @@ def linear_svc(spark, d):
 
 
 def kernel_svc(spark, d):
-    rows = models.random_fourier_features(embedded(spark, d), "vector", 64, gamma=0.5)
-    model = models.fit(models.linear_svc(c=1.0, n_rows=_training_rows(spark, d)), rows.filter("fold <> 0"))
-    return models.score(model, rows, ["vec_id", "fold", "label"])
+    """Out-of-fold values, calibrated scores and classes of an exact RBF classifier."""
+    return kernel_svcs.svc_scores(cut_lineage(embedded(spark, d)), "vec_id", "vector", "label", "fold", FOLDS, c=1.0, gamma=0.5)
+
+
+def _svc_search(spark, d, pairs):
+    return kernel_svcs.svc_search(cut_lineage(embedded(spark, d)), "vec_id", "vector", "label", "fold", FOLDS, pairs)
 
 
 def kernel_svc_search(spark, d):
-    rows = cut_lineage(embedded(spark, d))
-    pairs = list(product(models.SVC_GRID["C"], models.SVC_GRID["gamma"]))
-    return models.kernel_svc_search(rows, "vector", 64, pairs, "fold", FOLDS)
+    """All 25 pairs of C and gamma, solved to a duality gap of 1 %."""
+    return _svc_search(spark, d, list(product(models.SVC_GRID["C"], models.SVC_GRID["gamma"])))
+
+
+def svc_random_search(spark, d):
+    """The study's 20 draws: C evenly, gamma log-evenly."""
+    draws = models.random_draws(models.SVC_RANGES, models.SEARCH_DRAWS)
+    return _svc_search(spark, d, [(x["C"], x["gamma"]) for x in draws])
+
+
+def svc_gap_closed(spark, d):
+    """The search again, as statements that hold for any table: rows scored by each candidate, and whether its gap closed."""
+    return kernel_svc_search(spark, d).select("candidate", "C", "gamma", "rows", (F.col("gap") <= 0.01).alias("closed"), F.col("accuracy").between(0, 1).alias("share"))
 
 
 def stacking(spark, d):
@@ -213,11 +237,32 @@ def stacking(spark, d):
 
 
 def grid_search(spark, d):
+    """All 45 candidates of the boosting grid; a node looks at log2 of the features."""
+    grid, each = models.GBT_GRID, int(math.log2(len(DOC_FEATURES)))
     rows = cut_lineage(labelled_documents(spark, d))
-    tree = models.gbt_classifier()
-    grid = models.param_grid(tree, models.GBT_GRID)
-    found = models.cross_validate(models.feature_pipeline(DOC_FEATURES, tree), grid, rows, "fold", FOLDS, models.accuracy())
-    return models.search_table(rows, found)
+    return boosting.boosting_search(rows, "doc_id", DOC_FEATURES, "label", "fold", grid["maxDepth"], grid["stepSize"], grid["maxIter"], features_each=each)
+
+
+def boosted_weight_search(spark, d):
+    """All 144 candidates of the second-order grid, with its floors on summed curvature."""
+    grid = models.BOOSTED_WEIGHT_GRID
+    rows = cut_lineage(labelled_documents(spark, d))
+    return boosting.boosting_search(
+        rows, "doc_id", DOC_FEATURES, "label", "fold", grid["maxDepth"], grid["stepSize"], grid["maxIter"], grid["minCurvature"], by_curvature=True, l2=1.0
+    )
+
+
+def search_coverage(spark, d):
+    """A search over few rounds: every labelled row is scored out of its fold once by each candidate."""
+    rows = cut_lineage(labelled_documents(spark, d))
+    found = boosting.boosting_search(rows, "doc_id", DOC_FEATURES, "label", "fold", [2, 3], [0.1, 0.3], [4, 8], [1.0, 2.0], by_curvature=True, l2=1.0)
+    return found.select("candidate", "depth", "rate", "rounds", "floor", "rows", F.col("mean").between(0, 1).alias("share"))
+
+
+def newton_rounds(spark, d):
+    """Three rounds of second-order splits on returned lines, binned by curvature anew in each."""
+    lines = read(spark, d, "lineitem").withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
+    return rounded(boosting.newton_rounds(lines, SPLIT_FEATURES, "y", rounds=3), 6, "gain", "left", "right")
 
 
 def random_search(spark, d):
@@ -263,8 +308,8 @@ QUERIES = {
         split_candidates, best_split_stump, boosted_stumps, best_split_all, best_split_per_group,
         logistic_boosting, gaussian_bayes, knn_vote, knn_nearest, knn_accuracy_by_k, gbt_classifier, gbt_weighted,
         gbt_regressor, decision_tree, random_forest, forest_regressor, bagged_trees, bagged_regressor,
-        bagged_forests, logistic_regression, linear_svc, kernel_svc, kernel_svc_search, stacking, grid_search,
-        random_search, cross_validated_score, tree_summary, trained_model_compare,
+        bagged_forests, bag_weight_sums, logistic_regression, linear_svc, kernel_svc, kernel_svc_search, svc_random_search, svc_gap_closed, stacking, grid_search,
+        boosted_weight_search, search_coverage, newton_rounds, random_search, cross_validated_score, tree_summary, trained_model_compare,
     )
 }
 
@@ -316,6 +361,38 @@ SELECT {by}feature, x AS split, round(sse, 6) AS sse, CAST(ln AS BIGINT) AS n_le
 FROM e WHERE sse < tq - ts * ts / tn QUALIFY row_number() OVER ({choose}ORDER BY sse, no, x) = 1"""
 
 
+def _sql_newton(rounds: int) -> str:
+    """Best second-order split of each round; a feature of up to 64 values is cut behind each of them."""
+    ctes = ["""l0 AS (SELECT *, (l_returnflag = 'R')::INT AS y, ln(m / (1 - m)) AS f FROM lineitem,
+  (SELECT avg((l_returnflag = 'R')::INT) AS m FROM lineitem))"""]
+    for i in range(1, rounds + 1):
+        long = " UNION ALL ".join(f"SELECT {k} AS no, '{c}' AS feature, CAST({c} AS DOUBLE) AS x, p - y AS g, p * (1 - p) AS h FROM p{i}" for k, c in enumerate(SPLIT_FEATURES))
+        ctes += [
+            f"p{i} AS (SELECT *, 1 / (1 + exp(-f)) AS p FROM l{i - 1})",
+            f"s{i} AS (SELECT no, feature, x, sum(g) AS g, sum(h) AS h FROM ({long}) GROUP BY ALL)",
+            f"""w{i} AS (SELECT no, feature, x, sum(g) OVER o AS gl, sum(h) OVER o AS hl, sum(g) OVER a AS g, sum(h) OVER a AS h FROM s{i}
+  WINDOW o AS (PARTITION BY no ORDER BY x), a AS (PARTITION BY no))""",
+            f"""b{i} AS (SELECT feature, x AS split, gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1) AS gain,
+  -gl / (hl + 1) AS lv, -(g - gl) / (h - hl + 1) AS rv FROM w{i} WHERE hl >= 1 AND h - hl >= 1 ORDER BY gain DESC, no, x LIMIT 1)""",
+            f"""l{i} AS (SELECT l.* REPLACE (l.f + 0.3 * CASE WHEN CASE b.feature {' '.join(f"WHEN '{c}' THEN CAST({c} AS DOUBLE)" for c in SPLIT_FEATURES)} END <= b.split
+  THEN b.lv ELSE b.rv END AS f) FROM l{i - 1} l, b{i} b)""",
+        ]
+    parts = [f"SELECT CAST({i} AS INTEGER) AS round, feature, split, round(gain, 6) AS gain, round(lv, 6) AS \"left\", round(rv, 6) AS \"right\" FROM b{i}" for i in range(1, rounds + 1)]
+    return "WITH " + ",\n".join(ctes) + "\n" + " UNION ALL ".join(parts)
+
+
+def _sql_bag_weights() -> str:
+    """The draws of ``forest_bags`` in whole numbers."""
+    steps, modulus, factor = forest_bags.STEPS, forest_bags.MODULUS, forest_bags.FACTOR
+    source = f"SELECT bag, (CAST(doc_id AS BIGINT) * {steps[0]} + CAST(bag AS BIGINT) * {steps[1]}) % {modulus} AS x FROM l, b"
+    for _ in range(4):
+        source = f"SELECT bag, ((x + 1) * {factor} + x % 1021 * {steps[1]}) % {modulus} AS x FROM ({source})"
+    weight = " + ".join(f"CAST((x + 0.5) / {modulus} > {p!r} AS BIGINT)" for p in forest_bags.POISSON)
+    return f"""WITH l AS (SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE doc_id % {FOLDS} <> 0),
+b AS (SELECT CAST(unnest(range({models.BAGS})) AS INTEGER) AS bag), w AS (SELECT bag, {weight} AS w FROM ({source}))
+SELECT bag, CAST(sum(w) AS BIGINT) AS drawn, CAST(count(*) FILTER (w > 0) AS BIGINT) AS different FROM w GROUP BY 1"""
+
+
 _NEAR = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label, vec_id % 5 AS fold FROM embeddings),
 d AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id, b.label, list_distance(a.v, b.v) AS distance
   FROM e a JOIN e b ON a.fold <> b.fold),
@@ -327,6 +404,16 @@ n AS (SELECT query_id, k, label, count(*) AS n FROM r JOIN k ON rank <= k GROUP
 v AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query_id, k ORDER BY n DESC, label) = 1)"""
 
 SQL = {
+    "svc_gap_closed": f"""SELECT CAST(row_number() OVER (ORDER BY i, j) - 1 AS INTEGER) AS candidate, c AS "C", g AS gamma,
+  (SELECT count(*) FROM embeddings) AS rows, true AS closed, true AS share
+FROM (SELECT unnest({[float(c) for c in models.SVC_GRID["C"]]})::DOUBLE AS c, unnest(range(5)) AS i),
+  (SELECT unnest({[float(g) for g in models.SVC_GRID["gamma"]]})::DOUBLE AS g, unnest(range(5)) AS j)""",
+    "bag_weight_sums": _sql_bag_weights(),
+    "newton_rounds": _sql_newton(3),
+    "search_coverage": """SELECT CAST(row_number() OVER (ORDER BY depth, rounds, rate, floor) - 1 AS INTEGER) AS candidate, depth, rate, rounds, floor,
+  (SELECT count(*) FROM documents JOIN labels USING (doc_id)) AS rows, true AS share
+FROM (SELECT CAST(unnest([2, 3]) AS INTEGER) AS depth), (SELECT CAST(unnest([0.1, 0.3]) AS DOUBLE) AS rate),
+  (SELECT CAST(unnest([4, 8]) AS INTEGER) AS rounds), (SELECT CAST(unnest([1, 2]) AS DOUBLE) AS floor)""",
     "split_candidates": f"{_V0},\n{_sql_round('v0', 1)}\nSELECT {_STUMP}, round(sse, 6) AS sse FROM k1",
     "best_split_stump": f"{_V0},\n{_sql_round('v0', 1)}\nSELECT {_STUMP}, round(sse, 6) AS sse FROM b1",
     "boosted_stumps": _sql_boosted(6),

@@ -12,8 +12,6 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -26,19 +24,26 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import Imputer, MinMaxScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
 from breathline.learning.neighbours import out_of_fold_neighbours, vote_share
-from breathline.operators.sampling import bootstrap
-from breathline.session import cut_lineage, use_checkpoint_dir
+from breathline.session import use_checkpoint_dir
 
 SEED = 42
 
+
+@dataclass(frozen=True)
+class Uniform:
+    """A range that ``random_params`` draws from evenly."""
+
+    low: float
+    high: float
+
+
 # Estimator settings of the study.
 GBT_CLASSIFIER = {"stepSize": 0.1, "maxIter": 600, "subsamplingRate": 0.8, "maxDepth": 4}
 GBT_CLASSIFIER_SLOW = {
@@ -56,8 +61,6 @@ BAGGED_DEEP_TREES = {"numTrees": 500, "subsamplingRate": 1.0, "featureSubsetStra
 #: forests in a bag, candidates of a random search
 BAGS = 500
 SEARCH_DRAWS = 20
-#: forests whose scores are added up in one plan
-BAGS_A_PLAN = 10
 LOGISTIC = {"maxIter": 1000, "elasticNetParam": 0.0}
 LOGISTIC_C = 0.1
 NEIGHBOUR_KS = list(range(50, 65))
@@ -70,9 +73,10 @@ BOOSTED_WEIGHT_GRID = {
     "maxDepth": [3, 5, 6, 7],
     "maxIter": [200, 500, 700, 1000],
     "stepSize": [0.01, 0.1, 0.15],
-    "minInstancesPerNode": [1, 2, 3],
+    "minCurvature": [1, 2, 3],
 }
 SVC_GRID = {"C": [0.1, 1, 10, 100, 1000], "gamma": [1, 0.1, 0.01, 0.001, 0.0001]}
+SVC_RANGES = {"C": Uniform(0.1, 1e4 + 0.1), "gamma": (1e-6, 1e1)}
 FOREST_GRID = {
     "numTrees": [100, 150, 200, 300, 400, 450, 500, 550, 600, 650, 700, 800, 1000],
     "featureSubsetStrategy": ["2", "4", "6", "8"],
@@ -175,18 +179,8 @@ def param_grid(estimator: Estimator, grid: Mapping[str, Sequence]) -> list[dict]
     return builder.build()
 
 
-@dataclass(frozen=True)
-class Uniform:
-    """A range that ``random_params`` draws from evenly."""
-
-    low: float
-    high: float
-
-
-def random_params(
-    estimator: Estimator, space: Mapping[str, Sequence | tuple[float, float]], n: int, seed: int = SEED
-) -> list[dict]:
-    """``n`` parameter maps: lists are drawn from evenly, pairs log-uniformly, ranges (see ``Uniform``) uniformly."""
+def random_draws(space: Mapping[str, Sequence | tuple[float, float]], n: int, seed: int = SEED) -> list[dict]:
+    """``n`` choices: lists are drawn from evenly, pairs log-uniformly, ranges (see ``Uniform``) uniformly."""
     rng = random.Random(seed)
 
     def draw(options):
@@ -197,7 +191,12 @@ def random_params(
             return math.exp(rng.uniform(math.log(low), math.log(high)))
         return rng.choice(list(options))
 
-    return [{estimator.getParam(k): draw(v) for k, v in space.items()} for _ in range(n)]
+    return [{k: draw(v) for k, v in space.items()} for _ in range(n)]
+
+
+def random_params(estimator: Estimator, space: Mapping[str, Sequence | tuple[float, float]], n: int, seed: int = SEED) -> list[dict]:
+    """``random_draws`` as parameter maps of an estimator."""
+    return [{estimator.getParam(k): v for k, v in x.items()} for x in random_draws(space, n, seed)]
 
 
 def cross_validate(
@@ -262,44 +261,6 @@ def feature_weights(df: DataFrame, model: PipelineModel, columns: Sequence[str])
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
-def bagged_forests(
-    make, pipeline_columns: Sequence[str], train: DataFrame, rows: DataFrame, keep: Sequence[str], bags: int
-) -> DataFrame:
-    """Forests fitted on bootstrap samples; the mean of their scores per row.
-
-    Scores are summed per ``BAGS_A_PLAN`` forests and written, so that a plan
-    does not grow with the number of bags.
-    """
-    parts, scored = [], []
-    for i in range(bags):
-        sample = bootstrap(train, keep[0], 1.0, seed=i + 1)
-        scored.append(score(fit(feature_pipeline(pipeline_columns, make()), sample), rows, keep))
-        if len(scored) == BAGS_A_PLAN or i + 1 == bags:
-            part = reduce(DataFrame.unionByName, scored).groupBy(*keep).agg(F.sum("score").alias("sum"), F.count("score").alias("n"))
-            parts.append(cut_lineage(part))
-            scored = []
-    sums = reduce(DataFrame.unionByName, parts).groupBy(*keep).agg((F.sum("sum") / F.sum("n")).alias("score"))
-    return sums.withColumn("prediction", (F.col("score") >= 0.5).cast("double"))
-
-
-def random_fourier_features(
-    df: DataFrame, vector: str, dims: int, gamma: float, components: int = 128, output: str = "features", seed: int = 7
-) -> DataFrame:
-    """Columns whose inner products approximate the RBF kernel exp(-gamma |x - y|^2)."""
-    rng = np.random.default_rng(seed)
-    weights = rng.normal(scale=math.sqrt(2 * gamma), size=(dims, components))
-    phase = rng.uniform(0, 2 * math.pi, size=components)
-
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def project(x: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=object)
-        z = np.cos(np.stack(x.to_numpy()).astype(float) @ weights + phase) * math.sqrt(2 / components)
-        return pd.Series(list(z))
-
-    return df.withColumn(output, array_to_vector(project(F.col(vector).cast("array<double>"))))
-
-
 def out_of_fold_scores(
     df: DataFrame, pipeline: Pipeline, fold_col: str, folds: int, keep: Sequence[str]
 ) -> DataFrame:
@@ -311,35 +272,6 @@ def out_of_fold_scores(
     return reduce(DataFrame.unionByName, parts)
 
 
-def kernel_svc_search(
-    df: DataFrame,
-    vector: str,
-    dims: int,
-    candidates: Sequence[tuple[float, float]],
-    fold_col: str,
-    folds: int,
-    components: int = 128,
-    **light,
-) -> DataFrame:
-    """Accuracy over folds of each (C, gamma): (candidate, C, gamma, accuracy, best).
-
-    Labels are predicted out of fold; per candidate one count of hits leaves Spark.
-    """
-    n_rows = df.count()
-    rows = []
-    for i, (c, gamma) in enumerate(candidates):
-        mapped = random_fourier_features(df, vector, dims, gamma, components)
-        estimator = Pipeline(stages=[linear_svc(c=c, n_rows=n_rows, **light)])
-        scored = out_of_fold_scores(mapped, estimator, fold_col, folds, ["label"])
-        hit = scored.agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("a")).first().a
-        rows.append((i, float(c), float(gamma), float(hit)))
-    best = max(range(len(rows)), key=lambda i: (rows[i][3], -i))
-    return df.sparkSession.createDataFrame(
-        [(*r, r[0] == best) for r in rows],
-        "candidate int, C double, gamma double, accuracy double, best boolean",
-    )
-
-
 def stacked_scores(
     df: DataFrame,
     id_col: str,

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -193,25 +195,20 @@ def test_registered_queries_fit_with_the_sizes_of_the_study(spark, monkeypatch):
 
     monkeypatch.setattr(learners, "labelled_documents", lambda spark, d: spark.range(1).withColumn("fold", F.lit(1)))
     monkeypatch.setattr(learners, "embedded", lambda spark, d: spark.range(1))
-    for name in ("bagged_forests", "kernel_svc_search", "stacked_scores", "fit", "tree_summary", "search_table"):
+    for name in ("stacked_scores", "fit", "tree_summary", "search_table"):
         monkeypatch.setattr(models, name, noted(name))
+    monkeypatch.setattr(learners.kernel_svcs, "svc_search", lambda *args: seen.setdefault(len(args[-1]), args))
+    monkeypatch.setattr(learners.boosting, "boosting_search", lambda *args, **options: seen.setdefault("boosting", []).append((args, options)))
+    bags = lambda rows, *args: seen.setdefault("bags", args) and spark.createDataFrame([], "doc_id long, score double")
+    monkeypatch.setattr(learners.forest_bags, "bag_scores", bags)
     monkeypatch.setattr(models, "stacked_scores", lambda *args, **options: (noted("stacking")(*args, **options), None))
-    monkeypatch.setattr(models, "cross_validate", lambda pipeline, grid, *args: seen.setdefault(len(grid), settings(pipeline.getStages()[-1])))
-    for query in (learners.bagged_forests, learners.kernel_svc_search, learners.stacking, learners.grid_search, learners.random_search, learners.tree_summary):
+    monkeypatch.setattr(models, "cross_validate", lambda pipeline, grid, *args: seen.setdefault("random", settings(pipeline.getStages()[-1])))
+    monkeypatch.setattr(learners, "labelled_documents", lambda spark, d: spark.range(1).select(F.lit(1).alias("doc_id"), F.lit(1).alias("label"), F.lit(1).alias("fold")))
+    for query in (learners.bagged_forests, learners.kernel_svc_search, learners.svc_random_search, learners.stacking, learners.grid_search, learners.boosted_weight_search, learners.random_search, learners.tree_summary):
         query(spark, "")
-    assert seen["bagged_forests"][1]["bags"] == 500 and settings(seen["bagged_forests"][0][0]())["numTrees"] == 150
-    assert len(seen["kernel_svc_search"][0][3]) == 25 and not {"components", "maxIter"} & set(seen["kernel_svc_search"][1])
+    assert seen["bags"][4:] == (500, 150, 2, 30) and len(seen[25][-1]) == 25
+    assert all(0.1 <= c <= 10_000.1 and 1e-6 <= g <= 10 for c, g in seen[20][-1])
+    (grid, _), (weighted, options) = seen["boosting"]
+    assert [math.prod(map(len, args[5:])) for args in (grid, weighted)] == [45, 144] and options["by_curvature"]
     assert "forest" not in seen["stacking"][1] and settings(seen["fit"][0][0].getStages()[-1])["numTrees"] == 150
-    assert seen[45]["subsamplingRate"] == 0.8 and seen[20]["maxIter"] == 1000
-
-
-def test_bagged_forests_average_over_all_bags(spark, monkeypatch):
-    rows = spark.createDataFrame([(i, float(i % 7), int(i % 7 > 3)) for i in range(60)], "id int, a double, label int")
-
-    def run(bags_a_plan):
-        monkeypatch.setattr(models, "BAGS_A_PLAN", bags_a_plan)
-        found = models.bagged_forests(lambda: models.forest_classifier(numTrees=3, maxDepth=2), ["a"], rows, rows, ["id", "label"], bags=5)
-        return {r.id: r.score for r in found.collect()}
-
-    one, several = run(5), run(2)
-    assert len(one) == 60 and all(abs(one[i] - several[i]) < 1e-12 for i in one)
+    assert seen["random"]["maxIter"] == 1000
