@@ -48,18 +48,33 @@ NUMBERS = [
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S
 )
-_ATTR = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORD = re.compile(r"[a-z]+")
+#: attributes that name an element, by their whole name
+NAMING = frozenset(["class", "id", "role", "itemprop", "aria-label"])
+HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
+#: elements that carry text themselves: a phrase of their classes (market share) names no part of the page
+TEXT_TAGS = HEADINGS | frozenset("p blockquote pre b i em strong figcaption cite q dfn".split())
 
 
 def _attribute_words(tag: str, attrs: str) -> tuple[str, ...]:
-    """Words of the naming attributes, without those of NOT_MAIN_WORDS that do not name the element itself."""
+    """Words of the naming attributes, without those of NOT_MAIN_WORDS that do not name the element itself.
+
+    Values of other attributes (href, data-id) say nothing; nor do ids of
+    headings, which are made of the heading's words, nor single words of a
+    phrase on an element that carries text.
+    """
     words: list[str] = []
-    for token in " ".join(_ATTR.findall(attrs)).lower().split():
-        parts = _WORD.findall(token)
-        if tag in FRAME_TAGS or len(parts) > 1 and STATE_WORDS.intersection(parts):
-            parts = [w for w in parts if w not in NOT_MAIN_WORDS]
-        words += parts
+    for name, value in _ATTR.findall(attrs):
+        name = name.lower()
+        if name not in NAMING or tag in HEADINGS and name == "id":
+            continue
+        found = [(token, _WORD.findall(token)) for token in value.strip("\"'").lower().split()]
+        phrase = tag in TEXT_TAGS and any(not NOT_MAIN_WORDS.intersection(parts) for _, parts in found)
+        for _, parts in found:
+            if tag in FRAME_TAGS or phrase or tag in TEXT_TAGS and len(parts) > 1 or len(parts) > 1 and STATE_WORDS.intersection(parts):
+                parts = [w for w in parts if w not in NOT_MAIN_WORDS]
+            words += parts
     return tuple(words)
 
 
@@ -70,6 +85,7 @@ class Page:
         self.tag, self.parent, self.words = ["#root"], [-1], [()]
         self.segments: list[tuple[int, int, str]] = []
         stack, block, at, raw = [0], 0, 0, None
+        open_names: Counter = Counter()
 
         def text(piece: str) -> None:
             if piece:
@@ -80,7 +96,7 @@ class Page:
                 end = re.compile(rf"</{re.escape(raw)}\s*>", re.I).search(source, at)
                 text(source[at : end.start() if end else len(source)])
                 at, raw = (end.end() if end else len(source)), None
-                stack.pop()
+                open_names[self.tag[stack.pop()]] -= 1
                 block += 1
             found = _TOKEN.search(source, at)
             text(source[at : found.start() if found else len(source)])
@@ -92,9 +108,11 @@ class Page:
                 continue
             name, attrs = name.lower(), found[3] or found[6] or ""
             if found[1] or found[4]:
-                if name in self.tag and any(self.tag[n] == name for n in stack):
-                    while self.tag[stack.pop()] != name:
-                        pass
+                if open_names[name] > 0:
+                    closed = None
+                    while closed != name:
+                        closed = self.tag[stack.pop()]
+                        open_names[closed] -= 1
                 if name in BLOCKS:
                     block += 1
                 continue
@@ -104,6 +122,7 @@ class Page:
             for depth in range(len(stack) - 1, 0, -1):
                 open_tag = self.tag[stack[depth]]
                 if name in CLOSED_BY.get(open_tag, ()):
+                    open_names.subtract(self.tag[n] for n in stack[depth:])
                     del stack[depth:]
                     break
                 if open_tag in SCOPE.get(name, ()) or open_tag in BLOCKS and open_tag not in CLOSED_BY:
@@ -116,6 +135,7 @@ class Page:
             self.parent.append(stack[-1])
             self.words.append(_attribute_words(name, attrs) if "=" in attrs else ())
             stack.append(len(self.tag) - 1)
+            open_names[name] += 1
             if name in RAW:
                 raw = name
 

@@ -183,3 +183,35 @@ def test_tree_labels_never_contradict():
     assert page.text(states) == "text"
     assert len(kept) == len(page.tag)
     assert all(not states[n] for n in range(1, len(page.tag)) if page.tag[page.parent[n]] in ("nav", "aside"))
+
+
+def test_names_inside_an_article_do_not_drop_its_text(spark):
+    plain = [(i, f"u{i}", PAGE.format(i=i, a=running_text(i, 30), b=running_text(-i, 20))) for i in range(40)]
+    model = train_node_model(spark.createDataFrame(plain, "page_id long, url string, html string"), "html")
+    words = running_text(99, 12)
+    inside = {
+        f"<p>See <a href=\"/page?id=comments\">{words}</a> there.</p>": f"See {words} there.",
+        f"<p data-id=\"sidebar\">{words}</p>": words,
+        f"<p class=\"market share\">{words}</p>": words,
+        "<h2 id=\"legal-history\">Legal history</h2>": "Legal history",
+        f"<p id='x' title=\"a > b id='menu'\">{words}</p>": words,
+    }
+    pages = [(k, "u", plain[0][2].replace("end</article>", f"end{part}</article>")) for k, part in enumerate(inside)]
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string"), model).collect()}
+    before = f"Head 0\n\n{running_text(0, 30)} & so on.\n\nBold {running_text(0, 20)} end"
+    assert got == {k: f"{before}\n\n{text}" for k, text in enumerate(inside.values())}
+
+
+def test_parts_beside_an_article_go_by_their_names():
+    for part in ("<p class='ad'>x</p>", "<div id='comments'>x</div>", "<p class='cookie'>x</p>", "<div class='share social'>x</div>", "<div role=navigation>x</div>"):
+        assert Page(part).teacher()[1] == 0
+    for part in ("<h2 id='share'>x</h2>", "<p class='market share'>x</p>", "<div data-role='menu'>x</div>", "<a href='?class=ad'>x</a>"):
+        assert Page(part).teacher()[1] == -1
+
+
+def test_many_unknown_end_tags_take_linear_time():
+    import time
+
+    began = time.time()
+    Page("<p>x</p>" * 20_000 + "</unknown>" * 40_000)
+    assert time.time() - began < 10
