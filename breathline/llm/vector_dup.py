@@ -118,6 +118,29 @@ class Level:
             self.links[part] = self.choose(np.take_along_axis(lists, order, 1), np.take_along_axis(near, order, 1), degree)
 
 
+    def join_islands(self) -> None:
+        """Link every part that no path from the first vector reaches, from the vector nearest to it that one does."""
+        reached = np.zeros(len(self.vectors), bool)
+        edge = np.zeros(1, np.int64)
+        while True:
+            while len(edge):
+                reached[edge] = True
+                edge = np.unique(self.links[edge])
+                edge = edge[edge >= 0]
+                edge = edge[~reached[edge]]
+            left = np.flatnonzero(~reached)
+            if not len(left):
+                return
+            known = np.flatnonzero(reached)
+            near = known[np.argmax(self.vectors[known] @ self.vectors[left[0]])]
+            free = np.flatnonzero(self.links[near] < 0)
+            if not len(free):
+                self.links = np.concatenate([self.links, np.full((len(self.links), 1), -1, np.int32)], axis=1)
+                free = [self.links.shape[1] - 1]
+            self.links[near, free[0]] = left[0]
+            edge = left[:1]
+
+
 class SmallWorld:
     """Hierarchical navigable small-world graph of unit vectors; level l holds the first n / SPREAD**l of them."""
 
@@ -147,6 +170,7 @@ class SmallWorld:
                     found, sims = (np.concatenate(x) for x in zip(*parts, strict=True))
                 level.add(first, last, found, sims)
                 first = last
+            level.join_islands()
             self.levels.append(level)
 
     def _enter(self, queries: np.ndarray, levels: int | None = None) -> np.ndarray:
@@ -160,6 +184,10 @@ class SmallWorld:
         """(query, ids of similarity ``least`` or more). A query whose beam is full of such ids is asked again with a wider one."""
         for a in range(0, len(queries), TOGETHER):
             part = queries[a : a + TOGETHER]
+            if beam >= len(self.vectors):  # no narrower beam passed the audit: all are compared
+                for row, sims in enumerate(part @ self.vectors.T):
+                    yield a + row, np.flatnonzero(sims >= least)
+                continue
             entry = self._enter(part, len(self.levels) - 1)
             asked, width = np.arange(len(part)), beam
             while len(asked):
@@ -204,7 +232,7 @@ class SmallWorld:
                 if np.mean([len(np.intersect1d(a, b)) / k for a, b in zip(nearest, found, strict=True)]) >= 0.9:
                     break
             beam *= 2
-        return beam
+        return min(beam, max(n, 1))
 
 
 def tight_balls(vectors: np.ndarray, least: float, sample: int = 1024, smallest: int = 3) -> np.ndarray:
