@@ -3,13 +3,17 @@
 The built-in exact median keeps all distinct values of a group in one task.
 Here equal values are counted first (map-side combine); the counts are cut
 into value buckets whose bounds come from a fixed monotone function, and only
-the buckets that hold a wanted rank are ordered. A group has at most
-``MAX_BUCKETS`` bucket rows, whatever its size.
+the buckets that hold a wanted rank are looked into. A group has at most
+``MAX_BUCKETS`` bucket rows, whatever its size; a bucket crowded with different
+values is cut further, at quantiles of a sample of them, and only the pieces that hold a
+wanted rank by exact counts are ordered.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +25,10 @@ BUCKETS_PER_STEP = 256
 UNIT = 1e-6
 # log(1 + x / UNIT) is under 724 for every double, and there are two signs
 MAX_BUCKETS = 2 * 724 * BUCKETS_PER_STEP + 1
+PIECE = 20_000
+"""Different values of a bucket that one task may order; more are cut into ``PIECES``."""
+PIECES = 64
+PER_PIECE = 64
 
 
 def value_bucket(value: Column) -> Column:
@@ -51,17 +59,12 @@ def distribution(
     counts = rows.groupBy(*keys, value_bucket(F.col("v")).alias("bucket"), "v").agg(
         F.count(F.lit(1)).alias("n")
     )
-    inside = (
-        Window.partitionBy(*keys, "bucket")
-        .orderBy("v")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    ranked = counts.withColumn("upto", F.sum("n").over(inside))
     away = F.col("v") - _bucket_centre(F.col("bucket"))
     per_bucket = (
-        ranked.groupBy(*keys, "bucket")
+        counts.groupBy(*keys, "bucket")
         .agg(
-            F.max_by("upto", "v").alias("bn"),
+            F.sum("n").alias("bn"),
+            F.count(F.lit(1)).alias("distinct"),
             F.sum(F.col("n") * away).alias("d1"),
             F.sum(F.col("n") * away * away).alias("d2"),
             F.min("v").alias("lo"),
@@ -79,7 +82,7 @@ def distribution(
     )
     shift = F.col("bmean") - F.col("mean")
     placed = placed.select(
-        *keys, "bucket", "bn", "total", "mean", "base",
+        *keys, "bucket", "bn", "distinct", "total", "mean", "base",
         (F.sum(F.col("m2") + F.col("bn") * shift * shift).over(group) / F.col("total")).alias("var_pop"),
         F.min("lo").over(group).alias("min_value"),
         F.max("hi").over(group).alias("max_value"),
@@ -91,13 +94,18 @@ def distribution(
     def holds(rank: Column, start: Column, stop: Column) -> Column:
         return (start <= rank) & (rank < stop)
 
-    wanted = F.lit(False)
-    for p in quantiles.values():
-        for rank in (F.floor(spot(p)), F.ceil(spot(p))):
-            wanted = wanted | holds(rank, F.col("base"), F.col("base") + F.col("bn"))
-    stop = F.col("base") + F.col("upto")
-    start = stop - F.col("n")
-    picked = ranked.join(placed.filter(wanted), [*keys, "bucket"])
+    def wanted(size: Column) -> Column:
+        """Holds a wanted rank: ``size`` values that begin at the rank ``base``."""
+        ranks = [edge(spot(p)) for p in quantiles.values() for edge in (F.floor, F.ceil)]
+        return reduce(or_, [holds(rank, F.col("base"), F.col("base") + size) for rank in ranks], F.lit(False))
+
+    placed = placed.filter(wanted(F.col("bn")))
+    plain = counts.join(placed.filter(F.col("distinct") <= PIECE), [*keys, "bucket"]).withColumn("piece", F.lit(0))
+    crowded = _wanted_pieces(counts, placed.filter(F.col("distinct") > PIECE), keys, wanted)
+    picked = plain.unionByName(crowded.select(plain.columns))
+    upto = Window.partitionBy(*keys, "bucket", "piece").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    picked = picked.withColumn("_stop", F.col("base") + F.sum("n").over(upto))
+    stop, start = F.col("_stop"), F.col("_stop") - F.col("n")
     out, final = [], []
     for name, p in quantiles.items():
         low, high = F.floor(spot(p)), F.ceil(spot(p))
@@ -120,6 +128,35 @@ def distribution(
     )
 
 
+def _wanted_pieces(counts: DataFrame, buckets: DataFrame, keys: Sequence[str], wanted: Callable[[Column], Column]) -> DataFrame:
+    """The counted values that share a piece with a wanted rank, with ``piece`` and the rank ``base`` at which it begins.
+
+    Each of the crowded ``buckets`` is cut at the quantiles of those different
+    values whose hashes are smallest. This sample merges like a sketch but has no
+    coin flips: a recomputed task gives the same cuts. It only proposes them: the
+    values of each piece are counted exactly, so a rank is never looked for in the
+    wrong piece. About 1/64 of a crowded bucket is ordered by one task.
+    """
+    place = [*keys, "bucket"]
+    rows = counts.join(buckets, place)
+    share = F.pmod(F.xxhash64("v"), F.lit(1 << 30)) / float(1 << 30)
+    thin = rows.filter(share * F.col("distinct") < float(PIECES * PER_PIECE))
+    ends = thin.groupBy(*place).agg(F.sort_array(F.collect_list("v")).alias("seen"))
+    at = F.sequence(F.lit(1), F.lit(PIECES - 1))
+    cut = F.transform(at, lambda i: F.element_at("seen", F.ceil(i * F.size("seen") / PIECES).cast("int")))
+    rows = rows.join(ends.select(*place, cut.alias("cuts")), place, "left")
+    below = F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda c: c <= F.col("v"))
+    rows = rows.withColumn("piece", F.size(below)).drop("cuts")
+    before = Window.partitionBy(*place).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = (
+        rows.groupBy(*place, "piece")
+        .agg(F.sum("n").alias("pn"), F.max("base").alias("base"), F.max("total").alias("total"))
+        .withColumn("base", F.col("base") + F.coalesce(F.sum("pn").over(before), F.lit(0)))
+        .filter(wanted(F.col("pn")))
+    )
+    return rows.drop("base", "total").join(pieces, [*place, "piece"])
+
+
 def feature_statistics(
     measurements: DataFrame, keys: Sequence[str] = ("stay_id", "name"), value: str = "value"
 ) -> DataFrame:

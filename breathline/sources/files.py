@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: StructType | str, sep: str = ",", missing: str = "", drop_malformed: bool = False
+    spark: SparkSession, path: str | Sequence[str], schema: StructType | str, sep: str = ",", missing: str = "", drop_malformed: bool = False
 ) -> DataFrame:
     """CSV with a header and a declared schema; a malformed line is an error unless dropping is asked for."""
     reader = spark.read.option("header", True).option("sep", sep).option("nullValue", missing)
@@ -27,7 +27,7 @@ def _all_parsed(columns: Sequence[str]) -> Column:
     return F.length(F.concat_ws("", *[F.col(f"`{c}`").cast("string") for c in columns])) >= 0
 
 
-def _without_malformed(reader: DataFrameReader, schema: StructType | str, path: str) -> DataFrame:
+def _without_malformed(reader: DataFrameReader, schema: StructType | str, path: str | Sequence[str]) -> DataFrame:
     """Lines that fit the schema, whichever columns are selected later."""
     wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     marked = StructType([*wanted.fields, StructField("_malformed", StringType())])

@@ -168,3 +168,26 @@ def test_bootstrap_does_not_depend_on_the_layout(spark):
     one = sorted(r.id for r in sampling.bootstrap(df.repartition(7), "id", 1.0, 3).collect())
     two = sorted(r.id for r in sampling.bootstrap(df.coalesce(1), "id", 1.0, 3).collect())
     assert one == two and abs(len(one) - 3000) < 200 and len(set(one)) < 2100
+
+
+def test_quantiles_of_a_crowded_band(spark):
+    """Very many different values inside one bucket: cut further, counted exactly."""
+    n = 300_000
+    values = 1000 + np.arange(n) / 1e6
+    band = spark.range(n).select(F.lit("band").alias("g"), (F.lit(1000.0) + F.pmod(F.col("id") * 7919, F.lit(n)) / F.lit(1e6)).alias("v"))
+    few = spark.createDataFrame([("few", float(i)) for i in range(30)], "g string, v double")
+    wanted = {f"p{i}": p for i, p in enumerate((0.0, 0.05, 0.5, 0.999, 1.0))}
+    got = {r.g: r for r in distribution.distribution(band.union(few), ["g"], "v", wanted).collect()}
+    for name, p in wanted.items():
+        assert abs(got["band"][name] - np.quantile(values, p)) < 1e-8
+        assert abs(got["few"][name] - np.quantile(np.arange(30.0), p)) < 1e-12
+    assert got["band"].n == n and abs(got["band"].var_pop - values.var()) < 1e-9
+
+
+def test_a_wanted_rank_is_looked_for_in_a_small_piece(spark):
+    counts = spark.range(100_000).select(F.lit(1).alias("g"), F.lit(7).cast("bigint").alias("bucket"), F.col("id").cast("double").alias("v"), F.lit(2).cast("bigint").alias("n"))
+    bucket = spark.createDataFrame([(1, 7, 100_000, 200_000, 5)], "g int, bucket bigint, distinct bigint, total bigint, base bigint")
+    rank = F.lit(100_005)
+    rows = distribution._wanted_pieces(counts, bucket, ["g"], lambda size: (F.col("base") <= rank) & (rank < F.col("base") + size)).collect()
+    assert len({r.piece for r in rows}) == 1 and 0 < len(rows) < 100_000 / 20
+    assert min(r.v for r in rows) <= 50_000 <= max(r.v for r in rows)

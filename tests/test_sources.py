@@ -81,3 +81,86 @@ def test_ragged_lines_are_reported(spark, tmp_path):
     path.write_text("1 2 0\n1 2 3 0\n5 6\n\n")
     got = {tuple(r) for r in files.ragged_lines(spark, str(path), 2).collect()}
     assert got == {("1 2 3 0", 4), ("5 6", 2)}
+
+
+def test_matrix_source_equals_the_lines_whatever_the_ranges(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from breathline.sources.matrix_source import lines_of, plan_ranges, use_matrix_source
+
+    use_matrix_source(spark)
+    lines = [f"{i} {i / 7} ? {-i}e-2 {i % 3}" for i in range(400)]
+    lines[5], lines[9], lines[12], lines[20] = "1 2 3", "1 2 3 4 1 9 9", "1 two 3 4 1", ""
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.txt").write_text("\n".join(lines))
+    (tmp_path / "m" / "b.txt").write_text("7 8 9 10 1\r\n")
+    (tmp_path / "m" / "_c.txt").write_text("hidden 1 2 3 4 5\n")
+    path = str(tmp_path / "m")
+    for size in (1, 13, 100, 5000, 1 << 20):
+        found = [x for part in plan_ranges(path, size) for chunk in lines_of(part) for x in chunk.to_pylist()]
+        assert found == [*lines, "7 8 9 10 1\r"], size
+    df = spark.read.format("labelled_matrix").option("features", 4).option("split_bytes", 777).load(path)
+    assert df.rdd.getNumPartitions() > 5
+    rows = df.collect()
+    assert len(rows) == 400
+    bad = {r._line: r for r in rows if r._reason}
+    assert {k: r._reason for k, r in bad.items()} == {"1 2 3": "few fields", "1 2 3 4 1 9 9": "many fields", "1 two 3 4 1": "not a number"}
+    assert bad["1 2 3"].x0 is None and bad["1 two 3 4 1"].x1 is None and bad["1 two 3 4 1"].x2 == 3.0 and bad["1 2 3 4 1 9 9"].x3 == 4.0
+    plain = files.read_labelled_matrix(spark, path + "/[ab].txt", 4).filter("x0 <> 1").collect()
+    mine = df.filter("_reason IS NULL AND x0 <> 1").select("x0", "x1", "x2", "x3", "label").collect()
+    assert sorted(map(tuple, plain), key=str) == sorted(map(tuple, mine), key=str)
+    few = spark.read.format("labelled_matrix").schema("label int, x3 double").option("features", 4).load(path)
+    assert few.columns == ["label", "x3"] and few.filter("x3 = 10 and label = 1").count() == 1
+    with pytest.raises(Exception, match="no column y"):
+        spark.read.format("labelled_matrix").schema("y int").option("features", 4).load(path).collect()
+
+
+def test_a_batch_is_added_once_whatever_dies(spark, tmp_path):
+    import os
+
+    from breathline.sources import batches
+
+    path, schema = str(tmp_path / "out"), "id long, name string"
+    rows = spark.range(0, 1000, 1, 4).selectExpr("id", "concat('n,', id) AS name")
+    assert batches.read_batches(spark, path, schema).count() == 0
+
+    def dies(parts):
+        for frame in parts:
+            yield frame
+            if (frame["id"] >= 700).any():
+                os._exit(1)
+
+    with pytest.raises(Exception):
+        batches.append_batch(rows.mapInPandas(dies, schema), path, "one")
+    assert batches.manifests(path) == {} and batches.read_batches(spark, path, schema).count() == 0
+    for _ in range(3):
+        batches.append_batch(rows, path, "one")
+    batches.append_batch(rows.filter("id < 10"), path, "two")
+    batches.append_batch(rows.filter("id < 0"), path, "empty")
+    assert {k: m["rows"] for k, m in batches.manifests(path).items()} == {"one": 1000, "two": 10, "empty": 0}
+    got = batches.read_batches(spark, path, schema)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect() + rows.filter("id < 10").collect()))
+    batches.drop_leftovers(path)
+    assert got.count() == 1010 and batches.drop_leftovers(path) == 0
+    for bad in ("", "../x", "a/b"):
+        with pytest.raises(Exception):
+            batches.append_batch(rows, path, bad)
+
+
+def test_balanced_predicates_cover_each_row_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    ids = [*range(1, 500), *[77] * 3000, *range(100_000, 100_200), None, None]
+    df = spark.createDataFrame(list(enumerate(ids)), "row long, id long").coalesce(1)
+    df.write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    low, high = 1, 100_199
+    for parts, ranges, spread in ((8, 4096, "row"), (8, 4096, None), (1, 16, None), (3, 1, "row"), (50, 100_199, "row")):
+        counts = [(r["at"], r["n"]) for r in tables.range_histogram(table, "id", low, high, ranges).collect()]
+        made = tables.balanced_predicates(counts, "id", low, high, parts, ranges, spread)
+        fits = [F.expr(f"CASE WHEN {p} THEN 1 ELSE 0 END") for p in made]
+        assert table.filter(sum(fits[1:], fits[0]) != 1).count() == 0
+        sizes = [table.filter(p).count() for p in made]
+        if spread and ranges > 1000:
+            assert max(sizes) < 2.1 * len(ids) / parts and len(made) < 2 * parts + 3
+    assert tables.balanced_predicates([], "id", 1, 5, 4) == ["(id IS NOT NULL OR id IS NULL)"]
