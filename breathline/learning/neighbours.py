@@ -2,9 +2,11 @@
 
 Training rows are grouped by their nearest pivot. From the distances to the
 pivots and the cells' radii, each query row derives a distance within which it
-surely finds k neighbours, and visits only cells that can hold anything nearer
-(triangle inequality). A cell's rows are cut into chunks, so tasks stay small
-however large one cell is; each task returns at most k rows per query.
+surely finds k neighbours, and visits only rings that can hold anything nearer
+(triangle inequality). A ring is the part of a cell between two distances from
+its pivot, so a large cell is not visited whole. A ring's rows are cut into
+chunks, so tasks stay small however large it is; each task returns at most k
+rows per query.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from breathline.session import cut_lineage
 
 CHUNK_ROWS = 20_000
 PIVOTS, MOST_PIVOTS = 16, 256
+RING_ROWS, MOST_RINGS = 2_000, 16
 
 
 def _distances(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -47,29 +50,36 @@ def _nearest_pivot(pivots: np.ndarray):
     return assign
 
 
-def _cells_to_visit(pivots: np.ndarray, sizes: dict[int, dict[int, int]], radius: dict[int, float], k: int):
-    """Per query the cells that may hold one of its k nearest rows of other folds."""
-    cells = sorted(radius)
-    reach = np.array([radius[c] for c in cells])
-    centres = pivots[cells]
+def _rings_to_visit(pivots: np.ndarray, rings: pd.DataFrame, k: int):
+    """Per query the rings that may hold one of its k nearest rows of other folds.
+
+    ``rings`` has one row per (ring, fold): its cell, rows ``n`` and the least and
+    largest distance from the pivot.
+    """
+    spans = rings.groupby("ring").agg(cell=("cell", "first"), low=("low", "min"), high=("high", "max"), n=("n", "sum"))
+    names, centre = spans.index.to_numpy(), spans["cell"].to_numpy()
+    low, high, total = (spans[c].to_numpy() for c in ("low", "high", "n"))
+    by_fold = {fold: part.set_index("ring")["n"].reindex(names, fill_value=0).to_numpy() for fold, part in rings.groupby("fold")}
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
-                yield batch.assign(cells=pd.Series(dtype=object))
+                yield batch.assign(rings=pd.Series(dtype=object))
                 continue
-            d = _distances(np.stack(batch["vector"].to_numpy()).astype(float), centres)
+            to_pivots = _distances(np.stack(batch["vector"].to_numpy()).astype(float), pivots)
             out = []
-            for row, fold in zip(d, batch["fold"].to_numpy(), strict=True):
-                usable = np.array([sum(n for f, n in sizes[c].items() if f != fold) for c in cells])
-                far = row + reach
+            for row, fold in zip(to_pivots, batch["fold"].to_numpy(), strict=True):
+                usable = total - by_fold.get(fold, 0)
+                away = row[centre]
+                far = away + high
                 by_far = np.argsort(far, kind="stable")
                 enough = np.searchsorted(usable[by_far].cumsum(), k)
-                limit = far[by_far[enough]] if enough < len(cells) else np.inf
+                limit = far[by_far[enough]] if enough < len(names) else np.inf
                 # a hair of slack keeps rows whose distance equals the limit
-                near = (row - reach <= limit * (1 + 1e-9) + 1e-9) & (usable > 0)
-                out.append([int(cells[i]) for i in np.flatnonzero(near)])
-            yield batch.assign(cells=out)
+                nearest = np.maximum(away - high, low - away)
+                near = (nearest <= limit * (1 + 1e-9) + 1e-9) & (usable > 0)
+                out.append(names[near].tolist())
+            yield batch.assign(rings=out)
 
     return visit
 
@@ -110,48 +120,46 @@ def _chunk_neighbours(k: int):
     return search
 
 
-def out_of_fold_neighbours(
-    df: DataFrame, id_col: str, vector: str, label: str, fold: str, k: int, chunk_rows: int = CHUNK_ROWS
-) -> DataFrame:
-    """The k nearest rows of other folds for every row: (query_id, neighbour_id, label, distance, rank).
-
-    With a constant fold for training rows and another for test rows this is
-    the plain train/test search; ties in distance go to the smaller id.
-    """
-    rows = df.select(
-        F.col(id_col).cast("bigint").alias("id"),
-        F.col(vector).cast("array<double>").alias("vector"),
-        F.col(label).cast("int").alias("label"),
-        F.col(fold).cast("int").alias("fold"),
-    )
+def _plan_search(rows: DataFrame, k: int, chunk_rows: int, ring_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Queries and points under the keys ``KEYS``: each query once per chunk that may hold a near row."""
     # about sqrt(rows) pivots, within fixed bounds: the rows with the smallest hash
     wanted = min(MOST_PIVOTS, max(PIVOTS, math.isqrt(rows.count())))
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vector").toPandas()
     pivots = np.stack(picked["vector"].to_numpy()).astype(float)
-    celled = rows.mapInPandas(
-        _nearest_pivot(pivots), "id bigint, vector array<double>, label int, fold int, cell int, reach double"
+    celled = cut_lineage(
+        rows.mapInPandas(_nearest_pivot(pivots), "id bigint, vector array<double>, label int, fold int, cell int, reach double")
     )
-    # at most MOST_PIVOTS x folds rows
-    facts = celled.groupBy("cell", "fold").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("r")).toPandas()
-    sizes: dict[int, dict[int, int]] = {}
-    radius: dict[int, float] = {}
-    for r in facts.itertuples():
-        sizes.setdefault(int(r.cell), {})[int(r.fold)] = int(r.n)
-        radius[int(r.cell)] = max(radius.get(int(r.cell), 0.0), float(r.r))
+    marks = [i / MOST_RINGS for i in range(1, MOST_RINGS)]
+    # at most MOST_PIVOTS rows
+    shapes = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("reach", marks, 1000).alias("marks")).collect()
+
+    def borders(n: int, at: Sequence[float]) -> list[float]:
+        rings = min(MOST_RINGS, max(1, n // ring_rows))
+        return [at[MOST_RINGS * i // rings - 1] for i in range(1, rings)]
+
+    cut = {r.cell: borders(r.n, r.marks) for r in shapes}
+    several = [F.lit(x) if j else F.lit(c) for c, at in cut.items() if at for j, x in enumerate((c, at))]
+    ring = F.coalesce(F.size(F.filter(F.try_element_at(F.create_map(*several), F.col("cell")), lambda x: x < F.col("reach"))), F.lit(0)) if several else F.lit(0)
+    celled = celled.withColumn("ring", F.col("cell") * MOST_RINGS + F.when(F.col("cell").isin([c for c, at in cut.items() if at]), ring).otherwise(0))
+    # at most MOST_PIVOTS x MOST_RINGS x folds rows
+    rings = celled.groupBy("ring", "fold").agg(
+        F.first("cell").alias("cell"), F.count(F.lit(1)).alias("n"), F.min("reach").alias("low"), F.max("reach").alias("high")
+    ).toPandas()
+    sizes = rings.groupby("ring")["n"].sum().to_dict()
     queries = rows.select("id", "vector", "fold").mapInPandas(
-        _cells_to_visit(pivots, sizes, radius, k), "id bigint, vector array<double>, fold int, cells array<int>"
+        _rings_to_visit(pivots, rings, k), "id bigint, vector array<double>, fold int, rings array<int>"
     )
-    queries = cut_lineage(queries.select("id", "vector", "fold", F.explode("cells").alias("cell")))
-    asked = {r.cell: r["count"] for r in queries.groupBy("cell").count().collect()}  # at most one row per cell
+    queries = cut_lineage(queries.select("id", "vector", "fold", F.explode("rings").alias("ring")))
+    asked = {r.ring: r["count"] for r in queries.groupBy("ring").count().collect()}  # at most one row per ring
 
-    def per_cell(numbers: dict[int, int]) -> Column:
-        return F.try_element_at(F.create_map(*[F.lit(x) for c, n in numbers.items() for x in (c, n)]), F.col("cell"))
+    def per_ring(numbers: dict[int, int]) -> Column:
+        return F.try_element_at(F.create_map(*[F.lit(int(x)) for c, n in numbers.items() for x in (c, n)]), F.col("ring"))
 
-    # a cell's points are copied once per block of the queries that visit it, and not at all if none does
-    chunk_count = per_cell({c: -(-sum(by.values()) // chunk_rows) for c, by in sizes.items()})
-    block_count = per_cell({c: -(-n // chunk_rows) for c, n in asked.items()})
+    # a ring's points are copied once per block of the queries that visit it, and not at all if none does
+    chunk_count = per_ring({c: -(-n // chunk_rows) for c, n in sizes.items()})
+    block_count = per_ring({c: -(-n // chunk_rows) for c, n in asked.items()})
     points = celled.filter(block_count.isNotNull()).select(
-        "id", "vector", "label", "fold", "cell",
+        "id", "vector", "label", "fold", "ring",
         F.pmod(F.xxhash64("id"), chunk_count).cast("int").alias("chunk"),
         F.explode(F.sequence(F.lit(0), block_count - 1)).alias("block"),
     )
@@ -160,10 +168,33 @@ def out_of_fold_neighbours(
         F.explode(F.sequence(F.lit(0), chunk_count.cast("int") - 1)).alias("chunk"),
         F.pmod(F.xxhash64("id", F.lit(1)), block_count).cast("int").alias("block"),
     )
-    keys = ["cell", "chunk", "block"]
+    return queries, points
+
+
+KEYS = ["ring", "chunk", "block"]
+
+
+def _search_rows(df: DataFrame, id_col: str, vector: str, label: str, fold: str) -> DataFrame:
+    return df.select(
+        F.col(id_col).cast("bigint").alias("id"),
+        F.col(vector).cast("array<double>").alias("vector"),
+        F.col(label).cast("int").alias("label"),
+        F.col(fold).cast("int").alias("fold"),
+    )
+
+
+def out_of_fold_neighbours(
+    df: DataFrame, id_col: str, vector: str, label: str, fold: str, k: int, chunk_rows: int = CHUNK_ROWS, ring_rows: int = RING_ROWS
+) -> DataFrame:
+    """The k nearest rows of other folds for every row: (query_id, neighbour_id, label, distance, rank).
+
+    With a constant fold for training rows and another for test rows this is
+    the plain train/test search; ties in distance go to the smaller id.
+    """
+    queries, points = _plan_search(_search_rows(df, id_col, vector, label, fold), k, chunk_rows, ring_rows)
     found = (
-        queries.groupBy(*keys)
-        .cogroup(points.groupBy(*keys))
+        queries.groupBy(*KEYS)
+        .cogroup(points.groupBy(*KEYS))
         .applyInPandas(
             _chunk_neighbours(k),
             "query_id bigint, neighbour_id bigint, neighbour_label int, distance double",
@@ -173,6 +204,16 @@ def out_of_fold_neighbours(
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def compared_pairs(
+    df: DataFrame, id_col: str, vector: str, label: str, fold: str, k: int, chunk_rows: int = CHUNK_ROWS, ring_rows: int = RING_ROWS
+) -> DataFrame:
+    """(rows, pairs): how many rows there are and how many pairs the search would compare."""
+    rows = _search_rows(df, id_col, vector, label, fold)
+    queries, points = (side.groupBy(*KEYS).count() for side in _plan_search(rows, k, chunk_rows, ring_rows))
+    pairs = queries.withColumnRenamed("count", "q").join(points, KEYS).agg(F.sum(F.col("q") * F.col("count")).alias("pairs"))
+    return rows.agg(F.count(F.lit(1)).alias("rows")).select("rows", pairs.scalar().alias("pairs"))
+
+
 def vote(neighbours: DataFrame, ks: Sequence[int]) -> DataFrame:
     """Majority label for every k at once: (query_id, k, prediction); ties go to the smaller label."""
     votes = neighbours.select(

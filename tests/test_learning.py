@@ -153,10 +153,34 @@ def test_neighbours_match_brute_force_with_small_chunks(spark):
         want = sorted(others, key=lambda j: (d[i, j], j))[:7]
         mine = [r.neighbour_id for r in sorted((r for r in got if r.query_id == i), key=lambda r: r["rank"])]
         assert mine == want
+    fine = neighbours.out_of_fold_neighbours(df, "id", "v", "label", "fold", 7, chunk_rows=25, ring_rows=3)
+    assert sorted(map(tuple, fine.collect())) == sorted(map(tuple, got))
     votes = neighbours.vote(df.sparkSession.createDataFrame([(1, 5, 1), (1, 3, 2), (1, 5, 3)], "query_id int, neighbour_label int, rank int"), [1, 2, 3])
     assert {r.k: r.prediction for r in votes.collect()} == {1: 5, 2: 3, 3: 5}
 
 
+def test_rings_of_cells_spare_comparisons(spark):
+    """Points along a few lines through far centres: the rings of a cell are visited one by one."""
+    rng = np.random.default_rng(6)
+    vectors = np.stack([np.where(np.arange(4) == i % 4, 1000.0, 0) + np.array([rng.uniform(0, 100), 0, 0, 0]) for i in range(1500)])
+    folds = np.arange(1500) // 4 % 2
+    rows = [(i, v.tolist(), 0, int(folds[i])) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>, label int, fold int")
+    whole = neighbours.compared_pairs(df, "id", "v", "label", "fold", 5, ring_rows=10**6).first()
+    fine = neighbours.compared_pairs(df, "id", "v", "label", "fold", 5, ring_rows=10).first()
+    assert whole.rows == fine.rows == 1500 and whole.pairs < 1500 * 1500 / 4
+    assert fine.pairs < 0.6 * whole.pairs
+    got = neighbours.out_of_fold_neighbours(df, "id", "v", "label", "fold", 5, ring_rows=10).collect()
+    d = np.sqrt(((vectors[:, None] - vectors[None]) ** 2).sum(axis=2))
+    near = {}
+    for r in got:
+        near.setdefault(r.query_id, []).append((r.distance, r.neighbour_id))
+    for i in range(0, 1500, 50):
+        others = np.flatnonzero(folds != folds[i])
+        want = others[np.lexsort((others, d[i, others]))[:5]].tolist()
+        assert [j for _, j in sorted(near[i])] == want
+
+
 def test_trees_search_and_summary(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(200, 2))
