@@ -1,8 +1,8 @@
 """Operators bound to the driver's tables, each with the SQL that states its result."""
 
-from breathline.catalog import cohorts, evaluation, learners, preparation, relational, timeseries
+from breathline.catalog import cohorts, evaluation, ingestion, learners, preparation, relational, study, timeseries
 
-MODULES = (timeseries, cohorts, relational, preparation, evaluation, learners)
+MODULES = (timeseries, cohorts, relational, preparation, evaluation, learners, study, ingestion)
 
 
 def all_queries() -> dict:

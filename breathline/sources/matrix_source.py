@@ -48,12 +48,14 @@ def plan_ranges(path: str, split_bytes: int) -> list[ByteRange]:
     from pyarrow import fs
 
     filesystem, inner = _open(path)
-    scheme = path[: path.index("://") + 3] if "://" in path else ""
+    inner = inner.rstrip("/")
+    path = path.rstrip("/")
+    before = path[: len(path) - len(inner)] if path.endswith(inner) else ""
     info = filesystem.get_file_info(inner)
     found = [info] if info.type == fs.FileType.File else filesystem.get_file_info(fs.FileSelector(inner, recursive=True))
     files = [f for f in found if f.type == fs.FileType.File and not any(part[:1] in ("_", ".") for part in f.path[len(inner) :].split("/"))]
     return [
-        ByteRange(scheme + f.path, at, min(at + split_bytes, f.size))
+        ByteRange(before + f.path, at, min(at + split_bytes, f.size))
         for f in sorted(files, key=lambda f: f.path)
         for at in range(0, f.size, split_bytes)
     ]
