@@ -8,10 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from breathline.llm.shared import arrow_map, bounded_sample, coded_words, text_slices
+from breathline.llm.shared import arrow_map, coded_words, text_slices
+from breathline.session import cut_lineage
 
 UNKNOWN = "und"
+SPACE = r"[\x20\x09-\x0D]+"
 #: longer words are run in pieces of so many bytes
 LONGEST = 64
 
@@ -136,7 +139,7 @@ class ByteGru:
                 owner.append(i)
                 pieces.append(word)
             else:
-                cut = [word[k : k + LONGEST] for k in range(0, len(word), LONGEST)]
+                cut = _pieces(word)
                 owner += [i] * len(cut)
                 pieces += cut
         owner = np.asarray(owner, np.int64)
@@ -208,20 +211,51 @@ def _labeller(model: ByteGru | None):
     return lambda texts: ([UNKNOWN] * len(texts), np.zeros(len(texts)))
 
 
+def _pieces(word: bytes) -> list[bytes]:
+    return [word[k : k + LONGEST] for k in range(0, len(word), LONGEST)]
+
+
+def sample_words(docs: DataFrame, text_col: str, lang_col: str, order_by: str, max_docs: int, max_words: int) -> DataFrame:
+    """(lang, word, _place) of words with a letter, drawn from the whole texts of a bounded number of documents a language.
+
+    Each language gets an equal part of ``max_docs`` documents (20 at least; the
+    smallest hashes of ``order_by``) and of ``max_words`` words (by a hash of
+    document and place), so a rare language is learnt however large the others are.
+    Nulls in text or language are left out.
+    """
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.xxhash64(order_by).alias("_hash"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")
+    )
+
+    def thinned(rows: DataFrame, hashed: str, most: int) -> DataFrame:
+        """About ``most`` rows a language or a little more, and all rows of small languages."""
+        counts = rows.groupBy("lang").count().collect()  # one row per language
+        if all(r["count"] <= most for r in counts):
+            return rows
+        share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, int(min(1.0, (1.25 * most + 100) / r["count"]) * 1_000_003))])
+        return rows.where(F.pmod(hashed, F.lit(1_000_003)) < F.element_at(share, F.col("lang")))
+
+    def first(rows: DataFrame, hashed: str, most: int) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(hashed, *[c for c in rows.columns if c not in ("lang", hashed)]))
+        return thinned(rows, hashed, most).withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+
+    languages = max(1, labelled.select("lang").distinct().count())
+    sample = cut_lineage(first(labelled, "_hash", max(20, max_docs // languages)))
+    words = sample.select("lang", "_hash", F.posexplode(F.split("text", SPACE)).alias("_at", "word")).where(F.col("word").rlike(r"\p{L}"))
+    words = words.select("lang", "word", F.xxhash64("_hash", "_at").alias("_place"))
+    return first(words, "_place", max(1, max_words // languages))
+
+
 def train_language_model(
     docs: DataFrame, text_col: str, lang_col: str, order_by: str,
-    max_docs: int = 2000, max_chars: int = 4000, hidden: int = 16, steps: int = 700,
+    max_docs: int = 2000, max_words: int = 200_000, hidden: int = 16, steps: int = 700,
 ) -> ByteGru | None:
-    """A network fitted on at most ``max_docs`` labelled texts (the smallest hashes of ``order_by``), of each at most
-    ``max_chars`` characters. None if no labelled text has a word."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(order_by).alias("key"), F.col(lang_col).cast("string").alias("lang"), F.substring(text_col, 1, max_chars).alias("text")
-    )
-    sample = sorted(bounded_sample(labelled, ["key"], max_docs).collect(), key=lambda r: (str(r.key), r.lang, r.text))
+    """A network fitted on the words of ``sample_words``, long ones in pieces as in prediction. None if no labelled text has a word."""
+    sample = sample_words(docs, text_col, lang_col, order_by, max_docs, max_words).collect()
     labels = sorted({row.lang for row in sample})
     words, y = [], []
-    for row in sample:
-        found = [w.encode()[:LONGEST] for w in row.text.split() if any(map(str.isalpha, w))]
+    for row in sorted(sample, key=lambda r: (r["_place"], r.lang, r.word)):
+        found = _pieces(row.word.encode())
         words += found
         y += [labels.index(row.lang)] * len(found)
     if not words:
@@ -252,14 +286,23 @@ def identify_languages(docs: DataFrame, model: ByteGru | None, id_col: str = "do
     return arrow_map(docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text"), run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: ByteGru | None, text_col: str = "text", min_score: float = 0.3) -> DataFrame:
-    """The rows, with all columns, whose text has a language with at least ``min_score``; without a model all rows."""
+def least_score(labels: int) -> float:
+    """The score under which a language is no better than a guess among ``labels`` ones: a fifth over an even share, 1 for a single label."""
+    return (1 + 0.2 * (1 - 1 / labels)) / labels - 1e-6
+
+
+def keep_identified(docs: DataFrame, model: ByteGru | None, text_col: str = "text", min_score: float | None = None) -> DataFrame:
+    """The rows, with all columns, whose text has a language with at least ``min_score`` (``least_score`` if None).
+
+    Null texts and those without a letter go. Without a model all rows stay; repeated rows stay repeated; an empty table stays empty.
+    """
+    bound = min_score if min_score is not None or model is None else least_score(len(model.labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = _labeller(model)
         for part in text_slices(batches, text_col):
             labels, score = label(part.column(text_col))
             named = np.fromiter((x != UNKNOWN for x in labels), bool, len(labels))
-            yield part.filter(pa.array(named & (score >= min_score)))
+            yield part.filter(pa.array(named & (score >= bound)))
 
     return arrow_map(docs, run, docs.schema) if model else docs

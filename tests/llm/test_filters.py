@@ -99,6 +99,26 @@ def test_languages_are_told_apart(spark, odd_documents, no_documents):
     assert identify_languages(no_documents, model).count() == 0 and keep_identified(no_documents, model).count() == 0
 
 
+def test_rare_languages_and_late_words_are_learnt(spark):
+    import random
+
+    from breathline.llm.language_id import least_score, sample_words
+
+    rng = random.Random(5)
+    rare = "kxqz wvvx qqzk zxkw vqkz".split()
+    rows = [(i, running_text(i, 60), "en") for i in range(3000)] + [(5000 + i, " ".join(rng.choices(rare, k=40)), "xx") for i in range(4)]
+    rows += [(6000, "1 " * 4000 + " ".join(rare * 30), "yy"), (6001, None, "xx"), (6002, "text", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    drawn = sample_words(df, "text", "lang", "doc_id", 300, 3000).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in drawn} == {"en": 1000, "xx": 160, "yy": 150}
+    model = train_language_model(df.where("lang <> 'yy'"), "text", "lang", "doc_id", max_docs=300, steps=150)
+    asked = spark.createDataFrame([(1, " ".join(rare)), (2, running_text(9999, 30)), (3, "kxqzwvvxqqzk" * 30)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in identify_languages(asked, model).collect()} == {1: "xx", 2: "en", 3: "xx"}
+    assert least_score(1) <= 1 and all(1 / n < least_score(n) < 1.2 / n for n in (2, 4, 50))
+    one = train_language_model(df.where("lang = 'xx'"), "text", "lang", "doc_id", steps=5)
+    assert keep_identified(asked, one).count() == 3
+
+
 def test_quality_model_learns_and_interacts(spark, odd_documents, no_documents):
     rng = np.random.default_rng(0)
     x = rng.random((3000, 13)).astype(np.float32)
