@@ -7,6 +7,11 @@ surely finds k neighbours, and visits only rings that can hold anything nearer
 its pivot, so a large cell is not visited whole. A ring's rows are cut into
 chunks, so tasks stay small however large it is; each task returns at most k
 rows per query.
+
+Without structure nearly every ring is visited, and copying each query to each
+of them costs more than it spares. A sample of queries tells beforehand: then
+blocks of queries meet chunks of all points. That is quadratic work in matrix
+products, with copies that grow as blocks times chunks.
 """
 
 from __future__ import annotations
@@ -25,6 +30,10 @@ from breathline.session import cut_lineage
 CHUNK_ROWS = 20_000
 PIVOTS, MOST_PIVOTS = 16, 256
 RING_ROWS, MOST_RINGS = 2_000, 16
+#: share of all rows that a query visits on average, from which on blocks of queries meet all rows
+DENSE_SHARE = 0.25
+#: queries that the share is estimated on; rows of a block of queries and of a chunk of points of the dense search
+ASKED_FIRST, BLOCK_QUERIES, BLOCK_POINTS = 1_000, 20_000, 100_000
 
 
 def _distances(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -84,34 +93,63 @@ def _rings_to_visit(pivots: np.ndarray, rings: pd.DataFrame, k: int):
     return visit
 
 
+def _nearest(queries: np.ndarray, points: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per query (number, places of its k nearest points, their distances), ties by place; rows with a distance that is not finite are left out.
+
+    A matrix product gives distances up to rounding. All points within the k-th
+    of them plus a bound of that rounding are candidates; these are compared by
+    the differences themselves.
+    """
+    square = (points * points).sum(axis=1)
+    most = square[np.isfinite(square)].max(initial=0.0)
+    flipped = np.ascontiguousarray(points.T) * -2.0
+    thin = max(1, min(8, len(points) // (8 * k)))
+    step = max(1, 1_000_000 // max(1, len(points)))
+    for start in range(0, len(queries), step):
+        some = queries[start : start + step]
+        near = some @ flipped
+        near += square
+        part = near[:, ::thin]
+        # a k-th nearest of some points is no nearer than that of all
+        limits = np.partition(part, k - 1, axis=1)[:, k - 1] if part.shape[1] > k else np.full(len(some), np.inf)
+        for i, (row, limit) in enumerate(zip(near, limits, strict=True)):
+            slack = 1e-11 * (most + float(some[i] @ some[i]))
+            kept = np.flatnonzero(~(row > limit + slack))
+            if len(kept) > k:
+                kth = np.partition(row[kept], k - 1)[k - 1]
+                kept = kept[~(row[kept] > kth + slack)]
+            gap = some[i] - points[kept]
+            found = np.sqrt((gap * gap).sum(axis=1))
+            best = np.argsort(found, kind="stable")[:k]
+            best = best[np.isfinite(found[best])]
+            yield start + i, kept[best], found[best]
+
+
 def _chunk_neighbours(k: int):
     def search(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         columns = ["query_id", "neighbour_id", "neighbour_label", "distance"]
+        empty = pd.DataFrame({c: [] for c in columns}).astype(
+            {"query_id": "int64", "neighbour_id": "int64", "neighbour_label": "int32", "distance": "float64"}
+        )
         if queries.empty or points.empty:
-            return pd.DataFrame({c: [] for c in columns}).astype(
-                {"query_id": "int64", "neighbour_id": "int64", "neighbour_label": "int32", "distance": "float64"}
-            )
+            return empty
         points = points.sort_values("id", kind="stable")
         vectors = np.stack(points["vector"].to_numpy()).astype(float)
         ids, labels, folds = (points[c].to_numpy() for c in ("id", "label", "fold"))
-        parts = []
-        step = max(1, 4_000_000 // len(points))
-        for start in range(0, len(queries), step):
-            some = queries.iloc[start : start + step]
-            d = _distances(np.stack(some["vector"].to_numpy()).astype(float), vectors)
-            d[some["fold"].to_numpy()[:, None] == folds[None, :]] = np.inf
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(some)), best.shape[1])
-            picked = best.ravel()
-            found = d[rows, picked]
-            keep = np.isfinite(found)
+        parts = [empty]
+        for fold, own in queries.groupby("fold"):
+            other = np.flatnonzero(folds != fold)
+            if not len(other):
+                continue
+            asked = own["id"].to_numpy()
+            found = list(_nearest(np.stack(own["vector"].to_numpy()).astype(float), vectors[other], k))
+            places = other[np.concatenate([p for _, p, _ in found])]
+            who = np.repeat(asked[[i for i, _, _ in found]], [len(p) for _, p, _ in found])
             parts.append(
                 pd.DataFrame(
                     {
-                        "query_id": some["id"].to_numpy()[rows][keep],
-                        "neighbour_id": ids[picked][keep],
-                        "neighbour_label": labels[picked][keep],
-                        "distance": found[keep],
+                        "query_id": who, "neighbour_id": ids[places], "neighbour_label": labels[places],
+                        "distance": np.concatenate([d for _, _, d in found]),
                     }
                 )
             )
@@ -120,10 +158,32 @@ def _chunk_neighbours(k: int):
     return search
 
 
+def _plan_blocks(rows: DataFrame, written: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """Queries and points under the keys ``KEYS``: every block of queries meets every chunk of points.
+
+    The points are read from the ``written`` copy of the rows, so that the two
+    sides of the search share no column.
+    """
+    chunks = max(1, -(-total // BLOCK_POINTS))
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    blocks = max(-(-total // BLOCK_QUERIES), min(-(-tasks // chunks), -(-total // 100)), 1)
+
+    def dealt(numbers: int, seed: int) -> Column:
+        return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(numbers)).cast("int")
+
+    def each(numbers: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(numbers - 1)))
+
+    points = written.select("id", "vector", "label", "fold", F.lit(0).alias("ring"), dealt(chunks, 0).alias("chunk"), each(blocks).alias("block"))
+    queries = rows.select("id", "vector", "fold", F.lit(0).alias("ring"), each(chunks).alias("chunk"), dealt(blocks, 1).alias("block"))
+    return queries, points
+
+
 def _plan_search(rows: DataFrame, k: int, chunk_rows: int, ring_rows: int) -> tuple[DataFrame, DataFrame]:
     """Queries and points under the keys ``KEYS``: each query once per chunk that may hold a near row."""
     # about sqrt(rows) pivots, within fixed bounds: the rows with the smallest hash
-    wanted = min(MOST_PIVOTS, max(PIVOTS, math.isqrt(rows.count())))
+    total = rows.count()
+    wanted = min(MOST_PIVOTS, max(PIVOTS, math.isqrt(total)))
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vector").toPandas()
     pivots = np.stack(picked["vector"].to_numpy()).astype(float)
     celled = cut_lineage(
@@ -146,9 +206,13 @@ def _plan_search(rows: DataFrame, k: int, chunk_rows: int, ring_rows: int) -> tu
         F.first("cell").alias("cell"), F.count(F.lit(1)).alias("n"), F.min("reach").alias("low"), F.max("reach").alias("high")
     ).toPandas()
     sizes = rings.groupby("ring")["n"].sum().to_dict()
-    queries = rows.select("id", "vector", "fold").mapInPandas(
-        _rings_to_visit(pivots, rings, k), "id bigint, vector array<double>, fold int, rings array<int>"
-    )
+    visits = "id bigint, vector array<double>, fold int, rings array<int>"
+    visit = _rings_to_visit(pivots, rings, k)
+    first = rows.select("id", "vector", "fold").orderBy(F.xxhash64("id"), "id").limit(ASKED_FIRST).mapInPandas(visit, visits)
+    seen = [sum(sizes[x] for x in r.rings) for r in first.select("rings").collect()]
+    if sum(seen) >= DENSE_SHARE * total * len(seen):
+        return _plan_blocks(rows, celled, total)
+    queries = rows.select("id", "vector", "fold").mapInPandas(visit, visits)
     queries = cut_lineage(queries.select("id", "vector", "fold", F.explode("rings").alias("ring")))
     asked = {r.ring: r["count"] for r in queries.groupBy("ring").count().collect()}  # at most one row per ring
 

@@ -159,6 +159,24 @@ def test_neighbours_match_brute_force_with_small_chunks(spark):
     assert {r.k: r.prediction for r in votes.collect()} == {1: 5, 2: 3, 3: 5}
 
 
+def test_neighbours_without_structure_are_compared_in_blocks(spark, monkeypatch):
+    """Nearly every ring would be visited: a query goes to each chunk of points once, not to each ring."""
+    rng = np.random.default_rng(9)
+    vectors = np.concatenate([rng.normal(size=(1200, 32)), np.ones((70, 32)), 1e6 + rng.normal(size=(30, 32))])
+    rows = [(i, v.tolist(), int(i % 3), int(i % 5)) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>, label int, fold int")
+    monkeypatch.setattr(neighbours, "BLOCK_POINTS", 500)
+    queries, points = neighbours._plan_search(neighbours._search_rows(df, "id", "v", "label", "fold"), 6, neighbours.CHUNK_ROWS, 50)
+    assert queries.count() == 3 * 1300 and points.groupBy("chunk").count().count() == 3
+    got = {}
+    for r in neighbours.out_of_fold_neighbours(df, "id", "v", "label", "fold", 6, ring_rows=50).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.neighbour_id))
+    for i in range(0, 1300, 7):
+        d = np.sqrt(((vectors[i] - vectors) ** 2).sum(axis=1))
+        want = sorted((j for j in range(1300) if j % 5 != i % 5), key=lambda j: (d[j], j))[:6]
+        assert [j for _, j in sorted(got[i])] == want
+
+
 def test_rings_of_cells_spare_comparisons(spark):
     """Points along a few lines through far centres: the rings of a cell are visited one by one."""
     rng = np.random.default_rng(6)
