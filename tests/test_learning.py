@@ -199,6 +199,17 @@ def test_rings_of_cells_spare_comparisons(spark):
         assert [j for _, j in sorted(near[i])] == want
 
 
+def test_fits_deal_their_rows_to_every_core(spark):
+    seen = []
+
+    class Watch:
+        def fit(self, rows):
+            seen.append((rows.rdd.getNumPartitions(), rows.count()))
+
+    models.fit(Watch(), spark.range(1000).coalesce(1))
+    assert seen == [(spark.sparkContext.defaultParallelism, 1000)]
+
+
 def test_trees_search_and_summary(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(200, 2))
