@@ -87,7 +87,7 @@ def interval_join(
         inside = t > low if stop is None else (t > low) & (t <= high)
     else:
         raise ValueError(f"unknown closed side {closed!r}")
-    return left.join(right, on).filter(inside).drop("_salt", "_day")
+    return left.join(right.hint("merge"), on).filter(inside).drop("_salt", "_day")
 
 
 def contained_join(

@@ -28,6 +28,7 @@ from breathline.functions.text import like_any, number_above, to_number
 from breathline.operators.joins import clipped, common_ids, flag_low_peep, subtract_ids, with_ids, without_ids
 from breathline.operators.reshape import union_distinct
 from breathline.operators.series import pf_onset
+from breathline.session import cut_lineage
 from breathline.sources.tables import as_measurements
 
 ID = "patientunitstayid"
@@ -205,12 +206,19 @@ def cohort_funnel(
     sustain: int = SUSTAIN_MINUTES,
     peep_minimum: float = PEEP_MINIMUM,
 ) -> Funnel:
-    """Adults in every id set -> oxygenation onset -> PEEP check -> enrollment."""
+    """Adults in every id set -> oxygenation onset -> PEEP check -> enrollment.
+
+    The eligible ids, their measurements and the onsets are read by several
+    branches; they are written to the checkpoint folder once. Ids of stays grow
+    with the tables, whatever the size of their files, so they are not broadcast.
+    """
     adults = adults.select("stay_id").distinct()
-    eligible = common_ids([adults, *id_sets], "stay_id")
-    own = measurements.join(eligible, "stay_id", "left_semi")
-    onsets = admission_or_course_onset(
-        admission.join(eligible, "stay_id", "left_semi"), own, threshold, sustain
+    eligible = cut_lineage(common_ids([adults, *id_sets], "stay_id"))
+    own = cut_lineage(measurements.join(eligible.hint("merge"), "stay_id", "left_semi"))
+    onsets = cut_lineage(
+        admission_or_course_onset(
+            admission.join(eligible.hint("merge"), "stay_id", "left_semi"), own, threshold, sustain
+        )
     )
     checked = flag_low_peep(own, onsets, minimum=peep_minimum, lookback=sustain)
     return Funnel(adults, eligible, checked)

@@ -105,3 +105,18 @@ def test_onset_keys_rows_by_stay_and_block(spark):
     windows = re.findall(r"windowspecdefinition\(([^)]*)\)", logical)
     per_row = [w for w in windows if "offset_min" in w]
     assert per_row and all("stay_id" in w and "block" in w for w in per_row)
+
+
+def test_windows_and_eligible_stays_are_not_broadcast(spark):
+    """Estimates from files know nothing of the days and salts of a window; the funnel computes its ids once."""
+    from breathline.operators.joins import interval_join
+
+    rows = events_long(spark, SF)
+    windows = rows.select("stay_id").distinct().selectExpr("stay_id", "0L AS onset", "10000L AS enrollment")
+    plan = interval_join(rows, windows, "onset", "enrollment")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    ids = rows.select("stay_id").distinct()
+    admission = ids.selectExpr("stay_id", "CAST(80 AS DOUBLE) AS pao2", "CAST(0.5 AS DOUBLE) AS fio2")
+    funnel = cohort.cohort_funnel(ids, [ids], admission, rows)
+    plan = funnel.checked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 0
