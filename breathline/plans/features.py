@@ -101,7 +101,7 @@ def dynamic_features(tables: dict[str, DataFrame], cohort: DataFrame) -> DataFra
         "enrollment",
     ).select(*LONG_COLUMNS)
     single = rows.filter("any_time").select(*LONG_COLUMNS).join(
-        cohort.select("stay_id"), "stay_id", "left_semi"
+        cohort.select("stay_id").hint("merge"), "stay_id", "left_semi"
     )
     stats = measurement_statistics(timed.unionByName(single))
     return pivot_statistics(stats, "stay_id", rules.FEATURE_MEASUREMENTS)
@@ -141,7 +141,7 @@ def course_diagnosis_flags(diagnosis: DataFrame, low: int = 0, high: int = 1440)
 def static_features(tables: dict[str, DataFrame], cohort: DataFrame) -> DataFrame:
     """Flags, demographics and admission score of each cohort stay."""
     ids = cohort.select("stay_id")
-    patient = tables["patient"].withColumnRenamed(ID, "stay_id").join(ids, "stay_id", "left_semi")
+    patient = tables["patient"].withColumnRenamed(ID, "stay_id").join(ids.hint("merge"), "stay_id", "left_semi")
     disease = flag_pivot(patient, "stay_id", "apacheadmissiondx", rules.DISEASES, rules.DISEASE_EXCEPTIONS)
     person = patient.groupBy("stay_id").agg(
         F.max(admit_source_code(F.col("hospitaladmitsource"))).alias("admitsource"),
@@ -155,8 +155,9 @@ def static_features(tables: dict[str, DataFrame], cohort: DataFrame) -> DataFram
         .agg(F.max("apachescore").alias("admission_score"))
     )
     out = ids
+    # a side has a row per stay and many columns, of which an estimate from its files knows nothing: no broadcast
     for side in (drug_flags(tables, cohort), disease, person, score):
-        out = out.join(side, "stay_id", "left")
+        out = out.join(side.hint("merge"), "stay_id", "left")
     flags = [*rules.DRUG_FLAGS, *rules.DISEASES]
     return out.fillna(0, subset=flags)
 
@@ -168,9 +169,9 @@ def feature_table(tables: dict[str, DataFrame], cohort: DataFrame, outcomes: Dat
     """
     wide = (
         cohort.select("stay_id", "severity")
-        .join(static_features(tables, cohort), "stay_id", "left")
-        .join(dynamic_features(tables, cohort), "stay_id", "left")
-        .join(outcomes, "stay_id", "left")
+        .join(static_features(tables, cohort).hint("merge"), "stay_id", "left")
+        .join(dynamic_features(tables, cohort).hint("merge"), "stay_id", "left")
+        .join(outcomes.hint("merge"), "stay_id", "left")
         .withColumnRenamed("stay_id", "id")
     )
     return select_header(wide, rules.feature_header())
