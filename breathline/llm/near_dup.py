@@ -18,6 +18,8 @@ from breathline.llm.shared import Workspace, arrow_map, coded_words, connected_c
 BANDS, ROWS = 60, 7
 #: signature values compared by the pruning, in batches of STEP, eight bits each
 COMPARED, STEP = 256, 32
+#: bits of the parities by which pairs around a lead are ruled out
+PARITY_BITS = 512
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -168,52 +170,78 @@ def exact_links(pairs: DataFrame, percent: int) -> DataFrame:
     return arrow_map(pairs, run, "a long, b long")
 
 
-def relate_to_lead(stars: DataFrame) -> DataFrame:
-    """(lead, id, comp, n, c, extra): of each set its size, what it shares with the lead's, and the shingles it does not share."""
+def relate_to_lead(stars: DataFrame, percent: int) -> DataFrame:
+    """(lead, id, comp, n, linked, differ, parity) of each set around a lead.
+
+    Its size, whether it reaches the threshold with the lead's, the shingles
+    that only one of both has, and for each of PARITY_BITS whether an odd number
+    of its shingles falls on it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, c, extra = [], [], []
+            n, linked, differ, parity = [], [], [], []
             for x, y in zip(batch.column("xa"), batch.column("xb"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                own = np.setdiff1d(y, x, assume_unique=True)
+                apart = np.setxor1d(x, y, assume_unique=True)
                 n.append(len(y))
-                c.append(len(y) - len(own))
-                extra.append(own.view(np.int64))
+                linked.append((100 + percent) * len(apart) <= (100 - percent) * (len(x) + len(y)))
+                differ.append(apart.view(np.int64))
+                odd = np.bincount((y % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+                parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in ("lead", "id", "comp")), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(extra, pa.list_(pa.int64()))],
-                names=["lead", "id", "comp", "n", "c", "extra"],
+                [
+                    *(batch.column(k) for k in ("lead", "id", "comp")), pa.array(n, pa.int64()), pa.array(linked, pa.bool_()),
+                    pa.array(differ, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64())),
+                ],
+                names=["lead", "id", "comp", "n", "linked", "differ", "parity"],
             )
 
-    return arrow_map(stars.select("lead", "id", "comp", "xa", "xb"), run, "lead long, id long, comp long, n long, c long, extra array<long>")
+    schema = "lead long, id long, comp long, n long, linked boolean, differ array<long>, parity array<long>"
+    return arrow_map(stars.select("lead", "id", "comp", "xa", "xb"), run, schema)
 
 
 def open_pairs(stars: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) around one lead, of different components, that can still reach the threshold.
 
-    Two sets share at most the smaller of what each shares with the lead, plus
-    the r shingles that both have outside the lead. So
-    J <= (m + r) / (na + nb - m - r) with m = min(ca, cb), and a pair is only
-    made if that bound allows it: with r = 0 by the numbers alone, with r > 0
-    through a common outside shingle among the rarest of both. Copies edited in
-    different places share none, so a large group of them makes few pairs.
+    With d shingles in which a set differs from the lead and o of them common to
+    both, two sets differ in da + db - 2o shingles, which the threshold limits to
+    q (na + nb), q = (100 - percent) / (100 + percent). So with x = d - q n a pair
+    needs o >= (xa + xb) / 2. If that is 0 or less, both are linked with the lead.
+    Else, rarest first, a common one is among the first q na + 1 of the set with
+    the smaller x and the first q (na + nb) + 1 of the other, nb <= na 100 / percent.
+    Copies edited in different places differ from the lead in different shingles,
+    so a large group of them makes few pairs. Where parities differ there is a
+    shingle that only one of both has, so their number too may not pass the limit.
+
+    A pair is judged around one lead: the first of both sets, if it is the same,
+    else any that they share. Sets of a star's most frequent component are only
+    joined with others, so that a large group that is linked already is not
+    joined with itself.
     """
-    a, b = (stars.select("lead", *[F.col(k).alias(f"{k}_{s}") for k in ("id", "comp", "n", "c")]) for s in "ab")
-    differ = "id_a < id_b AND comp_a <> comp_b"
-    reach = f"{100 + percent} * (least(c_a, c_b) + {{}}) >= {percent} * (n_a + n_b)"
-    plain = a.join(b, "lead").where(f"{differ} AND {reach.format(0)}").select("id_a", "id_b")
-    # a member needs at least percent of its set in common with a partner, so of its outside shingles, rarest first,
-    # one among the first (outside - needed + 1) is common too
-    needed = F.greatest(F.ceil(F.col("n") * percent / 100 - 1e-9) - F.col("c"), F.lit(1))
-    outside = stars.select("lead", "id", "comp", "n", "c", (F.col("n") - F.col("c") - needed + 1).alias("first"), F.explode("extra").alias("shingle"))
-    often = outside.groupBy("lead", "shingle").agg(F.count("*").alias("f"))
+    frequent = stars.groupBy("lead", "comp").agg(F.count("*").alias("f")).groupBy("lead").agg(F.max_by("comp", F.struct("f", "comp")).alias("most"))
+    own = stars.groupBy("id").agg(F.min("lead").alias("home"))
+    at = stars.join(own, "id")
+    useful = at.groupBy("lead").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low < high OR low = lead").select("lead")
+    at = at.join(useful, "lead", "left_semi").join(frequent, "lead").withColumn("other", F.expr("comp <> most"))
+    of_set = ["id", "comp", "home", "other", "n", "d", "parity"]
+    at = at.withColumn("d", F.size("differ").cast("long")).select("lead", *of_set, F.explode("differ").alias("shingle"))
+    often = at.groupBy("lead", "shingle").agg(F.count("*").alias("f"))
     rank = F.row_number().over(Window.partitionBy("lead", "id").orderBy("f", "shingle"))
-    front = outside.join(often, ["lead", "shingle"]).withColumn("rank", rank).where("rank <= first AND f > 1")
-    ea, eb = (front.select("lead", "shingle", *[F.col(k).alias(f"{k}_{s}") for k in ("id", "comp", "n", "c", "rank")]) for s in "ab")
-    # at the first common shingle, what both still have behind it limits r
-    most = "(least(n_a - c_a - rank_a, n_b - c_b - rank_b) + 1)"
-    shared = ea.join(eb, ["lead", "shingle"]).where(f"{differ} AND {reach.format(most)}").select("id_a", "id_b").distinct()
-    return plain.union(shared).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    q = f"{100 - percent} / {100 + percent}"
+    ranked = at.join(often, ["lead", "shingle"]).withColumn("rank", rank).where(f"f > 1 AND rank <= {q} * n * {100 + percent} / {percent} + 1")
+    ranked = ranked.withColumn("x", F.expr(f"{100 + percent} * d - {100 - percent} * n"))
+    a, b = (ranked.select("lead", "shingle", *[F.col(k).alias(f"{k}_{s}") for k in (*of_set, "rank", "x")]) for s in "ab")
+    a = a.where(f"rank_a <= {q} * n_a + 1").withColumn("other", F.explode(F.when(F.col("other_a"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
+    # at the first common shingle, what both still have from it on limits o
+    most = "(least(d_a - rank_a, d_b - rank_b) + 1)"
+    odd = " + ".join(f"bit_count(parity_a[{k}] ^ parity_b[{k}])" for k in range(PARITY_BITS // 64))
+    pairs = a.join(b.withColumnRenamed("other_b", "other"), ["lead", "shingle", "other"]).where(
+        f"comp_a <> comp_b AND (home_a <> home_b OR home_a = lead) AND (x_a < x_b OR x_a = x_b AND id_a < id_b) "
+        f"AND {100 + percent} * (d_a + d_b - 2 * {most}) <= {100 - percent} * (n_a + n_b) "
+        f"AND {100 + percent} * ({odd}) <= {100 - percent} * (n_a + n_b)"
+    )
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -291,9 +319,10 @@ def judged_documents(
     stars = placed.join(mixed, "key").where("id <> lead").select("lead", "id", "comp").distinct()
     whole = sets.dropDuplicates(["id"])
     stars = stars.join(whole.select(F.col("id").alias("lead"), F.col("shingles").alias("xa")), "lead")
-    related = work.write(relate_to_lead(stars.join(whole.select("id", F.col("shingles").alias("xb")), "id")))
+    related = work.write(relate_to_lead(stars.join(whole.select("id", F.col("shingles").alias("xb")), "id"), percent))
     rest = open_pairs(related, percent).join(tried, ["a", "b"], "left_anti")
-    links = links.union(verify(work.write(rest)))
+    to_lead = related.where("linked").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    links = links.union(to_lead).union(verify(work.write(rest)))
     components = connected_components(links, work)
     of_node = work.write(
         leaders.join(components.withColumnRenamed("id", "node"), "node", "left").select("node", "leader", F.coalesce("component_id", "node").alias("component"))

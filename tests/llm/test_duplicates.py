@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from samples import running_text
 
+from breathline.llm import near_dup
 from breathline.llm.near_dup import keep_one_of_each, least_matches, near_duplicates
 from breathline.llm.repeats import remove_repeats
 from breathline.llm.shared import Workspace, connected_components
@@ -67,6 +68,27 @@ def test_near_duplicates_against_brute_force(spark, odd_documents, no_documents)
     assert near_duplicates(no_documents, Workspace(spark, "t")).count() == 0
 
 
+def test_a_group_of_copies_edited_in_different_places_makes_few_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    base = running_text(7, 150).split()
+    texts = [" ".join(w if rng.random() >= 0.05 else f"{w}{rng.randrange(4)}" for w in base) for _ in range(300)]
+    sets = [shingles(t) for t in texts]
+    links = [(a, b) for a, b in itertools.combinations(range(300), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    whole, made = near_dup.open_pairs, []
+
+    def counted(stars, percent):
+        pairs = whole(stars, percent)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(near_dup, "open_pairs", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(df, Workspace(spark, "t"), words_each=4).collect()}
+    assert got == closure(range(300), links)
+    assert len(set(got.values())) < 300
+    assert made[0] < 300
+
+
 def test_pruning_bounds_rise_and_spare_the_threshold():
     least = least_matches(0.8, 1e-6)
     assert least == sorted(least) and all(m < 0.8 * n for m, n in zip(least, range(32, 257, 32), strict=True))
