@@ -19,7 +19,7 @@ BANDS, ROWS = 60, 7
 #: signature values compared by the pruning, in batches of STEP, eight bits each
 COMPARED, STEP = 256, 32
 #: bits of the parities by which pairs around a lead are ruled out
-PARITY_BITS = 512
+PARITY_BITS = 256
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -225,12 +225,17 @@ def open_pairs(stars: DataFrame, percent: int) -> DataFrame:
     useful = at.groupBy("lead").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low < high OR low = lead").select("lead")
     at = at.join(useful, "lead", "left_semi").join(frequent, "lead").withColumn("other", F.expr("comp <> most"))
     of_set = ["id", "comp", "home", "other", "n", "d", "parity"]
-    at = at.withColumn("d", F.size("differ").cast("long")).select("lead", *of_set, F.explode("differ").alias("shingle"))
-    often = at.groupBy("lead", "shingle").agg(F.count("*").alias("f"))
-    rank = F.row_number().over(Window.partitionBy("lead", "id").orderBy("f", "shingle"))
+    at = at.withColumn("d", F.size("differ").cast("long"))
+    # alone, so that nothing else is shuffled with every shingle; those that no other set has come first and are not ranked
+    items = at.select("lead", "id", F.explode("differ").alias("shingle"))
+    often = items.groupBy("lead", "shingle").agg(F.count("*").alias("f")).where("f > 1")
+    place = Window.partitionBy("lead", "id")
+    common = items.join(often, ["lead", "shingle"]).select(
+        "lead", "id", "shingle", F.row_number().over(place.orderBy("f", "shingle")).alias("rank"), F.count("*").over(place).alias("several")
+    )
     q = f"{100 - percent} / {100 + percent}"
-    ranked = at.join(often, ["lead", "shingle"]).withColumn("rank", rank).where(f"f > 1 AND rank <= {q} * n * {100 + percent} / {percent} + 1")
-    ranked = ranked.withColumn("x", F.expr(f"{100 + percent} * d - {100 - percent} * n"))
+    ranked = common.join(at.select("lead", *of_set), ["lead", "id"]).withColumn("rank", F.expr("d - several + rank"))
+    ranked = ranked.where(f"rank <= {q} * n * {100 + percent} / {percent} + 1").withColumn("x", F.expr(f"{100 + percent} * d - {100 - percent} * n"))
     a, b = (ranked.select("lead", "shingle", *[F.col(k).alias(f"{k}_{s}") for k in (*of_set, "rank", "x")]) for s in "ab")
     a = a.where(f"rank_a <= {q} * n_a + 1").withColumn("other", F.explode(F.when(F.col("other_a"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
     # at the first common shingle, what both still have from it on limits o
