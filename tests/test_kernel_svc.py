@@ -6,10 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from breathline.learning import forest_bags
+from breathline.learning import forest_bags, kernel_svc
 from breathline.learning.boosting import BinnedRows
 from breathline.learning.forest_bags import bag_scores, bag_weight, bag_weight_column, forest, grow_trees, tree_weight
-from breathline.learning.kernel_svc import decision_values, fit_cascade, fit_sigmoid, rbf, solve_dual, svc_scores, svc_search
+from breathline.learning.kernel_svc import decision_values, fit_cascade, fit_sigmoid, rbf, solve_dual, solve_rows, svc_scores, svc_search
 
 
 def clouds(n, seed=1, apart=1.0):
@@ -35,6 +35,32 @@ def test_dual_solution_meets_its_conditions(c, gamma):
     assert 0 <= primal - dual + 1e-9 and primal - dual <= 2e-3 * primal
 
 
+@pytest.mark.parametrize("c, gamma", [(0.1, 0.5), (1.0, 0.5), (50.0, 2.0), (1000.0, 0.01)])
+def test_rows_are_solved_without_their_whole_kernel(c, gamma, monkeypatch):
+    x, y = clouds(300, seed=4, apart=0.6)
+    dense, offset = solve_dual(rbf(x, x, gamma), y, c)
+    largest, whole_kernel = [], kernel_svc.rbf
+    monkeypatch.setattr(kernel_svc, "rbf", lambda a, b, g: largest.append(len(a) * len(b)) or whole_kernel(a, b, g))
+    monkeypatch.setattr(kernel_svc, "CELLS", 2_000)
+    monkeypatch.setattr(kernel_svc, "MOST_WORKING", 60)
+    alpha, found = solve_rows(x, y, c, gamma, whole=0, working=20)
+    assert max(largest) <= 60 * 60 and (alpha >= 0).all() and (alpha <= c * (1 + 1e-9)).all() and abs(alpha @ y) < 1e-6 * c
+    kernel = whole_kernel(x, x, gamma)
+    value = lambda a: a.sum() - (a * y) @ kernel @ (a * y) / 2
+    assert value(alpha) == pytest.approx(value(dense), rel=1e-3) and found == pytest.approx(offset, abs=0.02)
+    again, _ = solve_rows(x, y, c, gamma, alpha, whole=300, working=20)
+    assert value(again) >= value(alpha) - 1e-9 * abs(value(alpha))
+
+
+def test_scan_and_scores_hold_a_bounded_part_of_the_kernel(spark, monkeypatch):
+    x, y = clouds(200, seed=6, apart=0.3)
+    monkeypatch.setattr(kernel_svc, "CELLS", 1_000)
+    largest, whole_kernel = [], kernel_svc.rbf
+    monkeypatch.setattr(kernel_svc, "rbf", lambda a, b, g: largest.append(len(a) * len(b)) or whole_kernel(a, b, g))
+    weight = np.arange(200.0)
+    assert np.allclose(kernel_svc.kernel_sums(x, x, weight, 0.5), whole_kernel(x, x, 0.5) @ weight) and max(largest) <= 1_000
+
+
 def test_cascade_ends_where_one_solver_does(spark):
     x, y = clouds(240, seed=3, apart=0.8)
     fits = [(1.0, 0.5), (20.0, 0.2)]
