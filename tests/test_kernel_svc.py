@@ -155,6 +155,28 @@ def test_trees_grown_together_equal_single_growth():
         assert np.allclose(together[t], share)
 
 
+def test_best_cuts_are_the_same_in_cells_and_in_order(monkeypatch):
+    rng = np.random.default_rng(8)
+    bins, node, feature = rng.integers(0, 65, (4000, 3)).astype(np.uint8), rng.integers(0, 900, 4000), rng.integers(0, 3, 4000)
+    w, y, row = rng.integers(1, 5, 4000).astype(float), rng.integers(0, 2, 4000), np.arange(4000)
+    cells, made = [], np.bincount
+    monkeypatch.setattr(forest_bags.np, "bincount", lambda x, weights, size: cells.append(size) or made(x, weights, size))
+    for nodes in (node, node % 4):  # few rows a node: in order; many: in cells
+        slots = nodes.max() + 1
+        n, h = made(nodes, w, slots), made(nodes, w * y, slots)
+        gain, cell = forest_bags.best_cuts(bins.ravel(), row, w, w * y, nodes, feature, n, h, 3, 65)
+        for k in range(min(slots, 40)):
+            for f in range(3):
+                best, mine = (-1.0, 0), np.flatnonzero((nodes == k) & (feature == f))
+                for c in sorted(set(bins[mine, f].tolist())):
+                    left = mine[bins[mine, f] <= c]
+                    a, b = w[left].sum(), (w * y)[left].sum()
+                    if a < n[k] and (g := b * b / a + (h[k] - b) ** 2 / (n[k] - a) - h[k] * h[k] / n[k]) > best[0]:
+                        best = (g, c)
+                assert gain[k, f] == best[0] and (best[0] < 0 or cell[k, f] == best[1])
+    assert max(cells) <= 4 * 4000
+
+
 def test_bag_scores_do_not_depend_on_chunks(spark, monkeypatch):
     rng = np.random.default_rng(3)
     rows = [(i, float(a), float(b), int(a > 4), i % 5) for i, (a, b) in enumerate(rng.integers(0, 9, (90, 2)))]
