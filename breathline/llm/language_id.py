@@ -251,13 +251,17 @@ def train_language_model(
     max_docs: int = 2000, max_words: int = 200_000, hidden: int = 16, steps: int = 700,
 ) -> ByteGru | None:
     """A network fitted on the words of ``sample_words``, long ones in pieces as in prediction. None if no labelled text has a word."""
-    sample = sample_words(docs, text_col, lang_col, order_by, max_docs, max_words).collect()
-    labels = sorted({row.lang for row in sample})
+    # as Arrow: a Row object for each word takes the driver a hundred times the bytes of the word
+    sample = sample_words(docs, text_col, lang_col, order_by, max_docs, max_words).select("_place", "lang", "word").toArrow()
+    sample = sample.sort_by([(c, "ascending") for c in sample.column_names])
+    langs = sample.column("lang").to_pylist()
+    labels = sorted(set(langs))
+    number = {lang: i for i, lang in enumerate(labels)}
     words, y = [], []
-    for row in sorted(sample, key=lambda r: (r["_place"], r.lang, r.word)):
-        found = _pieces(row.word.encode())
+    for lang, word in zip(langs, sample.column("word").cast(pa.binary()).to_pylist(), strict=True):
+        found = _pieces(word)
         words += found
-        y += [labels.index(row.lang)] * len(found)
+        y += [number[lang]] * len(found)
     if not words:
         return None
     model = ByteGru(labels, hidden)

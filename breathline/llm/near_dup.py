@@ -315,7 +315,7 @@ def judged_documents(
 
     tried = work.write(members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
     links = verify(tried)
-    known = connected_components(links, work)
+    known = work.write(connected_components(links, work))
     placed = work.write(
         members.join(known, "id", "left")
         .select("key", F.col("first").alias("lead"), "id", F.coalesce("component_id", "id").alias("comp"))
@@ -326,13 +326,19 @@ def judged_documents(
     stars = stars.join(whole.select(F.col("id").alias("lead"), F.col("shingles").alias("xa")), "lead")
     related = work.write(relate_to_lead(stars.join(whole.select("id", F.col("shingles").alias("xb")), "id"), percent))
     rest = open_pairs(related, percent).join(tried, ["a", "b"], "left_anti")
-    to_lead = related.where("linked").select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    links = links.union(to_lead).union(verify(work.write(rest)))
-    components = connected_components(links, work)
+    # what is linked already counts as one node from here on
+    to_lead = related.where("linked").select(F.col("lead").alias("a"), F.col("comp").alias("b")).distinct()
+    across = to_lead.union(verify(work.write(rest)))
+    for side in "ab":
+        root = known.select(F.col("id").alias(side), F.col("component_id").alias("_root"))
+        across = across.join(root, side, "left").withColumn(side, F.coalesce("_root", side)).select("a", "b")
+    merged = connected_components(across, work).select(F.col("id").alias("_root"), F.col("component_id").alias("_last"))
     of_node = work.write(
-        leaders.join(components.withColumnRenamed("id", "node"), "node", "left").select("node", "leader", F.coalesce("component_id", "node").alias("component"))
+        leaders.join(known.select(F.col("id").alias("node"), F.col("component_id").alias("_root")), "node", "left")
+        .withColumn("_root", F.coalesce("_root", "node")).join(merged, "_root", "left")
+        .select("node", "leader", F.coalesce("_last", "_root").alias("component"))
     )
-    work.drop(members, busy, sets, placed, related)
+    work.drop(members, busy, sets, known, placed, related)
     smallest = of_node.groupBy("component").agg(F.min("leader").alias("component_id"))
     judged = sketches.select("id", "text_key", "n", "node").join(of_node.join(smallest, "component").select("node", "component", "component_id"), "node", "left")
     found = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))

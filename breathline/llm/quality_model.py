@@ -182,8 +182,9 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, id_col: str, text_co
     one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("double").alias("_y"))
     sample = bounded_sample(one, ["_id"], max_rows)
     chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")  # max_rows rows
-    rows = measure_texts(chosen, "_text", ["_id", "_y"]).toPandas().sort_values(["_id", *FEATURES])
-    return fit_additive_model(rows[FEATURES].to_numpy(np.float32).reshape(-1, len(FEATURES)), (rows["_y"].to_numpy(float) > 0).astype(float))
+    rows = measure_texts(chosen, "_text", ["_id", "_y"]).toArrow().sort_by([(c, "ascending") for c in ["_id", *FEATURES]])
+    x = np.column_stack([rows.column(f).to_numpy() for f in FEATURES]).astype(np.float32)
+    return fit_additive_model(x, (rows.column("_y").to_numpy() > 0).astype(float))
 
 
 def score_quality(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

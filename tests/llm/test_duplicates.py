@@ -45,6 +45,24 @@ def shingles(text):
     return set(zip(*(words[k:] for k in range(4)), strict=False)) if len(words) >= 4 else ({tuple(words)} if words else set())
 
 
+def test_second_components_see_linked_groups_as_one_node(spark, monkeypatch):
+    from breathline.llm import near_dup
+
+    asked = []
+
+    def noted(edges, work):
+        asked.append(edges.distinct().count())
+        return connected_components(edges, work)
+
+    monkeypatch.setattr(near_dup, "connected_components", noted)
+    base = running_text(1, 120).split()
+    texts = [" ".join(f"new{i}" if k == 2 * i + 5 else w for k, w in enumerate(base)) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = near_dup.near_duplicates(df, Workspace(spark, "t"), words_each=4).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 40
+    assert len(asked) == 2 and asked[1] < asked[0]
+
+
 def test_near_duplicates_against_brute_force(spark, odd_documents, no_documents):
     rng = random.Random(2)
     base = [running_text(i, 60).split() for i in range(6)]

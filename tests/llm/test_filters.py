@@ -119,6 +119,23 @@ def test_rare_languages_and_late_words_are_learnt(spark):
     assert keep_identified(asked, one).count() == 3
 
 
+def test_training_samples_reach_the_driver_as_arrow(spark, monkeypatch):
+    texts = [running_text(i, 40) for i in range(60)]
+    df = spark.createDataFrame([(i, t, "en" if i % 2 else "de") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    collect, held = type(df).collect, []
+
+    def noted(frame):
+        found = collect(frame)
+        held.append(len(found))
+        return found
+
+    monkeypatch.setattr(type(df), "collect", noted)
+    assert train_language_model(df, "text", "lang", "doc_id", steps=2).labels == ["de", "en"]
+    train_quality_model(df, labels, "doc_id", "text", "quality")
+    assert max(held, default=0) <= 2  # a count of each language, never the words
+
+
 def test_quality_model_learns_and_interacts(spark, odd_documents, no_documents):
     rng = np.random.default_rng(0)
     x = rng.random((3000, 13)).astype(np.float32)
