@@ -202,3 +202,26 @@ def test_rows_beyond_the_bound_are_scored_too(spark):
     found = bag_scores(df, "id", ["a"], "y", F.lit(True), bags=2, trees=3, features_each=1, most=60).collect()
     assert len(found) == 300 and np.mean([(r.score > 0.5) == (r.id % 9 > 4) for r in found]) > 0.95
     assert isinstance(BinnedRows, type) and math.isfinite(found[0].low)
+
+
+def test_bags_learn_from_every_row(spark):
+    # more rows than the 100,000 that a bag was once cut to; the values of the rows beyond are in none of the others
+    df = spark.range(100_600).select("id", F.when(F.col("id") < 600, F.col("id") % 2 + 10.0).otherwise(F.col("id") % 2).alias("a"), F.when(F.col("id") < 600, F.col("id") % 2).otherwise(1 - F.col("id") % 2).cast("int").alias("y"))
+    seen = []
+    found = bag_scores(df, "id", ["a"], "y", F.lit(True), bags=2, trees=2, features_each=1).collect()
+    binned = forest_bags.binned_rows(df, "id", ["a"], "y")
+    assert len(binned.ids) == 100_600 and len(found) == 100_600
+    for r in found:
+        seen.append((r.score > 0.5) == (r.id % 2 == (1 if r.id < 600 else 0)))
+    assert all(seen)
+
+
+def test_trees_of_a_bag_may_be_grown_in_groups(monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = BinnedRows(np.arange(300), rng.integers(0, 9, (300, 2)).astype(np.uint8), rng.integers(0, 2, 300).astype(float), np.zeros(300), 10)
+    whole = forest(rows, 3, 6, 2, 30).leaf_shares(rows.bins)
+    monkeypatch.setattr(forest_bags, "HELD", 600)
+    groups = forest_bags.tree_groups(6, 300)
+    assert [len(g) for g in groups] == [2, 2, 2]
+    # a node looks at all features here, so that the draws of features do not matter
+    assert np.allclose(np.concatenate([forest(rows, 3, 6, 2, 30, g).leaf_shares(rows.bins) for g in groups]), whole)
