@@ -14,7 +14,7 @@ from breathline.llm import near_dup
 from breathline.llm.near_dup import keep_one_of_each, least_matches, near_duplicates
 from breathline.llm.repeats import remove_repeats
 from breathline.llm.shared import Workspace, connected_components
-from breathline.llm.vector_dup import SmallWorld, tight_balls, vector_duplicates
+from breathline.llm.vector_dup import PIECE, Forest, Shard, SmallWorld, tight_balls, vector_duplicates
 
 
 def closure(ids, links):
@@ -331,3 +331,31 @@ def test_vectors_that_share_an_id_are_judged_each_by_its_own(spark):
     docs = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, node long, copies string")
     got = sorted(map(str, (tuple(r) for r in vector_duplicates(docs, Workspace(spark, "t")).collect())))
     assert got == sorted(map(str, [(1, 2, 1, True), (1, 1, 1, True), (2, 2, 1, False), (3, 1, 1, False), (None, 2, 1, True), (4, 1, 4, True), (4, 1, 4, True)]))
+
+
+def test_a_shard_of_vectors_is_built_and_asked_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(6000, 64)).astype(np.float32)
+    x[3000:] = x[:3000] + rng.normal(scale=0.02, size=(3000, 64)).astype(np.float32)
+    ids, copies = np.arange(6000), np.ones(6000, np.int64)
+    tracemalloc.start()
+    shard = Shard(ids, copies, x, 0.95, 48)
+    pieces = shard.packed()
+    built = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # the graph holds the vectors once, as they came, and is cut into rows of bounded size
+    assert max(map(len, pieces)) <= PIECE and sum(map(len, pieces)) < x.nbytes + 6000 * 160
+    assert built < 40 * 10**6  # an audit that held all its similarities twice took more
+    asked = Shard.unpacked(pieces, 0.95)
+    unit = asked.unit[np.argsort(asked.ids)]
+    counts, edges = asked.links_of(ids[:200], unit[:200])
+    assert (counts == 1).all() and {tuple(e) for e in edges} == {(i, i + 3000) for i in range(200)}
+
+
+def test_a_dense_group_leaves_a_forest_not_its_pairs():
+    forest = Forest()
+    for i in range(200):
+        forest.add(i, np.arange(200))
+    assert len(forest.edges) == 199
