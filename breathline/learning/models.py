@@ -30,6 +30,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from breathline.learning.forests import GrownForest, can_grow, fit_forest
 from breathline.learning.neighbours import out_of_fold_neighbours, vote_share
 from breathline.session import use_checkpoint_dir
 
@@ -149,24 +150,28 @@ def feature_pipeline(
     return Pipeline(stages=[*stages, estimator])
 
 
-def fit(estimator: Estimator, train: DataFrame) -> Model:
+def fit(estimator: Estimator, train: DataFrame) -> Model | GrownForest:
     """Fit on rows kept in memory or on disk, as fitting reads them many times.
 
     They are dealt evenly first: texts parsed from a file of one row group would
     leave all rows, and with them every pass of the fit, to one task. Boosted
-    trees cut their lineage in the checkpoint folder.
+    trees cut their lineage in the checkpoint folder. A pipeline that ends with
+    a forest of whole trees is fitted by ``forests.fit_forest``.
     """
     use_checkpoint_dir(train.sparkSession)
     tasks = max(train.sparkSession.sparkContext.defaultParallelism, -(-train.count() // FIT_ROWS))
     kept = train.repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return estimator.fit(kept)
+        grown = fit_forest(estimator, kept) if isinstance(estimator, Pipeline) and can_grow(estimator.getStages()[-1]) else None
+        return grown or estimator.fit(kept)
     finally:
         kept.unpersist()
 
 
 def score(model: Model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Class and probability of label 1: (keep..., score, prediction)."""
+    if isinstance(model, GrownForest):
+        return model.score(df, keep)
     out = model.transform(df)
     if "probability" in out.columns:
         value = vector_to_array(F.col("probability"))[1]
@@ -248,6 +253,8 @@ def search_table(df: DataFrame, model: CrossValidatorModel) -> DataFrame:
 
 def tree_summary(df: DataFrame, model: Model) -> DataFrame:
     """(tree, leaves, height, nodes) of a fitted tree model."""
+    if isinstance(model, GrownForest):
+        return model.summary()
     last = model.stages[-1] if isinstance(model, PipelineModel) else model
     trees = getattr(last, "trees", None) or [last]
     rows = [(i, (t.numNodes + 1) // 2, t.depth + 1, t.numNodes) for i, t in enumerate(trees)]
