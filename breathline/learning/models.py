@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from breathline.learning.forests import GrownForest, can_grow, fit_forest
 from breathline.learning.neighbours import out_of_fold_neighbours, vote_share
-from breathline.session import use_checkpoint_dir
+from breathline.session import cut_lineage, use_checkpoint_dir
 
 SEED = 42
 #: rows of a partition that a model is fitted on, where there are more than one a core
@@ -307,6 +307,7 @@ def stacked_scores(
     ).select(id_col, F.col("score").alias("bayes"))
     near = vote_share(out_of_fold_neighbours(df, id_col, vector, "label", fold_col, k), k)
     near = near.select(F.col("query_id").alias(id_col), F.col("score").alias("near"))
-    base = df.select(id_col, "label").join(forest_part, id_col).join(bayes_part, id_col).join(near, id_col)
+    # counted, fitted on and scored: the parts are computed once
+    base = cut_lineage(df.select(id_col, "label").join(forest_part, id_col).join(bayes_part, id_col).join(near, id_col))
     meta = fit(feature_pipeline(["near", "forest", "bayes"], logistic(n_rows=base.count()), scale=None), base)
     return score(meta, base, [id_col, "label"]), meta
